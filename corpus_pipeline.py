@@ -3,12 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from mizan.llm import decontam, langid, linededup, packing, simhash
 from mizan.llm.common import saved, table
+from mizan.llm.queries import tokenizer_path
 
-STAGES: list = []
 
-#: Fingerprints, automata and packing plans have no SQL form; tests hold each stage against brute force.
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; ``lang`` becomes the predicted one. Those without a letter go."""
+    out = langid.identify(docs).where(F.col("lang_pred") != langid.UNKNOWN)
+    return out.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; a document whose every line with words goes is a copy and goes whole."""
+    out = linededup.dedup_lines(docs).where((F.col("n_kept") > 0) | (F.col("n_lines") == 0))
+    return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id stays of each group; of rows repeated with their id one stays."""
+    groups = simhash.near_duplicates(docs, "doc_id", "text").where("doc_id <=> component_id").select("doc_id").distinct()
+    first = docs.dropDuplicates(["doc_id"])
+    return first.join(groups.withColumnRenamed("doc_id", "__first"), F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go whole."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, "doc_id", "text", tokenizer_path())
+
+
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("benchmark_free", benchmark_free), ("packed", packed)]
+
+#: Automata, fingerprints and packing plans have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
