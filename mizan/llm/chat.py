@@ -61,6 +61,6 @@ WITH rows_ AS (
   SELECT DISTINCT turns[1:i] AS turns FROM convs, LATERAL (SELECT unnest(range(1, len(turns))) AS i)
 )
 SELECT conv_id, CAST(len(turns) AS INTEGER) AS n_turns, n_copies,
-       list_aggregate(list_transform(turns, t -> '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), 'string_agg', '') AS chat
+       list_aggregate(list_transform(turns, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), 'string_agg', '') AS chat
 FROM firsts WHERE turns NOT IN (SELECT turns FROM prefixes)
 """

@@ -22,8 +22,8 @@ ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 #: A run of 24 or more; a match starts where a run does, so each character is looked at once.
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-#: Tokens that the models score: long, with a digit.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,}+"
+#: Tokens that the models score: long, with a digit and a letter.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, RANDOM_STRINGS = 400, 4000, 2000
 #: Mean log-likelihood ratio of a pair from which a token counts as random.
@@ -68,7 +68,7 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> list[float]:
 def ratio(token: Column, table: list[float]) -> Column:
     """Mean log-likelihood ratio over the token's pairs."""
     n = len(ALPHABET)
-    llr = F.array(*map(F.lit, table))
+    llr = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")  # folded once
     at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1
     total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(llr, at(i) * n + at(i + 1)))
     return total / (F.length(token) - 1)
