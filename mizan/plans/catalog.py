@@ -1,15 +1,477 @@
-"""Registered queries of the judgment-catalog engine and their DuckDB equivalents."""
+"""Registered queries of the catalog engine over the test tables, and their DuckDB equivalents.
+
+The tables hold no judgments, so each query maps columns to what its operator works on: documents are cases, events pages
+and requests, orders generations and candidates, pages crawled pages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import headers, text, urls
+from ..operators import identity, quality, retrieve, segment, validate
+from ..operators.retrieve import Course
+from ..sources import crawl, profiles
+from ..streaming import events as stream
+
+TERMS = ["the and", "tion", "ing", "ered", "nicht", "eau", "para", "und der", "zzzz", "a"]
+PREFERRED = ("src1", "src3", "src5")
+COURSES = [
+    Course("commerce", keywords=("thion ing", "eraner"), priority=("the and", "ndred"), avoid=("schung",)),
+    Course("procedure", keywords=("nicht", "enver schung"), priority=("und der",), avoid=("thing",)),
+    Course("evidence", keywords=("ciónes", "para"), priority=("ment", "tionre")),
+    Course("absent", keywords=("qqqqqqq",), priority=("xxxxxxxx yyyyyyyy",)),
+]
+METHOD = Course("method", "methodological", avoid=("schung",))
+REGISTRY = {"sources": [
+    {"id": "net", "role": "official", "tier": 1, "domains": ["tionsh.example.net", "blog.tionsh.example.net"], "supports_direct_pdf": True},
+    {"id": "com", "role": "official", "tier": 2, "domains": ["blog.tionble.example.com"], "supports_direct_pdf": False},
+    {"id": "org", "role": "discovery", "domains": ["m.ththth.example.org", "blog.ththth.example.org"]},
+]}
+_DOMAINS = "(VALUES ('tionsh.example.net','net','official',1,true),('blog.tionsh.example.net','net','official',1,true),('blog.tionble.example.com','com','official',2,false),('m.ththth.example.org','org','discovery',NULL,false),('blog.ththth.example.org','org','discovery',NULL,false)) AS d(domain, source_id, role, tier, direct_pdf)"
+METHOD_TEXT = {2: " الوقائع والمدعي", 3: " حيث ثبت", 5: " حكمت المحكمة", 7: " رقم القضية 12"}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _quote(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _list(xs) -> str:
+    return "[" + ", ".join(map(_quote, xs)) + "]"
+
+
+def _n1(x: str) -> str:
+    """N1 in SQL."""
+    out = f"translate({x}, '{text.ARABIC_DIGITS}', '{text.ASCII_DIGITS}')"
+    out = rf"regexp_replace({out}, '[\x{{0617}}-\x{{061A}}\x{{064B}}-\x{{0652}}\x{{0670}}\x{{06D6}}-\x{{06ED}}]', '', 'g')"
+    out = f"translate(replace({out}, '{text.TATWEEL}', ''), '{text.LETTER_FORMS}', '{text.PLAIN_FORMS}')"
+    return rf"lower(trim(regexp_replace(regexp_replace({out}, '[^0-9A-Za-z\x{{0600}}-\x{{06FF}}/\- ]+', ' ', 'g'), ' +', ' ', 'g')))"
+
+
+def _n3(x: str) -> str:
+    """N3 in SQL, for texts that NFKC leaves as they are."""
+    out = f"translate(replace(replace(lower({x}), 'ß', 'ss'), '{text.TATWEEL}', ''), '{text.LETTER_FORMS}{text.TA_MARBUTA}', '{text.PLAIN_FORMS}{text.HA}')"
+    return rf"trim(regexp_replace(regexp_replace({out}, '[\x{{064B}}-\x{{0652}}]', '', 'g'), '[^0-9a-z\x{{0600}}-\x{{06FF}}]+', ' ', 'g'))"
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    return d.select(
+        "doc_id", "text", F.concat(F.lit("k"), F.lpad(i.cast("string"), 12, "0")).alias("catalog_key"), F.col("source").alias("source_id"), F.col("lang").alias("collection_id"),
+        F.concat(F.lit("g"), (i % 3).cast("string")).alias("generation_id"), F.when(i % 7 != 0, i.cast("string")).alias("case_number"),
+        F.when(i % 5 != 0, F.concat(F.lit("Court "), (i % 11).cast("string"))).alias("court_name"), ((i * 7919) % 1000).alias("indexed_at"), text.normalize_arabic(F.col("text")).alias("normalized_text"),
+    )
+
+
+_CASES = f"""cases AS (SELECT doc_id, text, 'k' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS catalog_key, source AS source_id, lang AS collection_id,
+  'g' || (doc_id % 3) AS generation_id, CASE WHEN doc_id % 7 <> 0 THEN CAST(doc_id AS VARCHAR) END AS case_number,
+  CASE WHEN doc_id % 5 <> 0 THEN 'Court ' || (doc_id % 11) END AS court_name, (doc_id * 7919) % 1000 AS indexed_at, {_n1('text')} AS normalized_text FROM documents)"""
+
+
+def _score_sql(terms: list[str], preferred) -> str:
+    own = " + ".join(f"CASE WHEN contains(normalized_text, {_quote(t)}) THEN {max(1, 14 - min(i, 13)) + (5 if ' ' in t else 0)} ELSE 0 END" for i, t in enumerate(terms))
+    known = f"CASE WHEN source_id IN ({', '.join(map(_quote, preferred))}) THEN 14 ELSE 0 END" if preferred else "0"
+    return f"CAST({own} + {known} + CASE WHEN coalesce(case_number, '') <> '' THEN 4 ELSE 0 END + CASE WHEN coalesce(court_name, '') <> '' THEN 3 ELSE 0 END AS INTEGER)"
+
+
+_PLAIN = retrieve.retrieval_terms(TERMS)
+
+
+@query(f"SELECT doc_id, {_n1('text')} AS normalized FROM documents UNION ALL SELECT -1, {_n1(_quote('الْقَضِيَّةُ رقمـ ٣٤/١٤٣٥ إلى أُخرى! ABC-dé'))}")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1, "الْقَضِيَّةُ رقمـ ٣٤/١٤٣٥ إلى أُخرى! ABC-dé")], "doc_id long, text string")
+    return docs.union(extra).select("doc_id", text.normalize_arabic(F.col("text")).alias("normalized"))
+
+
+@query(f"""WITH {_CASES}, recent AS (SELECT * FROM cases WHERE {' OR '.join(f"contains(normalized_text, {_quote(t)})" for t in _PLAIN)} ORDER BY indexed_at DESC, catalog_key LIMIT 320)
+SELECT catalog_key, source_id, match_score FROM (SELECT *, {_score_sql(_PLAIN, PREFERRED)} AS match_score FROM recent) ORDER BY match_score DESC, indexed_at DESC, catalog_key LIMIT 20""")
+def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.search(cases(spark, sf_dir), TERMS, PREFERRED, limit=20).select("catalog_key", "source_id", "match_score")
+
+
+_COURSE_TERMS = {c.slug: retrieve.retrieval_terms(retrieve.subject_terms(c)) for c in COURSES}
+
+
+@query("WITH " + _CASES + " " + " UNION ALL ".join(f"SELECT {_quote(s)} AS slug, catalog_key, {_score_sql(t, PREFERRED)} AS match_score FROM cases" for s, t in _COURSE_TERMS.items()))
+def retrieve_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = F.array(*(F.struct(F.lit(s).alias("slug"), F.array(*map(F.lit, t)).alias("terms")) for s, t in _COURSE_TERMS.items()))
+    pairs = cases(spark, sf_dir).withColumn("c", F.explode(every))
+    score = retrieve.match_score(F.col("normalized_text"), F.col("c.terms"), F.col("source_id").isin(*PREFERRED), retrieve.present(F.col("case_number")), retrieve.present(F.col("court_name")))
+    return pairs.select("c.slug", "catalog_key", score.alias("match_score"))
+
+
+def _hit_sql(term: str) -> str:
+    c = retrieve._concept(term)
+    if not c["phrase"] or not c["tokens"]:
+        return "0"
+    if len(c["tokens"]) == 1:
+        part = f"contains(plain, {_quote(c['tokens'][0])})" if len(c["tokens"][0]) >= 5 else "false"
+    else:
+        part = "(" + " + ".join(f"CAST(contains(plain, {_quote(t)}) AS INTEGER)" for t in c["tokens"]) + ") >= 2"
+    return f"CAST(contains(plain, {_quote(c['phrase'])}) OR {part} AS INTEGER)"
+
+
+def _sum_sql(terms) -> str:
+    return " + ".join(map(_hit_sql, terms)) or "0"
+
+
+_DIRECT_SQL = " UNION ALL ".join(
+    f"""SELECT doc_id, {_quote(c.slug)} AS slug, score, (direct_hits >= 1 OR priority_hits >= 2) AND score >= 18 AS accepted, direct_hits, priority_hits, avoid_hits FROM (
+  SELECT *, CAST(greatest(0, least(40, 8 + 11 * direct_hits + 5 * priority_hits) - 8 * avoid_hits) AS INTEGER) AS score FROM (
+    SELECT doc_id, CAST({_sum_sql(c.keywords)} AS INTEGER) AS direct_hits, CAST({_sum_sql(c.priority)} AS INTEGER) AS priority_hits, CAST({_sum_sql(c.avoid)} AS INTEGER) AS avoid_hits FROM plains))"""
+    for c in COURSES
+)
+
+
+@query(f"WITH plains AS (SELECT doc_id, {_n3('text')} AS plain FROM documents) {_DIRECT_SQL}")
+def relevance_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieve.assess(docs, COURSES).select("doc_id", "slug", "score", "accepted", "direct_hits", "priority_hits", "avoid_hits")
+
+
+def _method_text(i: Column, t: Column) -> Column:
+    return F.concat(t, *(F.when(i % k == 0, F.lit(more)).otherwise(F.lit("")) for k, more in METHOD_TEXT.items()))
+
+
+_METHOD_HITS = " + ".join("CAST(" + " OR ".join(f"contains(plain, {_quote(headers.search_form(p, digits=False))})" for p in phrases) + " AS INTEGER)" for phrases in retrieve.METHOD_CATEGORIES.values())
+
+
+@query(f"""WITH texts AS (SELECT doc_id, text || {' || '.join(f"CASE WHEN doc_id % {k} = 0 THEN {_quote(more)} ELSE '' END" for k, more in METHOD_TEXT.items())} AS text FROM documents),
+hits AS (SELECT doc_id, length(text) AS n, {_METHOD_HITS} AS c, {_sum_sql(METHOD.avoid)} AS a FROM (SELECT doc_id, text, {_n3('text')} AS plain FROM texts)),
+scored AS (SELECT *, CAST(greatest(0, least(40, 9 + 5 * c + CASE WHEN n >= 5000 THEN 13 WHEN n >= 2500 THEN 10 WHEN n >= 1200 THEN 6 ELSE 0 END) - 8 * a) AS INTEGER) AS score FROM hits)
+SELECT doc_id, CAST(c AS INTEGER) AS categories, score, c >= 3 AND n >= 1200 AND score >= 24 AS accepted FROM scored""")
+def relevance_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", _method_text(F.col("doc_id"), F.col("text")).alias("text"))
+    return retrieve.assess(docs, [METHOD]).select("doc_id", F.col("direct_hits").alias("categories"), "score", "accepted")
+
+
+_COVERED = f"""accepted AS (SELECT slug FROM ({_DIRECT_SQL}) WHERE accepted), counted AS (SELECT s.slug, count(a.slug) AS n FROM (VALUES {', '.join(f'({_quote(c.slug)})' for c in COURSES)}) AS s(slug) LEFT JOIN accepted a ON a.slug = s.slug GROUP BY s.slug),
+covered AS (SELECT slug, n, CASE WHEN n >= 50 THEN 'ready' WHEN n > 0 THEN 'thin' ELSE 'missing' END AS status FROM counted)"""
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accepted = relevance_direct(spark, sf_dir).where("accepted")
+    return quality.coverage(accepted, spark.createDataFrame([(c.slug,) for c in COURSES], "slug string"), 50)
+
+
+@query(f"WITH plains AS (SELECT doc_id, {_n3('text')} AS plain FROM documents), {_COVERED} SELECT * FROM covered")
+def coverage_by_course(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coverage(spark, sf_dir)
+
+
+@query(f"""WITH plains AS (SELECT doc_id, {_n3('text')} AS plain FROM documents), {_COVERED},
+c AS (SELECT count(*) AS total_subjects, CAST(count_if(status = 'ready') AS BIGINT) AS covered_subjects FROM covered), s AS (SELECT count(*) AS cases FROM documents), k AS (SELECT count(*) AS seen, CAST(count_if(quality = 0) AS BIGINT) AS failed FROM labels),
+f AS (SELECT *, CASE WHEN seen > 0 THEN failed / seen ELSE 1.0 END AS failure_ratio, CAST(ceil(total_subjects * 90 / 100.0) AS BIGINT) AS required_subjects FROM c, s, k)
+SELECT cases, total_subjects, covered_subjects, required_subjects, seen, failed, failure_ratio, concat_ws('; ', CASE WHEN cases < 20 THEN 'cases ' || cases || ' < required 20' END, CASE WHEN seen <= 0 THEN 'no official documents were discovered' END,
+  CASE WHEN failure_ratio > 0.1 THEN 'document failure ratio ' || printf('%.2f%%', failure_ratio * 100) || ' exceeds 10.00%' END, CASE WHEN covered_subjects < required_subjects THEN printf('course coverage %d/%d < required %d/%d', covered_subjects, total_subjects, required_subjects, total_subjects) END) AS reason FROM f""")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.catalog_stats(cases(spark, sf_dir))
+    counters = quality.build_counters(table(spark, sf_dir, "labels").select((F.col("quality") == 0).alias("failed"), F.lit(1).alias("n_cases")))
+    out = quality.gate(stats, _coverage(spark, sf_dir), counters, percent=90, max_failures=0.1)
+    return out.select("cases", "total_subjects", "covered_subjects", "required_subjects", "seen", "failed", "failure_ratio", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query("SELECT 'g' || (doc_id % 3) AS generation_id, count(*) AS cases, count(DISTINCT lang) AS collections, count(DISTINCT source) AS sources FROM documents GROUP BY 1")
+def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.catalog_stats(cases(spark, sf_dir))
+
+
+_PARTS = {"subject_relevance": (40, "doc_id % 6 = 0", "doc_id % 50"), "legal_issue_clarity": (20, "doc_id % 4 = 0", "doc_id % 30"), "reasoning_quality": (15, None, None), "academic_commentary_value": (15, "doc_id % 9 = 0", "3")}
+
+
+def _policy_sql() -> str:
+    cols = []
+    for name, (most, when, value) in _PARTS.items():
+        share = f"CAST(round_even({most} * e / 100.0, 0) AS INTEGER)"
+        given = f"CASE WHEN {when} THEN {value} ELSE {share} END" if when else share
+        cols.append(f"CAST(least({most}, greatest(0, {given})) AS INTEGER) AS {name}")
+    return f"SELECT doc_id, {', '.join(cols)}, CASE WHEN quality = 1 THEN 10 ELSE 0 END AS source_pdf_quality FROM (SELECT doc_id, quality, least(100, greatest(0, doc_id % 130 - 10)) AS e FROM labels)"
+
+
+@query(f"SELECT *, CAST(least(100, subject_relevance + legal_issue_clarity + reasoning_quality + academic_commentary_value + source_pdf_quality) AS INTEGER) AS total FROM ({_policy_sql()})")
+def policy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    parts = {"subject_relevance": F.when(i % 6 == 0, i % 50), "legal_issue_clarity": F.when(i % 4 == 0, i % 30), "academic_commentary_value": F.when(i % 9 == 0, F.lit(3))}
+    scores = retrieve.policy_score(i % 130 - 10, parts, F.col("quality") == 1)
+    return table(spark, sf_dir, "labels").select("doc_id", *(c.cast("int").alias(n) for n, c in scores.items()))
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 101 AS final_score FROM orders), w AS (SELECT *, row_number() OVER o AS rn, lead(final_score) OVER o AS second, count(*) OVER (PARTITION BY o_custkey) AS n FROM r WINDOW o AS (PARTITION BY o_custkey ORDER BY final_score DESC, o_orderkey)),
+t AS (SELECT *, final_score >= 90 AND (second IS NULL OR final_score - second >= 5) AS auto FROM w WHERE rn = 1)
+SELECT o_custkey, CASE WHEN auto THEN 'auto' ELSE 'manual' END AS mode, CASE WHEN auto THEN o_orderkey END AS selected, CAST(CASE WHEN auto THEN 1 ELSE least(3, n) END AS INTEGER) AS visible FROM t""")
+def selection_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 101).alias("final_score"))
+    return retrieve.select_candidates(ranked, "o_custkey", "final_score", "o_orderkey")
+
+
+_PAGES = """pages_ AS (SELECT user_id AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS page_no, CASE WHEN event_id % 4 = 0 THEN 'short' ELSE repeat(event_type || ' ', 30) END AS text, CASE WHEN event_id % 3 <> 0 THEN event_type END AS number FROM events)"""
+
+
+def _event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    no = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    body = F.when(F.col("event_id") % 4 == 0, F.lit("short")).otherwise(F.repeat(F.concat("event_type", F.lit(" ")), 30))
+    return e.select(F.col("user_id").alias("doc_id"), no.alias("page_no"), body.alias("text"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("number"))
+
+
+_STARTS = f"{_PAGES}, eligible AS (SELECT *, lag(number) OVER (PARTITION BY doc_id ORDER BY page_no) AS before FROM pages_ WHERE length(text) >= 100 AND number IS NOT NULL), starts AS (SELECT doc_id, page_no, number FROM eligible WHERE number IS DISTINCT FROM before)"
+
+
+@query(f"WITH {_STARTS} SELECT * FROM starts")
+def case_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.case_starts(_event_pages(spark, sf_dir)).select("doc_id", "page_no", "number")
+
+
+@query(f"""WITH {_STARTS}, spans AS (SELECT doc_id, number, page_no AS page_start, coalesce(lead(page_no) OVER (PARTITION BY doc_id ORDER BY page_no) - 1, (SELECT max(page_no) FROM pages_ p WHERE p.doc_id = s.doc_id)) AS last FROM starts s),
+ends AS (SELECT s.doc_id, s.number, s.page_start, max(CASE WHEN p.page_no = s.page_start OR length(trim(p.text)) >= 120 THEN p.page_no END) AS page_end FROM spans s JOIN pages_ p ON p.doc_id = s.doc_id AND p.page_no BETWEEN s.page_start AND s.last GROUP BY 1, 2, 3)
+SELECT e.doc_id, e.number, e.page_start, e.page_end, sha256(string_agg(p.text, chr(10) ORDER BY p.page_no)) AS text_sha256 FROM ends e JOIN pages_ p ON p.doc_id = e.doc_id AND p.page_no BETWEEN e.page_start AND e.page_end GROUP BY 1, 2, 3, 4""")
+def case_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.case_ranges(_event_pages(spark, sf_dir)).select("doc_id", "number", "page_start", "page_end", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(rf"""WITH e AS (SELECT doc_id, 0 AS engine_rank, trim(text) AS text FROM documents WHERE doc_id < 100000 UNION ALL SELECT item_id, 1, trim(text) FROM benchmark),
+s AS (SELECT *, {_n3('text')} AS plain FROM e),
+q AS (SELECT *, CASE WHEN text = '' THEN -1000000 WHEN plain = '' THEN 0 ELSE CAST(least(len(regexp_extract_all(text, '[0-9]{{3,}}')), 20) * 15 + least(length(plain), 8000) // 8 AS INTEGER) END AS quality FROM s)
+SELECT doc_id, CAST(1 AS INTEGER) AS page_no, engine_rank, quality FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, engine_rank) AS rn FROM q) WHERE rn = 1""")
+def best_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("engine_rank"), "text")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(1).alias("engine_rank"), "text")
+    return segment.best_pages(a.union(b).withColumn("page_no", F.lit(1))).select("doc_id", "page_no", "engine_rank", "quality")
+
+
+@query("SELECT sha256(text) AS pdf_sha256, min(doc_id) AS doc_id FROM documents WHERE text <> '' GROUP BY 1")
+def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("pdf_sha256"), "doc_id")
+    return identity.keep_first(docs, [F.col("pdf_sha256")], "doc_id")
+
+
+@query("""SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders WHERE o_orderpriority <> '1-URGENT') WHERE rn > 500""")
+def retention_keep_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = identity.retain(table(spark, sf_dir, "orders"), "o_orderstatus", F.col("o_orderdate"), "o_orderkey", 500, F.col("o_orderpriority") == "1-URGENT")
+    return gone.select("o_orderkey", "o_orderstatus")
+
+
+@query(f"""WITH {_CASES} SELECT doc_id FROM cases c WHERE NOT EXISTS (SELECT 1 FROM cases x WHERE x.doc_id % 2 = 0 AND coalesce(x.case_number, '') <> '' AND coalesce(x.court_name, '') <> '' AND replace({_n1("coalesce(c.case_number, '')")}, ' ', '') = replace({_n1('x.case_number')}, ' ', '') AND replace({_n1("coalesce(c.court_name, '')")}, ' ', '') = replace({_n1('x.court_name')}, ' ', ''))""")
+def excluded_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cases(spark, sf_dir).select("doc_id", "case_number", "court_name")
+    return retrieve.not_excluded(c, c.where("doc_id % 2 = 0").select("case_number", "court_name")).select("doc_id")
+
+
+@query("""WITH c AS (SELECT doc_id, sha256(text) AS pdf_sha256, CASE WHEN doc_id % 7 <> 0 THEN CAST(doc_id % 400 AS VARCHAR) END AS case_number, CASE WHEN doc_id % 5 <> 0 THEN ' Court ' || (doc_id % 11) END AS court_name FROM documents), h AS (SELECT * FROM c WHERE doc_id % 10 = 3), n AS (SELECT * FROM c WHERE doc_id % 10 <> 3)
+SELECT doc_id FROM n WHERE EXISTS (SELECT 1 FROM h WHERE h.pdf_sha256 = n.pdf_sha256) OR EXISTS (SELECT 1 FROM h WHERE coalesce(n.case_number, '') <> '' AND coalesce(n.court_name, '') <> '' AND lower(trim(h.case_number)) = lower(trim(n.case_number)) AND lower(trim(h.court_name)) = lower(trim(n.court_name)))""")
+def used_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    c = table(spark, sf_dir, "documents").select(i, F.sha2("text", 256).alias("pdf_sha256"), F.when(i % 7 != 0, (i % 400).cast("string")).alias("case_number"), F.when(i % 5 != 0, F.concat(F.lit(" Court "), (i % 11).cast("string"))).alias("court_name"))
+    return identity.used(c.where("doc_id % 10 <> 3"), c.where("doc_id % 10 = 3"), "doc_id").select("doc_id")
+
+
+@query("""WITH b AS (SELECT 0 AS src, s_suppkey AS pos, CAST(s_nationkey AS VARCHAR) AS case_number, 'Court ' || (s_suppkey % 3) AS court_name, 'u' || (s_suppkey % 7) AS url FROM supplier UNION ALL SELECT 1, c_custkey, CAST(c_nationkey AS VARCHAR), 'court ' || (c_custkey % 3), 'u' || (c_custkey % 7) FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_number, lower(court_name), url ORDER BY src, pos) AS rn FROM b)
+SELECT pos, case_number, court_name, url FROM r WHERE rn = 1 ORDER BY src, pos LIMIT 200""")
+def merge_ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def rows(name: str, p: str, word: str) -> DataFrame:
+        key = F.col(f"{p}_{'suppkey' if p == 's' else 'custkey'}")
+        return table(spark, sf_dir, name).select(key.alias("pos"), F.col(f"{p}_nationkey").cast("string").alias("case_number"), F.concat(F.lit(word), (key % 3).cast("string")).alias("court_name"), F.concat(F.lit("u"), (key % 7).cast("string")).alias("url"))
+
+    return retrieve.merged(rows("supplier", "s", "Court "), rows("customer", "c", "court "), 200).select("pos", "case_number", "court_name", "url")
+
+
+@query("WITH p AS (SELECT max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'F') SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus FROM orders o JOIN p ON p.o_orderkey = o.o_orderkey")
+def active_pointer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    pointer = orders.where("o_orderstatus = 'F'").agg(F.max("o_orderkey").alias("o_orderkey"))
+    return orders.join(F.broadcast(pointer), "o_orderkey").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
+def latest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(1).select("o_orderkey", "o_orderstatus")
+
+
+_SERIES = [("a", "https://x.example/{volume}.pdf", 1, 25), ("b", "https://y.example/v/{volume}", 3, 3), ("c", None, 1, 2), ("d", "https://z.example/{volume}", 5, 4)]
+
+
+@query("SELECT id || ':v' || n AS document_id, replace(url_template, '{volume}', CAST(n AS VARCHAR)) AS url FROM (SELECT *, unnest(generate_series(first, last)) AS n FROM (VALUES " + ", ".join(f"({_quote(a)}, {_quote(b) if b else 'NULL'}, {c}, {d})" for a, b, c, d in _SERIES) + ") AS s(id, url_template, first, last)) WHERE url_template IS NOT NULL")
+def series_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.series(spark.createDataFrame(_SERIES, "id string, url_template string, first int, last int"))
+
+
+@query("""SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(replace(html, '&amp;', '&'), '(?i)href\\s*=\\s*["'']([^"'']+)["'']', 1)) AS link FROM pages)""")
+def crawl_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.explode(urls.links(urls.unescaped(F.col("html")))).alias("link")).distinct()
+
+
+_HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
+_PATH = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1))"
+
+
+@query(f"SELECT page_id, starts_with(url, 'https:') AND {_HOST} <> '' AS https_allowed, NOT contains({_PATH}, '/fr/1') AND (starts_with({_PATH}, '/en/') OR starts_with({_PATH}, '/fr/')) AS path_allowed FROM pages")
+def url_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    ok = urls.path_allowed(u, F.array(F.lit("/EN/"), F.lit("/fr/")), F.array(F.lit("/FR/1")))
+    return table(spark, sf_dir, "pages").select("page_id", urls.https_allowed(u).alias("https_allowed"), ok.alias("path_allowed"))
+
+
+@query(f"SELECT p.page_id, p.host AS domain, d.source_id, coalesce(d.role, 'unknown') AS role, d.tier, coalesce(d.role, '') = 'official' AS is_official, starts_with(p.url, 'https:') AND coalesce(d.role, '') = 'official' AND coalesce(d.direct_pdf, false) AS original_pdf FROM (SELECT *, {_HOST} AS host FROM pages) p LEFT JOIN {_DOMAINS} ON d.domain = p.host")
+def domain_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = profiles.classify(table(spark, sf_dir, "pages"), profiles.registry(spark, REGISTRY))
+    return out.select("page_id", "domain", "source_id", "role", "tier", "is_official", "original_pdf")
+
+
+_DIGIT_RUN = "([0-9]{1,4})"
+
+
+@query(f"""WITH h AS (SELECT doc_id, substr(text, 1, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b FROM documents),
+n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(a, '{_DIGIT_RUN}', 1), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END)) AS a, list_distinct(list_transform(regexp_extract_all(b, '{_DIGIT_RUN}', 1), lambda x: CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END)) AS b FROM h)
+SELECT doc_id, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ',') AS unsupported FROM n""")
+def article_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = F.floor(F.length("text") / 2).cast("int")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substr("text", F.lit(1), half).alias("a"), F.substr("text", half + 1).alias("b"))
+    claimed, supported = (text.article_numbers(F.col(c), _DIGIT_RUN) for c in "ba")
+    return d.select("doc_id", F.array_join(F.array_sort(F.array_except(claimed, supported)), ",").alias("unsupported"))
+
+
+@query("SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(text), {_quote(m.lower())}) THEN {_quote(m)} END" for m in validate.FORBIDDEN) + ") AS markers, contains(text, '#') OR contains(text, '```') OR contains(text, '**') AS marks FROM documents")
+def forbidden_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    marks = F.contains(t, F.lit("#")) | F.contains(t, F.lit("```")) | F.contains(t, F.lit("**"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(validate.forbidden_markers(t), ",").alias("markers"), marks.alias("marks"))
+
+
+@query()
+def draft_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    drafts = d.select("doc_id", *(F.col("text").alias(c) for c in validate.SECTIONS), F.array("source").alias("references"), F.substring("text", 1, 200).alias("judgment_text"), F.lit(None).cast("string").alias("expected_case_number"))
+    return validate.violations(drafts).select("doc_id", F.array_join("violations", " | ").alias("violations"))
+
+
+def _answer(broken: bool) -> Column:
+    item = F.format_string('{"title":"Title %d","source_name":"src","source_url":"https://x.example/%d","legal_issue":"issue","suitability_reason":"reason","estimated_score":%d}', "event_id", "user_id", F.col("event_id") % 120)
+    whole = F.concat(F.lit('{"candidates":['), item, F.lit(","), item, F.lit("]}"))
+    return F.substr(whole, F.lit(1), F.length(whole) - 20) if broken else whole
+
+
+@query("SELECT event_id AS id, false AS salvaged, CAST(p AS INTEGER) AS pos, 'Title ' || event_id AS title, CAST(event_id % 120 AS INTEGER) AS estimated_score FROM events, (VALUES (0), (1)) AS t(p) WHERE event_id % 120 <= 100")
+def json_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), _answer(False).alias("text"))
+    return validate.parse_candidates(answers, 5).select("id", "salvaged", "pos", "c.title", "c.estimated_score")
+
+
+@query("SELECT event_id AS id, true AS salvaged, CAST(0 AS INTEGER) AS pos, 'Title ' || event_id AS title, CAST(event_id % 120 AS INTEGER) AS estimated_score FROM events WHERE event_id % 120 <= 100")
+def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), _answer(True).alias("text"))
+    return validate.parse_candidates(answers, 5).select("id", "salvaged", "pos", "c.title", "c.estimated_score")
+
+
+@query("SELECT event_id, props AS raw, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value FROM events WHERE json_valid(props)")
+def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where(F.try_parse_json("props").isNotNull())
+    value = F.expr("get_json_object(props, concat('$.', get(json_object_keys(props), 0)))")
+    return e.select("event_id", F.col("props").alias("raw"), value.alias("first_value"))
+
+
+HEADER_FIXTURES = [
+    (1, "المملكة\nالصك: ٣٣٦٥٩١٣٨ تاريخه: ١٤٣٣\nرقم الدعوى: 1990/1434\nقرار التصديق رقم: 34251262 تاريخه 1434/06/25\nالموضوعات\nنص"),
+    (2, "رقم القضية في المحكمة الإدارية 1/ق/9221 لعام 1437هـ\nرقم القضية في محكمة الاستئناف الإدارية 55\nالموضوعات\nمستند الحكم"),
+    (3, "لجنة الفصل في منازعات الأوراق المالية\nرقم القضية لدى لجنة الفصل في منازعات الأوراق المالية: 45/10\nنوع الدعوى: مدنية\nالتصنيف"),
+    (4, "المحكمة العامة\nوقد أشار المدعي في القضية رقم 5555 إلى ذلك"),
+    (5, ""),
+]
+
+
+@query()
+def header_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.createDataFrame(HEADER_FIXTURES, "doc_id int, text string")
+    return pages.select("doc_id", headers.primary_header("text").alias("h"), headers.judgment_metadata("text").alias("m"), F.array_join(headers.labelled_numbers("text"), ",").alias("labels")).select("doc_id", "h.*", F.col("m.court_name").alias("court_name"), F.col("m.judgment_year").alias("judgment_year"), F.col("m.decision_number").alias("decision_number"), "labels")
+
+
+@query("""WITH RECURSIVE r AS (SELECT event_id AS request_id, user_id AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+g AS (SELECT request_id, key, rn, ts + INTERVAL 30 MINUTE AS until, true AS granted FROM r WHERE rn = 1 UNION ALL
+  SELECT r.request_id, r.key, r.rn, CASE WHEN r.ts > g.until THEN r.ts + INTERVAL 30 MINUTE ELSE g.until END, r.ts > g.until FROM g JOIN r ON r.key = g.key AND r.rn = g.rn + 1)
+SELECT key, request_id, granted FROM g""")
+def reservation_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"))
+    return identity.reservations(asked).select("key", "request_id", "granted")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, 'completed' AS status, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
+def sse_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    data = F.to_json(F.struct(F.lit("response.output_text.delta").alias("type"), F.col("text").alias("delta")))
+    events = c.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.lit(None).cast("string").alias("event"), data.alias("data"))
+    return stream.fold_batch(events).select("stream_id", "status", "text")
+
+
+@query("""WITH w AS (SELECT conv_id, turn, trim(text) AS text, 300 - coalesce(sum(length(trim(text))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM conversations WHERE length(trim(text)) > 0)
+SELECT conv_id AS doc_id, string_agg(substr(text, 1, CAST(room AS BIGINT)), chr(10) || chr(10) ORDER BY turn) AS text FROM w WHERE room > 0 GROUP BY conv_id""")
+def bounded_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.bounded_text(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text"), 300)
+
+
+@query("SELECT l_orderkey, l_linenumber, sha256(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, 'v6')) AS catalog_key FROM lineitem")
+def sha_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = text.key_of(*map(F.col, ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")), F.lit("v6"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", key.alias("catalog_key"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 8 OFFSET 8")
+def paged_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").orderBy("n_nationkey").offset(8).limit(8).select("n_nationkey", "n_name")
+
+
+_AS_PDF = r'href="/([A-Z][a-z]*)[^"]*"'
+
+
+@query(rf"""WITH landing AS (SELECT url, html FROM pages WHERE starts_with(url, 'https:') AND {_HOST} IN ('tionsh.example.net', 'blog.tionsh.example.net') ORDER BY url LIMIT 3),
+links AS (SELECT DISTINCT 'https://' || {_HOST} || '/docs/' || unnest(regexp_extract_all(html, '{_AS_PDF}', 1)) || '.pdf' AS url FROM landing)
+SELECT 's:crawl:' || substr(sha256(url), 1, 16) AS document_id, url FROM links""")
+def crawl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = profiles.registry(spark, REGISTRY)
+    pages = table(spark, sf_dir, "pages").select("url", F.regexp_replace("html", _AS_PDF, 'href="/docs/$1.pdf"').alias("html"))
+    landing = tuple(r[0] for r in profiles.classify(pages.select("url"), domains).where("original_pdf").orderBy("url").limit(3).collect())
+    source = profiles.Source("s", "net", "Net", "landing_page_crawl", landing_pages=landing, max_depth=2, max_pages=50, document_prefixes=("/docs/",))
+    return crawl.crawl(pages, domains, source)
+
+
+@query("""SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 10 <> 4 UNION ALL SELECT o_orderkey, o_custkey, -1.0 FROM orders WHERE o_orderkey % 10 = 4""")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    twice = F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit(0.0).alias("p")), F.struct(F.lit(2).alias("seq"), F.lit(-1.0).alias("p"))))
+    new = old.where("o_orderkey % 10 = 4").select("o_orderkey", "o_custkey", twice.alias("x")).select("o_orderkey", "o_custkey", F.col("x.p").alias("o_totalprice"), F.col("x.seq").alias("seq"))
+    return identity.upserted(old, new, ["o_orderkey"])
+
+
+@query("""SELECT event_id, user_id AS key, event_type AS text FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE event_type IS DISTINCT FROM before""")
+def progress_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("text"))
+    return stream.changes(e).select("event_id", "key", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
