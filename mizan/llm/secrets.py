@@ -39,8 +39,13 @@ def labelled_samples(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     drawn = spark.range(RANDOM_STRINGS).select(
         F.explode(F.array(seed, F.base64(F.unhex(seed)), F.upper(F.substring(F.translate(F.base64(F.unhex(seed)), "+/=", ""), 1, 24)), F.translate(F.base64(F.unhex(F.reverse(seed))), "+/=", "-_"))).alias("sample")
     )
-    words = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(text_col, 1, SAMPLE_DOC_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS)
-    words = words.select(F.filter(F.split("t", "[^A-Za-z0-9]+"), lambda w: (F.length(w) > 1) & ~w.rlike("[0-9]{3}|[0-9a-f]{20}")).alias("w"))
+    rows = docs.where(F.col(text_col).isNotNull())
+    share = min(1.0, 3 * SAMPLE_DOCS / max(1, rows.count()))
+    draw = F.xxhash64(F.col(id_col).cast("string")).bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    words = rows.select(draw.alias("h"), F.substring(text_col, 1, SAMPLE_DOC_CHARS).alias("t")).where(F.col("h") < share).orderBy("h", "t").limit(SAMPLE_DOCS)
+    # words that the models are there to judge are no labelled identifiers
+    judged = lambda w: (F.length(w) >= 16) & w.rlike("[0-9]")
+    words = words.select(F.filter(F.split("t", "[^A-Za-z0-9]+"), lambda w: (F.length(w) > 1) & ~judged(w) & ~w.rlike("[0-9]{3}")).alias("w"))
     pairs = F.transform(F.slice("w", 1, 200), lambda w, i: F.concat_ws("_", w, F.coalesce(F.get("w", i + 1), F.lit("1"))))
     camel = F.transform(F.slice("w", 1, 200), lambda w, i: F.concat(w, F.initcap(F.coalesce(F.get("w", i + 1), F.lit("x"))), F.lit("2")))
     plain = words.select(F.explode(F.concat("w", pairs, camel)).alias("sample"))
