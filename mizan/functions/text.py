@@ -164,13 +164,22 @@ def tokens_match(text: Column, tokens: Column) -> Column:
     return (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(plain, t))
 
 
-def safe_filename(c: Column, longest: int = 80) -> Column:
-    return F.substring(F.regexp_replace(F.coalesce(c, F.lit("file")), r"[^A-Za-z0-9._\-\u0600-\u06FF]+", "_"), 1, longest)
+def safe_filename(c: Column, longest: int = 80, empty: str = "case") -> Column:
+    """Letters of any script, digits, _ and -; other runs become one -; null and what is left empty get a name."""
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)[^\w\-\u0600-\u06FF]+", "-")
+    return F.coalesce(F.nullif(F.substring(F.btrim(plain, F.lit("-_")), 1, longest), F.lit("")), F.lit(empty))
 
 
 def human_size(n: Column) -> Column:
-    mb = n / F.lit(1024.0 * 1024.0)
-    return F.when(mb >= 1, F.concat(F.format_number(mb, 1), F.lit(" MB"))).otherwise(F.concat(F.format_number(n / F.lit(1024.0), 1), F.lit(" KB")))
+    kb = F.format_string("%.1f KB", n / F.lit(1024.0))
+    mb = F.format_string("%.1f MB", n / F.lit(1024.0 * 1024.0))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, kb).otherwise(mb)
+
+
+def short_reason(message: Column, kind: Column, longest: int = 140) -> Column:
+    """The head of an error's message, its kind if it has none."""
+    said = F.coalesce(strip(message), F.lit(""))
+    return F.when(said == "", kind).otherwise(F.substring(said, 1, longest))
 
 
 def key_of(*parts: Column) -> Column:

@@ -163,7 +163,8 @@ def candidates(cases: DataFrame, course: Course, excluded: DataFrame, limit: int
     """Search, exclusion, relevance gate and scores of one course: the best ``limit`` in the order of the search."""
     found = search(cases, subject_terms(course), course.preferred, max(limit * 8, RECALL_LEAST))
     left = not_excluded(found, excluded)
-    judged = left.withColumn("r", relevance(course, F.col("text"), normalize_relevance(F.col("text")))).where(F.col("r.accepted") & (F.length("pdf_sha256") == 64))
+    plain = left.where(F.length("pdf_sha256") == 64).withColumn("__plain", normalize_relevance(F.col("text")))
+    judged = plain.withColumn("r", relevance(course, F.col("text"), F.col("__plain"))).where("r.accepted").drop("__plain")
     scores = candidate_scores(F.col("r.score"), F.col("r.matched"), F.col("text"), F.col("case_number"), F.col("match_score"))
     topics = F.array_join(F.slice("r.matched", 1, 3), "، ")
     out = judged.select("*", F.col("r.score").alias("subject_relevance"), topics.alias("topics"), *(c.alias(n) for n, c in scores.items())).drop("r")

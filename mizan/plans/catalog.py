@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import headers, text, urls
-from ..operators import identity, quality, retrieve, segment, validate
+from ..operators import identity, quality, retrieve, segment, validate, workflow
 from ..operators.retrieve import Course
 from ..sources import crawl, profiles
 from ..streaming import events as stream
@@ -469,6 +469,43 @@ def progress_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.changes(e).select("event_id", "key", "text")
 
 
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.page_no, b.page_no) AS page_no, a.text AS text_a, b.text AS text_b FROM (SELECT conv_id AS doc_id, turn AS page_no, role AS text FROM conversations WHERE turn % 3 <> 0) a FULL JOIN (SELECT conv_id AS doc_id, turn AS page_no, upper(role) AS text FROM conversations WHERE turn % 2 = 0) b ON a.doc_id = b.doc_id AND a.page_no = b.page_no")
+def engine_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.col("role").alias("text"))
+    return workflow.merge_engines(pages.where("page_no % 3 <> 0"), pages.where("page_no % 2 = 0").withColumn("text", F.upper("text")))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '2-HIGH' ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
+def usage_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("used_at"), F.col("o_orderkey").alias("pdf_sha256"), F.col("o_orderpriority").alias("subject_slug"))
+    return workflow.usage_window(hist, 1000, 200, "2-HIGH").select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT l.l_orderkey, l.l_linenumber, CASE WHEN o.o_orderkey IS NULL THEN 'not fetched' WHEN lower(o.o_orderpriority) <> lower(CASE WHEN l.l_linenumber % 2 = 0 THEN o.o_orderpriority ELSE '1-urgent' END) THEN 'fingerprint changed' WHEN l.l_linenumber > 4 THEN 'range exceeds file' END AS fault
+FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 5 <> 0) o ON o.o_orderkey = l.l_orderkey""")
+def range_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    art = orders.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("url"), F.col("o_orderpriority").alias("sha256"), F.lit(4).alias("page_count"))
+    named = orders.select(F.col("o_orderkey").alias("url"), "o_orderpriority")
+    cand = lines.select(F.col("l_orderkey").alias("url"), "l_linenumber", F.col("l_linenumber").alias("pdf_page_end")).join(named, "url", "left")
+    cand = cand.withColumn("catalog_pdf_sha256", F.when(F.col("l_linenumber") % 2 == 0, F.col("o_orderpriority")).otherwise(F.lit("1-urgent")))
+    return workflow.range_faults(cand, art).select(F.col("url").alias("l_orderkey"), "l_linenumber", "fault")
+
+
+@query(f"""WITH {_CASES}, m AS (SELECT doc_id, case_number, text, {_score_sql(_PLAIN, PREFERRED)} AS match_score FROM cases)
+SELECT doc_id, CASE WHEN coalesce(case_number, '') <> '' THEN 18 ELSE 14 END AS clarity, CASE WHEN length(text) >= 1800 THEN 13 ELSE 10 END AS reasoning, CAST(least(15, 11 + match_score // 30) AS INTEGER) AS commentary,
+  CAST(least(96, 30 + CASE WHEN coalesce(case_number, '') <> '' THEN 18 ELSE 14 END + CASE WHEN length(text) >= 1800 THEN 13 ELSE 10 END + least(15, 11 + match_score // 30) + 10) AS INTEGER) AS estimated FROM m""")
+def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = retrieve.match_score(F.col("normalized_text"), _PLAIN, F.col("source_id").isin(*PREFERRED), retrieve.present(F.col("case_number")), retrieve.present(F.col("court_name")))
+    parts = retrieve.candidate_scores(F.lit(30), F.array(F.lit("x")), F.col("text"), F.col("case_number"), F.col("match_score"))
+    return cases(spark, sf_dir).withColumn("match_score", score).select("doc_id", *(c.alias(n) for n, c in parts.items()))
+
+
+@query("SELECT count(*) AS seen, count(*) - CAST(count_if(quality = 0) AS BIGINT) AS indexed, CAST(count_if(quality = 0) AS BIGINT) AS failed, CAST(coalesce(sum(CASE WHEN quality <> 0 THEN doc_id % 5 END), 0) AS BIGINT) AS cases FROM labels")
+def build_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.build_counters(table(spark, sf_dir, "labels").select((F.col("quality") == 0).alias("failed"), (F.col("doc_id") % 5).alias("n_cases")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
