@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch, so that a run of very long texts stays within a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
@@ -36,3 +37,14 @@ def arrow_limits(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Buckets of a prefilter; a broadcast of at most so many numbers, whatever the input.
+BUCKETS = 1 << 20
+
+
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Rows whose key may be among the wanted ones: by the buckets that those fall into. An exact join must follow; it then
+    shuffles what may match instead of all rows."""
+    buckets = wanted.select(F.pmod(F.col(wanted_key), F.lit(BUCKETS)).alias("__bucket")).distinct()
+    return rows.join(F.broadcast(buckets), F.pmod(F.col(key), F.lit(BUCKETS)) == F.col("__bucket"), "left_semi")

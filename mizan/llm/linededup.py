@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_limits, saved
+from .common import arrow_limits, maybe_in, saved
 
 #: Lines of fewer words match only if equal: one word of a few is not a small edit.
 MIN_WORDS = 10
@@ -113,14 +113,16 @@ def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     every = saved(lines(docs, min_words), "lines")
     place = F.struct("doc_id", "text_key", "line_no").alias("place")
     distinct = saved(every.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("halves").alias("halves")), "distinct-lines")
-    keys = distinct.select("place", F.explode("halves").alias("key")).distinct()
-    shared = keys.groupBy("key").count().where("count > 1").select("key")
-    crowd = keys.join(shared, "key", "left_semi").select("place").distinct()
-    by_doc = crowd.groupBy("place.doc_id", "place.text_key").agg(F.collect_list("place.line_no").alias("own"))
-    with_text = by_doc.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "own")
+    # a line's four keys are distinct, so a key of two lines has two hashes
+    keys = distinct.select("h1", F.explode("halves").alias("key"))
+    shared = saved(keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"), "shared-halves")
+    crowd = maybe_in(keys, "key", shared, "key").join(shared, "key", "left_semi").select("h1").distinct()
+    by_doc = distinct.join(crowd, "h1", "left_semi").groupBy("place.doc_id", "place.text_key").agg(F.collect_list("place.line_no").alias("own"))
+    with_text = saved(by_doc.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "own"), "crowded-lines")
+    docs = maybe_in(docs, "text_key", with_text, "k")
     same = docs["doc_id"].eqNullSafe(with_text["d"]) & docs["text_key"].eqNullSafe(with_text["k"])
     texts = docs.join(with_text, same).select("doc_id", "text_key", "text", "own")
-    v = saved(_variants(texts, min_words), "variants").select(place, "v", "n", "gap").distinct()
+    v = saved(_variants(texts, min_words), "variants").select(place, "v", "n", "gap")
     # lines of min_words - 1 words are there for the lines that are one longer; among themselves they must be equal
     lacking = v.where("gap >= 0")
     one_place = lacking.where(F.col("n") >= min_words - 1).groupBy("v", "n", "gap").agg(F.min("place").alias("least"), F.count("*").alias("c")).where("c > 1")
