@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import joined, links, part, path_allowed, unescaped
+from ..shared import allow_checkpoints
 from .profiles import Source, classify
 
 
@@ -27,6 +28,7 @@ def crawl(pages: DataFrame, domains: DataFrame, source: Source) -> DataFrame:
     max_pages how many pages are read: the shallowest, by address within a depth.
     """
     spark = pages.sparkSession
+    allow_checkpoints(spark)
     every = page_links(pages)
     frontier = spark.createDataFrame([(u,) for u in source.landing_pages] or [], "url string").distinct()
     seen, documents, n_read = None, None, 0
