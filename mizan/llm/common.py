@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 #: Rows and bytes of one Arrow batch, so that a run of very long texts stays within a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="mizan-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
