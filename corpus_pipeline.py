@@ -23,17 +23,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id stays of each group; of rows repeated with their id one stays."""
-    groups = simhash.near_duplicates(docs, "doc_id", "text").where("doc_id <=> component_id").select("doc_id").distinct()
-    first = docs.dropDuplicates(["doc_id"])
-    return first.join(groups.withColumnRenamed("doc_id", "__first"), F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
+    """One document of each group stays, that of the least id; of rows repeated with id and text one."""
+    found = saved(simhash.near_duplicates(docs, "doc_id", "text").where("stays").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text")), "stays")
+    left = docs.select("*", F.xxhash64(F.col("text")).alias("__key"))
+    left = left.join(found.distinct(), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__text")), "left_semi")
+    if not found.groupBy("__doc", "__text").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "__key"])
+    return left.select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go whole."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = found.where("contaminated").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text")).distinct()
+    left = docs.select("*", F.xxhash64(F.col("text")).alias("__key"))
+    return left.join(bad, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__text")), "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from .common import arrow_limits
 #: The labelled sample: documents of a language, characters of each, and characters of a language in all.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 60, 4000, 60_000
 #: Words whose phrase counts a worker keeps; only speed depends on it.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SHIFT = 21  # a code point's bits

@@ -14,7 +14,7 @@ import json
 import re
 import struct
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
@@ -31,7 +31,7 @@ SIZE = 2048
 #: Steps of the grid of lengths and the most documents in a pattern.
 GRID, PARTS = 128, 4
 #: Words whose ids a worker keeps; only speed depends on it.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 _INNER_SPACES = re.compile(r" (?=\s|\Z)")
 _WORD_START = re.compile(r" (?=\S)")
 #: How a byte-level BPE of this kind splits text (fixed pattern).
@@ -156,34 +156,34 @@ def plan(histogram: dict[int, int], size: int = SIZE, grid: int = GRID, parts: i
     and of rank r, lo <= r < hi, stands in sequence ``sequence + r - lo`` at ``offset``."""
     step = -(-size // grid)
     left = {n: c for n, c in histogram.items() if c > 0}
-    taken = dict.fromkeys(left, 0)
+    taken, there = dict.fromkeys(left, 0), sorted(left)
+    cells = np.zeros(grid, int)
+    for n, c in left.items():
+        cells[-(-n // step) - 1] += c
     groups: list[tuple[int, list[tuple[int, int]]]] = []  # count of like sequences, (length, first rank) of each place
 
     def take(n: int, count: int) -> tuple[int, int]:
         first = taken[n]
         taken[n] += count
         left[n] -= count
+        cells[-(-n // step) - 1] -= count
+        if not left[n]:
+            there.remove(n)
         return n, first
 
     if left.get(size):
         groups.append((left[size], [take(size, left[size])]))
-    cells = np.zeros(grid)
-    for n, c in left.items():
-        cells[-(-n // step) - 1] += c
     if cells.any():
-        ways = patterns(grid, parts)
-        fitted = nnls(ways, cells / cells.sum())
-        scaled = np.floor(fitted * cells.sum() + 1e-6).astype(int)
+        ways, total = patterns(grid, parts), int(cells.sum())
+        scaled = np.floor(nnls(ways, cells / total) * total + 1e-6).astype(int)
         for j in np.argsort(-scaled, kind="stable"):
+            # all places but the smallest take the longest pieces of their cells; the smallest takes what fits best
             need = ways[:, j].astype(int)
+            need[np.flatnonzero(need)[0]] -= 1
             where = np.flatnonzero(need)
             times = int(min([scaled[j], *(cells[where] // need[where])]))
-            if times <= 0:
-                continue
-            cells[where] -= times * need[where]
-            # each place takes the longest pieces left in its cell; a run ends where any place comes to another length
             runs = []
-            for w in where:
+            for w in where if times > 0 else ():
                 for _ in range(need[w]):
                     own, want = [], times
                     for n in range(min((w + 1) * step, size), w * step, -1):
@@ -193,9 +193,13 @@ def plan(histogram: dict[int, int], size: int = SIZE, grid: int = GRID, parts: i
                             want -= m
                     runs.append(own)
             done = 0
-            while done < times:
+            while runs and done < times:
+                # a run ends where any place comes to another length
                 m = min(r[0][0] for r in runs)
-                groups.append((m, [r[0][1] for r in runs]))
+                i = bisect_right(there, size - sum(r[0][1][0] for r in runs)) - 1
+                if i >= 0:
+                    m = min(m, left[there[i]])
+                groups.append((m, [r[0][1] for r in runs] + ([take(there[i], m)] if i >= 0 else [])))
                 for r in runs:
                     c, (n, first) = r[0]
                     r[:1] = [(c - m, (n, first + m))] if c > m else []

@@ -46,16 +46,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp long) of each row; null text has no words, so fingerprint 0."""
+    """(doc_id, text_key, fp long) of each row; null text has no words, so fingerprint 0."""
     arrow_limits(df.sparkSession)
-    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    src = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, shingle, seed) for t in b.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, fp long")
+    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, text_key long, fp long")
 
 
 def masks(free: list[int]) -> list[int]:
@@ -131,19 +132,23 @@ def near_links(prints: DataFrame, fp: str = "fp", bucket: int = BUCKET) -> DataF
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, component_id) of each row: component_id is the least doc_id reachable by links of at most 3 bits.
+    """(doc_id, text_key, fp, component_id, stays) of each row: component_id is the least doc_id reachable by links of at most
+    3 bits; stays marks the one document of a component that a deduplication keeps, that of the least id.
 
-    Equal fingerprints are one node, so copies are never expanded. Null ids keep their row; a component of null ids alone
-    has a null component_id. Repeated rows stay.
+    Equal fingerprints are one node, so copies are never expanded. Null ids keep their row and come last; a component of
+    null ids alone has a null component_id. Rows repeated with id and text have the same marks.
     """
     prints = saved(fingerprints(df, id_col, text_col), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    nodes = saved(nodes, "nodes")
+    this = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(this).alias("keeper")), "nodes")
     by_print = connected(near_links(nodes))  # over fingerprints; a root there need not hold the least doc_id
-    roots = by_print.join(nodes, by_print["node"] == nodes["fp"]).groupBy("root").agg(F.min("first").alias("least"))
-    moved = by_print.join(roots, "root").select(F.col("node").alias("fp"), "least")
-    every = nodes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return prints.join(every, "fp").select("doc_id", "fp", "component_id")
+    roots = by_print.join(nodes, by_print["node"] == nodes["fp"]).groupBy("root").agg(F.min("first").alias("least"), F.min("keeper").alias("kept"))
+    moved = by_print.join(roots, "root").select(F.col("node").alias("fp"), F.lit(True).alias("moved"), "least", "kept")
+    own = nodes.join(moved, "fp", "left")
+    pick = lambda a, b: F.when(F.col("moved"), F.col(a)).otherwise(F.col(b))
+    every = saved(own.select("fp", pick("least", "first").alias("component_id"), pick("kept", "keeper").alias("keeper")), "components")
+    # a join of two tables as they are, so that a fingerprint of very many documents can be split
+    return prints.join(every, "fp").select("doc_id", "text_key", "fp", "component_id", this.eqNullSafe(F.col("keeper")).alias("stays"))
 
 
 def op3(documents: DataFrame) -> DataFrame:
