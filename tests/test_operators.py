@@ -131,7 +131,7 @@ def test_identity(spark):
     assert {r["id"] for r in identity.used(new, hist, "id").collect()} == {1, 2}
     assert {r["id"] for r in identity.insertable(new, hist, "id").collect()} == {3, 5}
     kept = retrieve.not_excluded(new.drop("pdf_sha256"), hist)
-    assert {r["id"] for r in kept.collect()} == {2, 3, 4, 5} - set()
+    assert {r["id"] for r in kept.collect()} == {2, 3, 4, 5}
 
 
 def test_reservations_expire(spark):
