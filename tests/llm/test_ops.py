@@ -325,7 +325,7 @@ def test_decontamination_proximity_and_odd_rows(spark, odd):
     docs = as_docs(spark, ["alpha beta gamma delta epsilon zeta eta theta iota x y kappa lambda mu nu xi", "alpha beta"])
     _, m = decontam.find(docs, items)
     assert {(r["doc_id"], r["kind"]) for r in m.select("doc_id", "kind").distinct().collect()} <= {(0, "proximity")}
-    assert decontam.op4(odd, items).count() == odd.count() + 0
+    assert decontam.op4(odd, items).count() == odd.count()
     assert decontam.op4(odd, items.limit(0)).where("n_hit > 0 or contaminated").count() == 0
     assert decontam.op4(odd.limit(0), items).count() == 0
 
@@ -370,7 +370,7 @@ def slow_personal(t):
 def test_secrets(spark, odd):
     rnd = random.Random(13)
     mixed = ["".join(rnd.choice([*SECRETS, " ", "token=", "é", "AKIA", "0f"]) for _ in range(5)) for _ in range(60)]
-    texts = [t for t in [*ODD, *SECRETS, *mixed]]
+    texts = [*ODD, *SECRETS, *mixed]
     got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets.op5(as_docs(spark, texts)).collect()}
     assert got == {i: slow_secrets(t) for i, t in enumerate(texts)}
     assert secrets.op5(odd).count() == odd.count() and secrets.op5(odd.limit(0)).count() == 0
