@@ -144,3 +144,18 @@ def test_changes(spark):
     df = spark.createDataFrame([("k", 1, "a"), ("k", 2, "a"), ("k", 3, "b"), ("k", 4, "a")], "key string, at int, text string")
     assert [r["at"] for r in stream.changes(df).orderBy("at").collect()] == [1, 3, 4]
     assert df.where(F.lit(False)).count() == 0
+
+
+def test_reserve_stream_equals_batch(spark, tmp_path):
+    from mizan.operators.identity import reservations
+    from mizan.streaming.reservations import reserve_stream
+
+    schema = "request_id long, key string, at timestamp, release boolean"
+    rows = [(i, f"k{i % 3}", datetime(2024, 1, 1, i * 7 % 24, i * 13 % 60), False) for i in range(40)]
+    df = spark.createDataFrame(rows, schema)
+    df.write.parquet(f"file://{tmp_path}/in")
+    out = reserve_stream(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"))
+    q = out.writeStream.format("memory").queryName("reserved").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    want = {(r["key"], r["request_id"], r["granted"]) for r in reservations(df).collect()}
+    assert {tuple(r) for r in spark.sql("select key, request_id, granted from reserved").collect()} == want
