@@ -124,15 +124,15 @@ def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     texts = docs.join(with_text, same).select("doc_id", "text_key", "text", "own")
     v = saved(_variants(texts, min_words), "variants").select(place, "v", "n", "gap")
     # lines of min_words - 1 words are there for the lines that are one longer; among themselves they must be equal
-    lacking = v.where("gap >= 0")
-    one_place = lacking.where(F.col("n") >= min_words - 1).groupBy("v", "n", "gap").agg(F.min("place").alias("least"), F.count("*").alias("c")).where("c > 1")
-    changed = lacking.join(one_place, ["v", "n", "gap"]).where("place > least").select("place")
-    whole = v.where("gap < 0").groupBy("v", "n").agg(F.min("place").alias("whole"))
-    less = lacking.where(F.col("n") >= min_words - 1).groupBy("v", "n").agg(F.min("place").alias("least"))
-    both = whole.join(less, ["v", "n"])
-    shorter = both.where("whole > least").select(F.col("whole").alias("place"))
-    longer = lacking.join(both.select("v", "n", "whole"), ["v", "n"]).where("place > whole").select("place")
-    gone = changed.union(shorter).union(longer).distinct()
+    lacking = v.where((F.col("gap") >= 0) & (F.col("n") >= min_words - 1))
+    one_place = lacking.groupBy("v", "n", "gap").agg(F.min("place").alias("least"), F.count("*").alias("c")).where("c > 1")
+    one_place = saved(one_place, "shared-variants")
+    changed = maybe_in(lacking, "v", one_place, "v").join(one_place, ["v", "n", "gap"]).where("place > least").select("place")
+    whole = saved(v.where("gap < 0").groupBy("v", "n").agg(F.min("place").alias("whole")), "whole-variants")
+    both = saved(maybe_in(lacking, "v", whole, "v").join(whole, ["v", "n"]), "longer-variants")
+    longer = both.where("place > whole").select("place")
+    shorter = both.where("whole > place").select(F.col("whole").alias("place"))
+    gone = changed.union(longer).union(shorter).distinct()
     kept = distinct.select("place").join(gone, "place", "left_anti")
     return kept.groupBy("place.doc_id", "place.text_key").agg(F.array_sort(F.collect_list("place.line_no")).alias("kept"))
 
