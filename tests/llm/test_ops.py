@@ -413,7 +413,7 @@ def test_wrappers(spark):
         return f"<!DOCTYPE html><html><head><title>t{i}</title><style>p{{}}</style><script>var a='</p><p>no';</script></head><body><nav><ul>{links}</ul></nav><div class='sidebar x'>side {i}</div>{body}<footer>&copy; {i}<p>foot</footer></body></html>"
 
     rows = [
-        (1, "http://a.example/1", page(1, "<article><h1>Head &amp; 1</h1><p><b>One\n two<br>three<p>Four &lt;b&gt;</p><form>no</form><div class=comments>no</div></article>")),
+        (1, "http://a.example/1", page(1, "<article><h1>Head &amp; 1</h1><p><b>One\n two<br>three<p>Four &lt;b&gt;</p><form>no</form><button>no</button><div class=comments>no</div></article>")),
         (2, "http://a.example/2", page(2, "<article><h1>Two</h1><p>x</article>", 5)),
         (3, "http://b.example/1", page(3, "<div id=wrap><div class=story><p>Long text of the story number three.<p>More of it here.</div></div>")),
         (4, "http://b.example/2", page(4, "<div id=wrap><div class=story><p>Other words stand in this one.</div></div>")),
