@@ -54,7 +54,7 @@ def _tokenizer(path: str):
 
 
 class WordCache:
-    """Ids of whole texts. A byte-level BPE never joins what stands before a space and a following non-space, so a text
+    """Ids of texts without added tokens. A byte-level BPE never joins what stands before a space and a following non-space, so a text
     is cut there, and the ids of a cut with its space are computed once for each worker."""
 
     def __init__(self, path: str):
@@ -73,9 +73,28 @@ class WordCache:
         return struct.pack(f"<{len(head)}I", *head) + b"".join([get(w) or new(w) for w in words[1:]])
 
 
+class TextIds:
+    """Ids of whole texts as the tokenizers file says: its added tokens, wherever they stand in a text, are their own ids;
+    what lies between them is encoded by itself."""
+
+    def __init__(self, path: str):
+        added = json.loads(Path(path).read_text())["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that stand anywhere are asked for")
+        self.plain, self.added = WordCache(path), {t["content"]: struct.pack("<I", t["id"]) for t in added}
+        # the longest of those that begin at a place
+        self.split = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})").split if added else lambda text: [text]
+
+    def __call__(self, text: str) -> bytes:
+        parts = self.split(text)
+        if len(parts) == 1:
+            return self.plain(text)
+        return b"".join([self.added[p] if i % 2 else self.plain(p) for i, p in enumerate(parts)])
+
+
 @cache
-def word_cache(path: str) -> WordCache:
-    return WordCache(path)
+def text_ids(path: str) -> TextIds:
+    return TextIds(path)
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, size: int = SIZE) -> DataFrame:
@@ -85,7 +104,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, size:
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, met = word_cache(tokenizer_path), TaskContext.get().partitionId(), [0] * (size + 1)
+        ids_of, part, met = text_ids(tokenizer_path), TaskContext.get().partitionId(), [0] * (size + 1)
         for b in batches:
             row, rest = [], []
             for i, text in enumerate(b.column(1).to_pylist()):

@@ -1,6 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
-from mizan.llm import wrappers
+import random
+import zlib
+
+import numpy as np
+
+from mizan.llm import packing, wrappers
+from mizan.llm.queries import tokenizer_path
 
 
 def test_wrapper_slots_that_start_alike(spark):
@@ -8,3 +14,17 @@ def test_wrapper_slots_that_start_alike(spark):
     rows = [(i, f"http://d.example/{i}", f"<body><div><h2>Head {i}</h2></div><div>{lead}Story {i} {'tells more ' * 20}</p></div></body>") for i in range(3)]
     got = {r["page_id"]: r["text"] for r in wrappers.op7(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(f"Story {i} tells more" in got[i] for i in range(3))
+
+
+def test_added_tokens_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    rnd = random.Random(3)
+    parts = [" ", "  ", "\n", "a", "don't", "é", "12", "<|endoftext|>", "<|endoftext", "|>"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", *("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(200))]
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", tokenizer_path()).collect()}
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), repr(text)
+    assert 50256 in t.encode(texts[0], add_special_tokens=False).ids
