@@ -22,8 +22,8 @@ ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 #: A run of 24 or more; a match starts where a run does, so each character is looked at once.
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-#: Tokens that the models score: long, with a digit and a letter.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
+#: Tokens that the models score: all long ones.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, RANDOM_STRINGS = 400, 4000, 2000
 #: Mean log-likelihood ratio of a pair from which a token counts as random.
@@ -44,8 +44,7 @@ def labelled_samples(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     draw = F.xxhash64(F.col(id_col).cast("string")).bitwiseAND((1 << 53) - 1) / float(1 << 53)
     words = rows.select(draw.alias("h"), F.substring(text_col, 1, SAMPLE_DOC_CHARS).alias("t")).where(F.col("h") < share).orderBy("h", "t").limit(SAMPLE_DOCS)
     # words that the models are there to judge are no labelled identifiers
-    judged = lambda w: (F.length(w) >= 16) & w.rlike("[0-9]")
-    words = words.select(F.filter(F.split("t", "[^A-Za-z0-9]+"), lambda w: (F.length(w) > 1) & ~judged(w) & ~w.rlike("[0-9]{3}")).alias("w"))
+    words = words.select(F.filter(F.split("t", "[^A-Za-z0-9]+"), lambda w: F.length(w).between(2, 15) & (~w.rlike("[0-9]{3}") | w.rlike("^[0-9]+$"))).alias("w"))
     pairs = F.transform(F.slice("w", 1, 200), lambda w, i: F.concat_ws("_", w, F.coalesce(F.get("w", i + 1), F.lit("1"))))
     camel = F.transform(F.slice("w", 1, 200), lambda w, i: F.concat(w, F.initcap(F.coalesce(F.get("w", i + 1), F.lit("x"))), F.lit("2")))
     plain = words.select(F.explode(F.concat("w", pairs, camel)).alias("sample"))
@@ -54,7 +53,7 @@ def labelled_samples(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def train(docs: DataFrame, id_col: str, text_col: str) -> list[float]:
     """Log-likelihood ratios, random over identifier, of a character after another; place: 68 * first + second. Without
-    documents the identifier model is uniform."""
+    documents the identifier model is uniform. A character after itself says nothing: ruler lines are in no word."""
     n = len(ALPHABET)
     at = lambda c: F.instr(F.lit(ALPHABET), c) - 1
     pairs = F.transform(F.sequence(F.lit(1), F.length("sample") - 1), lambda i: F.substring("sample", i, F.lit(2)))
@@ -67,7 +66,7 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> list[float]:
             row = [counts.get((kind, a * n + b), 0) + 0.5 for b in range(n)]
             for b in range(n):
                 model[kind, a * n + b] = math.log(row[b] / sum(row))
-    return [round(model[True, p] - model[False, p], 4) for p in range(n * n)]
+    return [round(model[True, p] - model[False, p], 4) if p // n != p % n else 0.0 for p in range(n * n)]
 
 
 def ratio(token: Column, table: list[float]) -> Column:
@@ -93,7 +92,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         "doc_id", "text", assign.alias("assign"), matches(t, ACCESS, F.contains(t, F.lit("AKIA"))).alias("access"), matches(t, HEX).alias("hex"), matches(t, TOKEN).alias("tokens")
     )
     base = F.concat("assign", "access", "hex")
-    alone = F.filter("tokens", lambda x: ~F.exists(base, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])) & (ratio(x["m"], table) >= threshold))
+    alone = F.filter("tokens", lambda x: ~F.exists(base, lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"])) & (ratio(x["m"], table) >= threshold))
     return found.select("doc_id", "text", "assign", "access", "hex", alone.alias("markov"))
 
 

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from mizan.llm import packing, wrappers
+from mizan.llm import packing, secrets, wrappers
 from mizan.llm.queries import tokenizer_path
 
 
@@ -28,3 +28,19 @@ def test_added_tokens_keep_their_ids(spark):
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]
         assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), repr(text)
     assert 50256 in t.encode(texts[0], add_special_tokens=False).ids
+
+
+def test_secrets_of_letters_and_around_base_spans(spark):
+    rnd = random.Random(41)
+    words = ["".join(rnd.choice(("re", "con", "tion", "al", "ment", "er", "in", "get", "set", "user", "name")) for _ in range(rnd.randint(1, 4))) for _ in range(400)]
+    docs = [" ".join(rnd.choice(words) for _ in range(200)) for _ in range(40)]
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rnd.choice(alphabet) for _ in range(32)) for alphabet in (upper + lower, lower) for _ in range(20)]
+    hexed = "QzX7" + "0123456789abcdef01234567" + "KvW9pQ"
+    plain = ["_".join(rnd.choice(words) for _ in range(5)) for _ in range(20)] + [c * 24 for c in "-=_9A/"]
+    texts = [*docs, *(f"see {k} there" for k in (*keys, hexed, *plain))]
+    got = {r["doc_id"]: r["spans"] for r in secrets.op5(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    said = [got[len(docs) + i] for i in range(len(texts) - len(docs))]
+    assert sum(s == "markov:4:36" for s in said[: len(keys)]) >= 0.95 * len(keys)
+    assert said[len(keys)] == "markov:4:38,hex:7:32"
+    assert not any("markov" in s for s in said[len(keys) + 1 :]), said[len(keys) + 1 :]
