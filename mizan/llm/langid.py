@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,16 +81,21 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, dict[int, int]]:
-    """An automaton for each label. The sample is bounded for each language and spread over all rows by a hash of the id."""
+    """An automaton for each label. The sample is at most 3 * SAMPLE_DOCS distinct documents for each language, spread over
+    all rows by a hash of id and text; null ids and repeated rows make it no larger."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().collect()}  # a row for each language
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
+    counts = {r[0]: max(1, r[1]) for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.approx_count_distinct(key)).collect()}  # a row for each language
     if not counts:
         return {}
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3 * SAMPLE_DOCS / n)))), F.col(lang_col))
-    draw = (F.xxhash64(F.col(id_col).cast("string")).bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("draw")
+    # above the limit by the estimate's error, so that the limit below decides
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 6 * SAMPLE_DOCS / n)))), F.col(lang_col))
+    draw = (key.bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("draw")
     drawn = rows.select(F.col(lang_col).alias("lang"), draw, F.substring(text_col, 1, SAMPLE_DOC_CHARS).alias("text")).where(F.col("draw") < share)
+    once = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text"))  # repeated rows meet in their own task
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     texts: dict[str, list[tuple[float, str]]] = {}
-    for r in drawn.collect():  # about three times SAMPLE_DOCS rows for each language
+    for r in once.withColumn("n", least).where(F.col("n") <= 3 * SAMPLE_DOCS).collect():
         texts.setdefault(r["lang"], []).append((r["draw"], r["text"]))
     return {lang: automaton((" " + " ".join(w for _, t in sorted(own) for w in words_of(t)) + " ")[:SAMPLE_CHARS]) for lang, own in sorted(texts.items())}
 

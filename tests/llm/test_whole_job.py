@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from mizan.llm import packing, secrets, wrappers
+from mizan.llm import langid, packing, secrets, wrappers
 from mizan.llm.queries import tokenizer_path
 
 
@@ -30,6 +30,16 @@ def test_added_tokens_keep_their_ids(spark):
     assert 50256 in t.encode(texts[0], add_special_tokens=False).ids
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    rows = [(None, f"text number {i} of many", "aa") for i in range(1500)] + [(7, "the same again", "bb")] * 1500 + [(i, f"bb {i}", "bb") for i in range(300)]
+    collected, kind = [], type(spark.range(0))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: collected.append(out := collect(self)) or out)
+    models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert set(models) == {"aa", "bb"}
+    assert all(sum(r["lang"] == k for r in collected[-1]) == 3 * langid.SAMPLE_DOCS for k in models)
+
+
 def test_secrets_of_letters_and_around_base_spans(spark):
     rnd = random.Random(41)
     words = ["".join(rnd.choice(("re", "con", "tion", "al", "ment", "er", "in", "get", "set", "user", "name")) for _ in range(rnd.randint(1, 4))) for _ in range(400)]
