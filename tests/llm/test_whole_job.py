@@ -16,6 +16,19 @@ def test_wrapper_slots_that_start_alike(spark):
     assert all(f"Story {i} tells more" in got[i] for i in range(3))
 
 
+def test_each_template_of_a_host_is_read(spark):
+    story = "Many words of this story. " * 40
+    rows = [(i, f"http://e.example/{i}", f"<body><article><p>{i} {story}</article></body>") for i in range(5)]
+    rows += [(i, f"http://e.example/{i}", f"<body><div><section><p>Other page {i}.</section></div></body>") for i in range(5, 8)]
+    rows += [(i, f"http://f.example/{i}", f"<body><div><div><p>{i} {story}</div></div></body>") for i in range(10, 15)]
+    rows += [(i, f"http://f.example/{i}", f"<body><table><tr><td>Short note {i}.</table></body>") for i in range(15, 18)]
+    rows += [(i, f"http://f.example/{i}", f"<body><div><div><ul><li>Listed {i}.</ul></div></div></body>") for i in range(20, 22)]
+    got = {r["page_id"]: r["text"] for r in wrappers.op7(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Other page {i}." for i in range(5, 8)) and all(got[i] == f"Short note {i}." for i in range(15, 18))
+    assert all(got[i] == f"Listed {i}." for i in (20, 21))
+    assert all(got[i] == f"{i} {story}".strip() for i in (*range(5), *range(10, 15)))
+
+
 def test_added_tokens_keep_their_ids(spark):
     from tokenizers import Tokenizer
 
