@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,19 +60,27 @@ def reservations(requests: DataFrame, ttl_minutes: int = 30) -> DataFrame:
     """requests (request_id, holder key, at) -> with ``granted``: a key is free once its holder's time has run out.
 
     A grant lasts ttl from its start, so which requests are granted follows from the first on: the next grant of a key is its
-    first request after the last grant's end. The fold over a key's times keeps only the end of the running grant.
+    first request after the last grant's end. The fold runs over sorted rows and keeps only the end of the running grant, so
+    a key may have any number of requests; those of one key are still folded by one task.
     """
-    ttl = F.expr(f"INTERVAL {max(1, ttl_minutes)} MINUTES")
-    asked = F.array_sort(F.collect_list(F.struct("at", "request_id")))
-    start = F.struct(F.lit(None).cast("timestamp").alias("until"), F.array().cast("array<struct<request_id:bigint,granted:boolean>>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        free = acc["until"].isNull() | (r["at"] > acc["until"])
-        said = F.struct(r["request_id"].cast("bigint").alias("request_id"), free.alias("granted"))
-        return F.struct(F.when(free, r["at"] + ttl).otherwise(acc["until"]).alias("until"), F.concat(acc["out"], F.array(said)).alias("out"))
-
-    folded_ = requests.groupBy("key").agg(F.aggregate(asked, start, step, lambda a: a["out"]).alias("out"))
-    return folded_.select("key", F.inline("out"))
+    ttl = max(1, ttl_minutes) * 60_000_000
+    asked = requests.repartition("key").sortWithinPartitions("key", "at", "request_id")
+    asked = asked.select("key", F.col("request_id").cast("bigint").alias("request_id"), F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, until = None, None
+        for b in batches:
+            granted = []
+            for key, at in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if key != last:
+                    last, until = key, None
+                free = until is None or at > until
+                if free and at is not None:  # times of null come first and hold nothing
+                    until = at + ttl
+                granted.append(free)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(granted, pa.bool_())], ["key", "request_id", "granted"])
+
+    return asked.mapInArrow(fold, f"key {dict(asked.dtypes)['key']}, request_id bigint, granted boolean")
 
 
 def round_identity(number: Column, court: Column, url: Column) -> Column:
