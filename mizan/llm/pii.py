@@ -47,6 +47,15 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), lambda acc, i: (acc * F.when(value(i) > 9, 100).otherwise(10) + value(i)) % 97) == 1
 
 
+def account(x: Column) -> Column:
+    """A match cut to its longest run of whole groups that passes mod 97, as capital words or numbers may follow; m is null
+    if none does."""
+    groups = F.split(x["m"], " ")
+    runs = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+    m = F.get(F.filter(runs, lambda r: F.when(F.length(F.translate(r, " ", "")) >= 15, mod97(r)).otherwise(False)), F.lit(0))
+    return F.struct(x["s"].alias("s"), (x["s"] + F.length(m)).alias("e"), m.alias("m"))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, email, ip, card, phone, iban): arrays of spans (s, e, m, score). Null text: empty. Null ids and
     repeated rows stay."""
@@ -57,7 +66,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ip = F.filter(matches(t, IP, some_digit), lambda x: x["m"].rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"))
     card = F.filter(matches(t, CARD, some_digit), lambda x: F.length(digits(x["m"])).between(16, 19) & F.when(F.length(digits(x["m"])).between(16, 19), luhn(digits(x["m"]))).otherwise(False))
     phone = F.filter(matches(t, PHONE, F.contains(t, F.lit("+"))), lambda x: F.length(digits(x["m"])).between(8, 15))
-    iban = F.filter(matches(t, IBAN, some_digit), lambda x: mod97(x["m"]))
+    iban = F.filter(F.transform(matches(t, IBAN, some_digit), account), lambda x: x["m"].isNotNull())
     found = src.select("doc_id", "text", email.alias("email"), ip.alias("ip"), card.alias("card"), phone.alias("phone"), iban.alias("iban"))
 
     def scored(kind: str) -> Column:

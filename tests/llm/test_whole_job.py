@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from mizan.llm import langid, packing, secrets, wrappers
+from mizan.llm import langid, packing, pii, secrets, wrappers
 from mizan.llm.queries import tokenizer_path
 
 
@@ -67,3 +67,9 @@ def test_secrets_of_letters_and_around_base_spans(spark):
     assert sum(s == "markov:4:36" for s in said[: len(keys)]) >= 0.95 * len(keys)
     assert said[len(keys)] == "markov:4:38,hex:7:32"
     assert not any("markov" in s for s in said[len(keys) + 1 :]), said[len(keys) + 1 :]
+
+
+def test_account_numbers_before_capital_words(spark):
+    texts = ["iban DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89 3704 0044 0532 0130 00 2024", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 01 BIC"]
+    got = {r["doc_id"]: [(x["s"], x["e"]) for x in r["iban"]] for r in pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: [(5, 32)], 1: [(0, 27)], 2: [(0, 27)], 3: []}
