@@ -2,25 +2,62 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import shared_dir
 
 #: Rows and bytes of one Arrow batch, so that a run of very long texts stays within a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+_LIVE: list[str] = []
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    Such tables are removed by ``scratch``, or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _LIVE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(paths: list[str]) -> None:
+    sc = SparkContext._active_spark_context
+    if sc is None:
+        return
+    for p in paths:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _LIVE.remove(p)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is saved inside is removed at the end, but for what was saved by the function that this gives: the tables that
+    the result still reads."""
+    start, kept = len(_LIVE), set()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        at = len(_LIVE)
+        out = saved(df, name)
+        kept.add(_LIVE[at])
+        return out
+
+    yield keep
+    _remove([p for p in _LIVE[start:] if p not in kept])
+
+
+atexit.register(lambda: _remove(list(_LIVE)))
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Bound what a Python worker gets at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -31,12 +68,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Buckets of a prefilter; a broadcast of at most so many numbers, whatever the input.
-BUCKETS = 1 << 20
-
-
-def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """Rows whose key may be among the wanted ones: by the buckets that those fall into. An exact join must follow; it then
-    shuffles what may match instead of all rows."""
-    buckets = wanted.select(F.pmod(F.col(wanted_key), F.lit(BUCKETS)).alias("__bucket")).distinct()
-    return rows.join(F.broadcast(buckets), F.pmod(F.col(key), F.lit(BUCKETS)) == F.col("__bucket"), "left_semi")
+def whole_row() -> Column:
+    """All columns of a row as one, so that an operator's own columns can't clash with them."""
+    return F.struct("*").alias("row")

@@ -133,7 +133,6 @@ def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     got = packing.pack(odd, "doc_id", "text", tokenizer_path()).collect()
     want = collections.Counter()
     for r in odd.collect():
@@ -152,6 +151,7 @@ def test_packing(spark, odd):
             assert offset == at
             at += n
         assert at <= packing.SIZE
+    assert packing.pack(odd.limit(0), "doc_id", "text", tokenizer_path()).count() == 0
 
 
 def test_plan_is_close_to_full():
@@ -186,8 +186,7 @@ def test_word_cache_equals_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    rnd, cache = random.Random(9), packing.WordCache(tokenizer_path())
+    rnd, cache = random.Random(9), packing.text_ids(tokenizer_path())
     for _ in range(400):
         text = "".join(rnd.choice([" ", "  ", "\n", "\t", " ", "a", "don't", "é", "12", "!?", "ﬁ", "　", "\x1c", "<|endoftext|>"]) for _ in range(rnd.randint(0, 12)))
         assert np.frombuffer(cache(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
@@ -515,7 +514,7 @@ def slow_lines(docs):
     lines = [x for x in lines if x[2]]
     keep = collections.defaultdict(set)
     for i, (d, j, w) in enumerate(lines):
-        if not any(w == v or max(len(w), len(v)) >= 10 and abs(len(w) - len(v)) <= 1 and edits(w, v) <= 1 for _, _, v in lines[:i]):
+        if not any(w == v or max(len(w), len(v)) >= 5 and abs(len(w) - len(v)) <= 1 and edits(w, v) <= 1 for _, _, v in lines[:i]):
             keep[d].add(j)
     return {d: None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j in keep[d] or not x.encode().split()) for d, t in docs}
 
@@ -523,7 +522,7 @@ def slow_lines(docs):
 def test_lines(spark):
     rnd = random.Random(31)
     w = ["a", "b", "c", "d"]
-    base = [[rnd.choice(w) for _ in range(rnd.randint(7, 14))] for _ in range(12)]
+    base = [[rnd.choice(w) for _ in range(rnd.randint(3, 14))] for _ in range(16)]
 
     def line():
         x = list(rnd.choice(base))
@@ -544,3 +543,17 @@ def test_lines_of_odd_rows(spark, odd):
     assert out.count() == odd.count() and out.columns == [*odd.columns, "n_lines", "n_kept"]
     assert linededup.dedup_lines(odd.limit(0)).count() == 0
     assert out.where("text is null").count() == odd.where("text is null").count()
+    clash = odd.select("*", *(F.lit("z").alias(c) for c in ("n_lines", "row", "d", "k", "text_key", "__key")))
+    assert linededup.dedup_lines(clash).columns == [c for c in clash.columns if c != "n_lines"] + ["n_lines", "n_kept"]
+
+
+def test_words_decide_where_hashes_agree(spark):
+    """Lines whose variants collide stay: their words are compared."""
+    assert linededup.within_one([b"a", b"b"], [b"a", b"c"]) and linededup.within_one([b"a"], [b"a", b"c"]) and linededup.within_one([], [b"x"])
+    assert not linededup.within_one([b"a", b"b"], [b"b", b"c"]) and not linededup.within_one([b"a"], [b"a", b"b", b"c"])
+    rnd = random.Random(5)
+    for _ in range(500):
+        a, b = ([rnd.choice([b"a", b"b"]) for _ in range(rnd.randint(0, 5))] for _ in range(2))
+        assert linededup.within_one(a, b) == (edits(a, b) <= 1)
+    pairs = spark.createDataFrame([((1, 2, 3), b"a b c d e", b"a b x d e"), ((4, 5, 6), b"a b c d e", b"x b c d y")], "place struct<doc_id long, text_key long, line_no int>, a binary, b binary")
+    assert [r["place"]["doc_id"] for r in linededup._verified(pairs).collect()] == [1]
