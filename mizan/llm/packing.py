@@ -143,7 +143,8 @@ def patterns(grid: int = GRID, parts: int = PARTS) -> np.ndarray:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 3000) -> np.ndarray:
-    """x >= 0 of least |ax - b|, by active sets."""
+    """x >= 0 of least |ax - b|, by active sets. After that many changes of the set the fit so far is taken: what it leaves
+    over is packed as residual, so only the fit depends on it."""
     x, used = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     tol = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
     for _ in range(rounds):
