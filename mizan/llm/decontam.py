@@ -1,34 +1,42 @@
-"""Benchmark decontamination by a positional inverted index of the training documents.
+"""Benchmark decontamination by a distributed positional inverted index.
 
-The index holds, for a benchmark term and a document, the term's positions. A first pass counts in how many documents
-each benchmark term stands; the rarest term of each window is its anchor. The second pass stores the postings that can
-still matter: those of documents that hold all terms of some window, for the terms of that window's item. From there on
-lists are intersected by joins: postings of the anchors, less their offset in the item, give alignments of an item with
-a document; the item's other terms are looked up where the alignment puts them; runs of matched places are the phrases.
+The index is built once, whatever the benchmarks: a run of documents is a shard, and a shard holds for each of its terms the
+list of positions where it stands. Benchmarks are the queries. They come in blocks of bounded size; each block goes to all
+shards, and every shard intersects its own lists, so no list is ever shuffled:
 
-Benchmarks are taken in blocks of bounded size, so what is broadcast does not grow with them. Documents are told apart by
-id and text: repeated rows of both get one result each, the same. Null text has no words; items without words have no
-window; null item ids hit words but count as no item.
+* the lengths of the lists say which terms of a window are rarest in the shard; a window with a term that has no list is out;
+* the lists of the rarest terms, less their offset in the item, give alignments of the item with a document;
+* an alignment grows to both sides while the words there are the item's. A run as long as the window is a ``phrase``; runs
+  that meet with one word changed, put in or taken out between them are a ``proximity`` match.
+
+Three terms of a window are tried, so an edited term, or one at an edge beside it, hides no proximity match. Documents are
+told apart by id and text: repeated rows of both get one result each, the same. Null text has no words; items without words
+have no window; null item ids hit words but count as no item.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_limits, saved
 
 WINDOW = 13
-#: Two anchors of an item at up to this many words from their distance in the item are a proximity match.
-SLOP = 5
-#: UTF-8 bytes of benchmark text in one broadcast block.
+#: Windows of fewer words have no proximity matches: one word of four is no small edit.
+NEAR_WORDS = 5
+#: UTF-8 bytes of benchmark text in one block.
 BLOCK_BYTES = 8 << 20
+#: Alignments, and windows, that are worked on together.
+CHUNK = 1 << 18
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 32 for b in range(256))
+_NO_TERM, _DOC_END, _ITEM_END = -3, -1, -2
 
 
 def words(text: str | None) -> list[bytes]:
@@ -36,137 +44,214 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
-def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    block, total = [], 0
-    for r in benchmark.toLocalIterator():
-        terms = words(r[1])
-        if not terms:
-            continue
-        if block and total + len(r[1]) > size:
-            yield block
-            block, total = [], 0
-        block.append((r[0], terms))
-        total += len(r[1])
-    if block:
-        yield block
+def _term(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-def _document_frequency(docs: DataFrame, vocabulary: dict[bytes, int]) -> dict[int, int]:
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+class _Numbers(dict):
+    """A number for each word, in order of appearance."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, counts = shared.value, Counter()
-        known = terms.keys()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(known & set(words(t)))
-        yield pa.RecordBatch.from_pydict({"term": pa.array([terms[w] for w in counts], pa.int32()), "n": pa.array(list(counts.values()), pa.int64())})
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
-    rows = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    return {r["term"]: r["n"] for r in rows}  # at most the block's terms
 
+def index(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text_key, text) -> shards: (doc_ids, text_keys, n_words) of their documents; terms, ascending, with the
+    length of each one's list; and the lists, as steps from position to position. A position is free between documents."""
+    arrow_limits(docs.sparkSession)
+    names = ["doc_ids", "text_keys", "n_words", "terms", "lengths", "steps"]
 
-def _postings(docs: DataFrame, vocabulary: dict[bytes, int], items: list[list[int]], anchors: dict[int, list[tuple[int, frozenset]]]) -> DataFrame:
-    """(doc_id, text_key, n_words, terms, positions) of every document; terms are empty where no window can occur."""
-    sc = docs.sparkSession.sparkContext
-    names = {i: w for w, i in vocabulary.items()}
-    watch = {names[a]: [(item, frozenset(names[t] for t in need)) for item, need in own] for a, own in anchors.items()}
-    needed = [frozenset(names[t] for t in own) for own in items]
-    shared = sc.broadcast((vocabulary, watch, needed))
-    kind = dict(docs.dtypes)["doc_id"]
+    def one(column: pa.Array, dtype: pa.DataType) -> pa.Array:
+        return pa.array([column.to_pylist()], pa.list_(dtype)) if isinstance(column, pa.Array) else pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), pa.array(column, dtype))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, watch, needed = shared.value
         for b in batches:
-            n_words, terms, positions = [], [], []
+            if not b.num_rows:
+                continue
+            numbers, ids, n_words = _Numbers(), [], []
             for t in b.column(2).to_pylist():
                 own = words(t)
                 n_words.append(len(own))
-                present = set(own)
-                want = set()
-                for a in watch.keys() & present:
-                    for item, need in watch[a]:
-                        if need <= present:
-                            want |= needed[item]
-                at: dict[bytes, list[int]] = {}
-                if want:
-                    for i, w in enumerate(own):
-                        if w in want:
-                            at.setdefault(w, []).append(i)
-                terms.append([vocabulary[w] for w in at])
-                positions.append(list(at.values()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(positions, pa.list_(pa.list_(pa.int32())))], ["doc_id", "text_key", "n_words", "terms", "positions"])
-
-    return docs.mapInArrow(run, f"doc_id {kind}, text_key long, n_words long, terms array<int>, positions array<array<int>>")
-
-
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+                ids.append(np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)))
+            n_words = np.array(n_words, np.int64)
+            ids = np.concatenate(ids)
+            at = np.arange(len(ids)) + np.repeat(np.arange(len(n_words)), n_words)
+            hashes = np.fromiter(map(_term, numbers), np.int64, len(numbers))
+            order = np.argsort(hashes)
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            ids = rank[ids]
+            by_term = np.argsort(ids, kind="stable")
+            lengths = np.bincount(ids, minlength=len(order))
+            positions = at[by_term]
+            steps = np.diff(positions, prepend=0)
+            heads = np.cumsum(lengths) - lengths
+            steps[heads] = positions[heads]
+            yield pa.RecordBatch.from_arrays(
+                [one(b.column(0), b.column(0).type), one(b.column(1), pa.int64()), one(n_words, pa.int64()), one(hashes[order], pa.int64()), one(lengths, pa.int32()), one(steps, pa.int32())], names
+            )
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.mapInArrow(run, f"doc_ids array<{kind}>, text_keys array<long>, n_words array<long>, terms array<long>, lengths array<int>, steps array<int>")
+
+
+class Queries:
+    """A block of items: their terms one after another, _ITEM_END between them."""
+
+    def __init__(self, items: list[list[bytes]], window: int):
+        self.window = window
+        self.sizes = np.array([len(x) for x in items], np.int64)
+        self.first = np.cumsum(self.sizes + 1) - self.sizes + window  # place of an item's first term
+        self.length = int((self.sizes + 1).sum()) + 2 * window + 2
+        self.place = np.concatenate([np.arange(n) + f for n, f in zip(self.sizes, self.first, strict=True)]) if items else np.zeros(0, np.int64)
+        self.terms = np.fromiter((_term(w) for own in items for w in own), np.int64, len(self.place))
+        # windows: first place and width
+        per = np.maximum(1, self.sizes - window + 1)
+        self.start = np.repeat(self.first - (np.cumsum(per) - per), per) + np.arange(per.sum())
+        self.width = np.repeat(np.minimum(self.sizes, window), per)
+
+
+def _runs(stream: np.ndarray, wanted: np.ndarray, at: np.ndarray, place: np.ndarray, most: int, side: int) -> np.ndarray:
+    """How many words from (at, place) on, to one side, are the item's."""
+    reach = side * np.arange(most)
+    a, p = np.clip(at[:, None] + reach, 0, len(stream) - 1), np.clip(place[:, None] + reach, 0, len(wanted) - 1)
+    return np.logical_and.accumulate(stream[a] == wanted[p], axis=1).sum(axis=1)
+
+
+def search(shard: dict[str, np.ndarray], q: Queries) -> np.ndarray:
+    """Matches of a block in a shard: rows (document of the shard, item, 1 if a phrase, first, last)."""
+    window, lengths = q.window, shard["lengths"].astype(np.int64)
+    heads = np.cumsum(lengths) - lengths
+    total = np.cumsum(shard["steps"], dtype=np.int64)
+    before = np.where(heads > 0, total[np.maximum(heads, 1) - 1], 0) if len(total) else heads
+    positions = total - np.repeat(before, lengths) + window + 1
+    starts = np.cumsum(shard["n_words"] + 1) - shard["n_words"] - 1 + window + 1
+    stream = np.full(int((shard["n_words"] + 1).sum()) + 2 * window + 3, _DOC_END, np.int32)
+    stream[positions] = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    # the shard's list of each term of the block
+    found = np.minimum(np.searchsorted(shard["terms"], q.terms), max(0, len(lengths) - 1))
+    there = shard["terms"][found] == q.terms if len(lengths) else np.zeros(len(q.terms), bool)
+    wanted = np.full(q.length, _ITEM_END, np.int32)
+    wanted[q.place] = np.where(there, found, _NO_TERM)
+    frequency = np.zeros(q.length, np.int64)
+    frequency[q.place] = np.where(there, lengths[found] if len(lengths) else 0, 0)
+    missing = np.concatenate(([0], np.cumsum(frequency == 0)))
+    lost = missing[q.start + q.width] - missing[q.start]
+    near = q.width >= NEAR_WORDS
+    open_ = np.flatnonzero(lost <= near)
+    anchors = []
+    for i in range(0, len(open_), CHUNK):
+        w = open_[i : i + CHUNK]
+        cells = q.start[w][:, None] + np.arange(window)
+        f = np.where((np.arange(window) < q.width[w][:, None]) & (frequency[np.minimum(cells, q.length - 1)] > 0), frequency[np.minimum(cells, q.length - 1)], np.iinfo(np.int64).max)
+        rarest = np.argsort(f, axis=1, kind="stable")[:, :3]
+        chosen = np.take_along_axis(f, rarest, 1) < np.iinfo(np.int64).max
+        chosen[:, 1:] &= near[w][:, None]
+        anchors.append((q.start[w][:, None] + rarest)[chosen])
+    anchors = np.unique(np.concatenate(anchors)) if anchors else np.zeros(0, np.int64)
+    item_of = np.searchsorted(q.first, anchors, "right") - 1
+    cuts = np.cumsum(frequency[anchors])
+    out, begin = [], 0
+    while begin < len(anchors):
+        end = max(begin + 1, int(np.searchsorted(cuts, (cuts[begin - 1] if begin else 0) + CHUNK, "right")))
+        own, n = anchors[begin:end], frequency[anchors[begin:end]]
+        ends = np.cumsum(n)
+        at = positions[np.arange(ends[-1]) + np.repeat(heads[wanted[own]] - (ends - n), n)]
+        place, item = np.repeat(own, n), np.repeat(item_of[begin:end], n)
+        alive = (stream[at + 1] == wanted[place + 1]) | (stream[at - 1] == wanted[place - 1]) | (q.sizes[item] == 1)
+        out.append(_grown(stream, wanted, at[alive], place[alive], item[alive], np.minimum(q.sizes[item[alive]], window), window))
+        begin = end
+    rows = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64)
+    doc = np.searchsorted(starts, rows[:, 2], "right") - 1
+    return np.column_stack((doc, rows[:, 0], rows[:, 1], rows[:, 2] - starts[doc], rows[:, 3] - starts[doc]))
+
+
+def _grown(stream: np.ndarray, wanted: np.ndarray, at: np.ndarray, place: np.ndarray, item: np.ndarray, width: np.ndarray, window: int) -> np.ndarray:
+    """Rows (item, 1 if a phrase, first, last) of the alignments of a place of an item with a place of the shard that grow to
+    a match."""
+    before, after = _runs(stream, wanted, at - 1, place - 1, window - 1, -1), _runs(stream, wanted, at + 1, place + 1, window - 1, 1)
+    run = before + 1 + after
+    first, last = at - before, at + after
+    whole = run >= width
+    out = [np.column_stack((item, np.ones(len(item), np.int64), first, last))[whole]]
+    some = np.flatnonzero(~whole & (width >= NEAR_WORDS))
+    for side in (-1, 1):
+        edge, beyond = (place[some] - before[some] - 1, first[some] - 1) if side < 0 else (place[some] + after[some] + 1, last[some] + 1)
+        inner_word, inner_term = stream[beyond] != _DOC_END, wanted[edge] != _ITEM_END
+        # a word changed, put in, or taken out where the run ends: what it costs the item, and where the next run begins
+        for cost, d_at, d_place, fits in ((1, 1, 1, inner_word & inner_term), (0, 1, 0, inner_word), (1, 0, 1, inner_term)):
+            more = _runs(stream, wanted, beyond + side * d_at, edge + side * d_place, window - 1, side)
+            ok = fits & (run[some] + cost + more >= width[some]) & ((more > 0) | (d_at == d_place))
+            far = beyond + side * (more - (not d_at))
+            rows = (item[some], np.zeros(len(some), np.int64), far if side < 0 else first[some], last[some] if side < 0 else far)
+            out.append(np.column_stack(rows)[ok])
+    return np.concatenate(out)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text), benchmark (item_id, text) -> (documents with n_words, matches).
 
-    Matches: (doc_id, text_key, item_id, kind, first, last), places of words in the document. Kind ``phrase``: every
-    window within first..last of the item stands there; ``proximity``: two of the item's anchors nearly as in the item.
+    Matches: (doc_id, text_key, item_id, kind, first, last), places of words in the document. Kind ``phrase``: every window
+    within first..last stands in the item; ``proximity``: a window of the item stands there but for one word.
     """
-    spark: SparkSession = docs.sparkSession
-    arrow_limits(spark)
     src = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    kind = dict(benchmark.dtypes)["item_id"]
-    every, matches = None, None
-    for block in _blocks(benchmark.select("item_id", F.col("text").cast("string")), block_bytes):
-        vocabulary: dict[bytes, int] = {}
-        items = [[vocabulary.setdefault(w, len(vocabulary)) for w in terms] for _, terms in block]
-        df = _document_frequency(src, vocabulary)
-        anchors: dict[int, set] = {}
-        chosen = []
-        for j, own in enumerate(items):
-            here = set()
-            for s in range(max(1, len(own) - window + 1)):
-                part = own[s : s + window]
-                i = min(range(len(part)), key=lambda i: (df.get(part[i], 0), part[i]))
-                here.add(s + i)
-                anchors.setdefault(part[i], set()).add((j, frozenset(part)))
-            chosen.append(here)
-        index = saved(_postings(src, vocabulary, items, {a: list(v) for a, v in anchors.items()}), "postings")
-        every = every or index.select("doc_id", "text_key", "n_words")
-        rows = [(j, i, t, i in chosen[j], len(own)) for j, own in enumerate(items) for i, t in enumerate(own)]
-        places = spark.createDataFrame(rows, "item int, i int, term int, anchor boolean, n int")
-        named = spark.createDataFrame([(j, x[0]) for j, x in enumerate(block)], f"item int, item_id {kind}")
-        lists = index.where(F.size("terms") > 0).distinct().select("doc_id", "text_key", F.explode(F.arrays_zip("terms", "positions")).alias("p")).select("doc_id", "text_key", F.col("p.terms").alias("term"), F.col("p.positions").alias("positions"))
-        key = F.struct("doc_id", "text_key")
-        lists = lists.select(key.alias("doc"), "term", "positions")
-        # the block bounds its places, so each of these may be broadcast
-        aligned = lists.join(F.broadcast(places.where("anchor")), "term").select("doc", "item", "i", F.explode("positions").alias("at"))
-        aligned = saved(aligned.select("doc", "item", "i", (F.col("at") - F.col("i")).alias("delta")), "alignments")
-        looked_up = aligned.select("doc", "item", "delta").distinct().join(F.broadcast(places), "item").withColumn("at", F.col("delta") + F.col("i")).where("at >= 0")
-        matched = looked_up.join(lists, ["doc", "term"]).where(F.array_contains("positions", F.col("at")))
-        by_place = Window.partitionBy("doc", "item", "delta").orderBy("i")
-        runs = matched.withColumn("run", F.col("i") - F.row_number().over(by_place)).groupBy("doc", "item", "delta", "n", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-        phrases = runs.where(F.col("last") - F.col("first") + 1 >= F.least(F.lit(window), "n")).select("doc", "item", F.lit("phrase").alias("kind"), "first", "last")
-        by_anchor = Window.partitionBy("doc", "item").orderBy(F.col("delta") + F.col("i"), "delta")
-        close = aligned.select("*", F.lag("delta").over(by_anchor).alias("delta0"), F.lag("i").over(by_anchor).alias("i0"))
-        close = close.where((F.col("i") != F.col("i0")) & (F.col("delta") != F.col("delta0")) & (F.abs(F.col("delta") - F.col("delta0")) <= slop))
-        close = close.select("doc", "item", F.lit("proximity").alias("kind"), F.least(F.col("delta0") + F.col("i0"), F.col("delta") + F.col("i")).alias("first"), F.greatest(F.col("delta0") + F.col("i0"), F.col("delta") + F.col("i")).alias("last"))
-        found = phrases.union(close).join(F.broadcast(named), "item").select("doc.doc_id", "doc.text_key", "item_id", "kind", "first", "last")
-        matches = found if matches is None else matches.union(found)
-    if every is None:
-        every = saved(_postings(src, {}, [], {}), "postings").select("doc_id", "text_key", "n_words")
-        matches = spark.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, item_id {kind}, kind string, first int, last int")
-    return every, matches
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """(doc_id, text_key, n_words, n_hit, n_items, items, contaminated) for each row of docs."""
-    every, matches = find(docs, benchmark, window)
-    phrases = saved(matches.where("kind = 'phrase'"), "phrases")
-    hit = phrases.select("doc_id", "text_key", F.explode(F.sequence("first", "last")).alias("at")).distinct().groupBy("doc_id", "text_key").agg(F.count("*").alias("n_hit"))
-    items = phrases.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    verdict = hit.join(items, hit["doc_id"].eqNullSafe(items["doc_id"]) & hit["text_key"].eqNullSafe(items["text_key"])).select(hit["doc_id"].alias("d"), hit["text_key"].alias("k"), "n_hit", "items")
+    shards = saved(index(src), "postings")
+    every = shards.select(F.explode(F.arrays_zip("doc_ids", "text_keys", "n_words")).alias("d")).select(F.col("d.doc_ids").alias("doc_id"), F.col("d.text_keys").alias("text_key"), F.col("d.n_words").alias("n_words"))
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    n_blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
+    kind = benchmark.schema["item_id"].dataType
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, item_id {kind.simpleString()}, kind string, first long, last long"
+    found = None
+    for k in range(n_blocks):
+        block = [(r[0], own) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect() if (own := words(r[1]))]  # about block_bytes
+        if not block:
+            continue
+        shared = docs.sparkSession.sparkContext.broadcast((Queries([x[1] for x in block], window), [x[0] for x in block]))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            q, names = shared.value
+            names = pa.array(names, to_arrow_type(kind))
+            for b in batches:
+                for i in range(b.num_rows):
+                    column = {n: b.column(n)[i].values for n in b.schema.names}
+                    m = search({n: column[n].to_numpy(zero_copy_only=False) for n in ("n_words", "terms", "lengths", "steps")}, q)
+                    said = np.where(m[:, 2] == 1, "phrase", "proximity")
+                    doc = pa.array(m[:, 0])
+                    yield pa.RecordBatch.from_arrays(
+                        [column["doc_ids"].take(doc), column["text_keys"].take(doc), names.take(pa.array(m[:, 1])), pa.array(said.tolist(), pa.string()), pa.array(m[:, 3]), pa.array(m[:, 4])],
+                        ["doc_id", "text_key", "item_id", "kind", "first", "last"],
+                    )
+
+        part = saved(shards.mapInArrow(run, schema), "matches")
+        shared.destroy()
+        found = part if found is None else found.union(part)
+    return every, found if found is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, text_key, n_words, n_hit, n_items, items, contaminated, near_items) for each row of docs. near_items: items
+    that have a proximity match and no phrase there."""
+    every, matches = find(docs, benchmark, window, block_bytes)
+    key = ["doc_id", "text_key"]
+    phrases = matches.where("kind = 'phrase'")
+    # hit words, a row for each: spans of a document may overlap
+    hit = phrases.select(*key, "first", "last").distinct().select(*key, F.explode(F.sequence("first", "last")).alias("at")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
+    item = F.col("item_id").cast("string")
+    by_item = matches.groupBy(*key, item.alias("item")).agg(F.bool_or(F.col("kind") == "phrase").alias("exact"))
+    items = by_item.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item")))).alias("items"), F.array_sort(F.collect_list(F.when(~F.col("exact"), F.col("item")))).alias("near_items"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["text_key"].eqNullSafe(b["text_key"])
+    verdict = saved(items.join(hit, same(items, hit), "left").select(items["doc_id"].alias("d"), items["text_key"].alias("k"), "n_hit", "items", "near_items"), "verdicts")
     out = every.join(verdict, every["doc_id"].eqNullSafe(F.col("d")) & every["text_key"].eqNullSafe(F.col("k")), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).select(
-        "doc_id", "text_key", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated")
+    none = F.array().cast("array<string>")
+    out = out.select(*key, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
+    return out.select(
+        *key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"), "near_items"
     )
 
 
 def op4(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = contamination(documents.select("doc_id", "text"), benchmark.select("item_id", "text"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return out.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near"), F.array_join("near_items", ",").alias("near_items")
+    )

@@ -302,7 +302,7 @@ def slow_contamination(texts, items):
 
 
 @pytest.mark.parametrize("block", [1 << 20, 200])
-def test_decontamination(spark, monkeypatch, block):
+def test_decontamination(spark, block):
     rnd = random.Random(11)
     w = vocabulary(rnd, 30, ("ba", "do", "ki"))
     items = [(i, prose(rnd, w, n)) for i, n in enumerate((3, 1, 20, 40, 13, 14, 0, 2))] + [(None, prose(rnd, w, 5)), (20, None), (21, items_repeat := "ba do ki " * 9), (22, items_repeat)]
@@ -312,18 +312,46 @@ def test_decontamination(spark, monkeypatch, block):
         source = (rnd.choice(items)[1] or "x").split()
         cut = rnd.randint(0, len(source)) if source else 0
         at = rnd.randint(0, len(t))
+        if source and rnd.random() < 0.5:  # an edit of a word
+            j = rnd.randrange(len(source))
+            rnd.choice([lambda: source.pop(j), lambda: source.insert(j, rnd.choice(w)), lambda: source.__setitem__(j, rnd.choice(w))])()
+            cut = min(cut, rnd.randint(0, 3))
         texts.append(" ".join(t[:at]) + "-" + ".".join(source[cut:]) + "! " + " ".join(t[at:]))
-    monkeypatch.setattr(decontam.find, "__defaults__", (13, 5, block))
-    docs = as_docs(spark, texts)
-    got = {r["doc_id"]: tuple(r)[1:] for r in decontam.op4(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == dict(enumerate(slow_contamination(texts, items)))
+    docs, benchmark = as_docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.contamination(docs.select("doc_id", "text"), benchmark, block_bytes=block).collect()}
+    assert {i: (r["n_words"], r["n_hit"], r["n_items"], sha(",".join(r["items"])), r["contaminated"]) for i, r in got.items()} == dict(enumerate(slow_contamination(texts, items)))
+    assert {i: set(r["near_items"]) - set(r["items"]) for i, r in got.items()} == dict(enumerate(slow_proximity(texts, items)))
+    assert any(r["near_items"] for r in got.values())
+    if block > 1000:
+        digest = {r["doc_id"]: (r["n_items"], r["n_near"]) for r in decontam.op4(docs, benchmark).collect()}
+        assert digest == {i: (len(r["items"]), len(r["near_items"])) for i, r in got.items()}
+
+
+def slow_proximity(texts, items):
+    """Items of which a window of five words or more stands in a text but for one word, and no window as it is."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    for t in texts:
+        w, out = words(t), set()
+        runs = {n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for n in range(1, 15)}
+        for i, x in items:
+            x = words(x)
+            n = min(13, len(x))
+            own = [tuple(x[k : k + n]) for k in range(len(x) - n + 1)] if x else []
+            if i is None or n < 5 or any(v in runs[n] for v in own):
+                continue
+            less = {v[:k] + v[k + 1 :] for v in own for k in range(1, n - 1)}  # a word of the item is not there
+            changed = {(v[:k], v[k + 1 :]) for v in own for k in range(n)}
+            if runs[n - 1] & less or any((r[:k], r[k + 1 :]) in changed for r in runs[n] for k in range(n)) or any(r[:k] + r[k + 1 :] in own for r in runs[n + 1] for k in range(1, n)):
+                out.add(str(i))
+        yield out
 
 
 def test_decontamination_proximity_and_odd_rows(spark, odd):
-    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi")], "item_id long, text string")
-    docs = as_docs(spark, ["alpha beta gamma delta epsilon zeta eta theta iota x y kappa lambda mu nu xi", "alpha beta"])
-    _, m = decontam.find(docs, items)
-    assert {(r["doc_id"], r["kind"]) for r in m.select("doc_id", "kind").distinct().collect()} <= {(0, "proximity")}
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    other = [*text[:4], "x", *text[5:]], [*text[:4], "x", *text[4:]], [*text[:4], *text[5:]], text, ["x", *text[1:]], [*text[:4], "x", "y", *text[4:]], text[:6]
+    items = spark.createDataFrame([(1, " ".join(text))], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_items"], r["n_near"]) for r in decontam.op4(as_docs(spark, [f"so {' '.join(x)} then" for x in other]), items).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (0, 1), 3: (1, 0), 4: (0, 1), 5: (0, 0), 6: (0, 0)}
     assert decontam.op4(odd, items).count() == odd.count()
     assert decontam.op4(odd, items.limit(0)).where("n_hit > 0 or contaminated").count() == 0
     assert decontam.op4(odd.limit(0), items).count() == 0
