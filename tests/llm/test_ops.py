@@ -469,12 +469,27 @@ def test_alignment():
 # language
 
 
+def related(rnd, n):
+    """Texts of languages that share their syllables and most of their words."""
+    parts = ["tion", "the", "ing", "and", "que", "ment", "les", "er", "un", "de"]
+    common = vocabulary(rnd, 60, parts)
+    words = {k: vocabulary(rnd, 40, rnd.sample(parts, 8)) + common for k in ("aa", "bb", "cc")}
+    langs = [rnd.choice(list(words)) for _ in range(n)]
+    return langs, [prose(rnd, words[k], rnd.randint(20, 120)) for k in langs]
+
+
+def slow_phrases(text, sample):
+    n = 0
+    while text:
+        k = 1
+        while k < len(text) and text[: k + 1] in sample:
+            k += 1
+        n, text = n + 1, text[k:]
+    return n
+
+
 def test_language(spark):
-    rnd = random.Random(23)
-    parts = {"aa": ("tion", "the", "ing", "and"), "bb": ("schung", "und", "nicht", "ver"), "cc": ("eaux", "que", "ment", "les")}
-    words = {k: vocabulary(rnd, 120, v) for k, v in parts.items()}
-    langs = [rnd.choice(list(parts)) for _ in range(300)]
-    texts = [prose(rnd, words[k], rnd.randint(20, 120)) for k in langs]
+    langs, texts = related(random.Random(23), 300)
     docs = as_docs(spark, [*texts, None, "", "123 !?", "³²"], [*langs, "aa", "aa", "aa", None])
     got = {r["doc_id"]: r for r in langid.op8(docs).collect()}
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
@@ -486,27 +501,38 @@ def test_language(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in langid.op8(swapped).collect()} == {i: r["lang_pred"] for i, r in got.items()}
 
 
+@pytest.mark.parametrize(("chunk", "cells"), [(1024, 1 << 25), (7, 10)])
+def test_language_against_brute_force(spark, monkeypatch, chunk, cells):
+    """Parses of whole texts, across words, by a search of the sample itself."""
+    monkeypatch.setattr(langid, "CHUNK", chunk)
+    monkeypatch.setattr(langid, "CELLS", cells)
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 1500)
+    langs, texts = related(random.Random(29), 60)
+    texts[5:8] = ["Ärger, THE que-9x Ingde!", "z", "the  the"]
+    docs = as_docs(spark, texts, langs)
+    samples = {k: "".join(map(chr, v)) for k, v in langid.samples(docs, "doc_id", "text", "lang").items()}
+    got = langid.Scorer(langid.train(docs, "doc_id", "text", "lang"))(texts)  # in this process, which holds the patched sizes
+    for text, (lang, score) in zip(texts, got, strict=True):
+        plain = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+        cost = sorted((slow_phrases(plain, s) * np.log2(len(s) + 1), k) for k, s in samples.items())
+        assert lang == cost[0][1] and abs(score - (1 - cost[0][0] / cost[1][0])) < 1e-9
+    if chunk == 1024:
+        assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.op8(docs).collect()} == dict(enumerate(got))
+
+
 def test_language_of_odd_rows(spark, odd):
     assert langid.op8(odd).count() == odd.count() and langid.op8(odd.limit(0)).count() == 0
     assert {r["lang_pred"] for r in langid.op8(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_automaton_and_parse():
-    known = langid.automaton("abcbc")
-    get = lambda s: langid.phrases([*map(ord, s)], known)
-    subs = {"abcbc"[i:j] for i in range(5) for j in range(i + 1, 6)}
-
-    def slow(s):
-        n = 0
-        while s:
-            k = max((k for k in range(1, len(s) + 1) if s[:k] in subs), default=1)
-            n, s = n + 1, s[k:]
-        return n
-
-    rnd = random.Random(29)
-    for _ in range(300):
-        s = "".join(rnd.choice("abcx") for _ in range(rnd.randint(0, 10)))
-        assert get(s) == slow(s), s
+def test_text_is_normalized_in_steps(monkeypatch):
+    rnd = random.Random(37)
+    texts = ["".join(rnd.choice("abÇ1 \n.") for _ in range(rnd.randint(0, 9))) for _ in range(60)] + [""]
+    want = [re.sub(" +", " ", " " + "".join(x if x.isalpha() else " " for x in t.lower()) + " ") for t in texts]
+    for step in (5, 16, 1 << 22):
+        monkeypatch.setattr(langid, "TOGETHER", step)
+        codes, sizes = langid.normalized(texts, langid._folded())
+        assert "".join(map(chr, codes)) == "".join(want) and sizes.tolist() == [len(w) for w in want]
 
 
 # conversations

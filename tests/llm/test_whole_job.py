@@ -48,9 +48,9 @@ def test_language_sample_is_bounded(spark, monkeypatch):
     collected, kind = [], type(spark.range(0))
     collect = kind.collect
     monkeypatch.setattr(kind, "collect", lambda self: collected.append(out := collect(self)) or out)
-    models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    models = langid.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
     assert set(models) == {"aa", "bb"}
-    assert all(sum(r["lang"] == k for r in collected[-1]) == 3 * langid.SAMPLE_DOCS for k in models)
+    assert all(sum(r["lang"] == k for r in collected[-1]) == langid.SAMPLE_DOCS for k in models)
 
 
 def test_secrets_of_letters_and_around_base_spans(spark):
