@@ -456,14 +456,58 @@ def test_wrappers(spark):
     assert wrappers.op7(pages).count() == len(rows) and wrappers.op7(pages.limit(0)).count() == 0
 
 
-def test_alignment():
-    def tree(s):
-        return wrappers.expression([(tuple(p.split("/")), "x") for p in s.split()])
+def page_tree(s):
+    """Tree of a page from paths of its texts; a name with a number is another element."""
+    found = [(tuple((x.rstrip("0123456789"), x) if x not in wrappers.HEADINGS else (x, x) for x in w.partition("=")[0].split("/")), w.partition("=")[2] or "x", 0) for w in s.split()]
+    return wrappers.tree(found)
+
+
+def shape(n):
+    return (n.name, n.repeated, n.parents, n.instances, n.hash is None if n.kids is None else [shape(k) for k in n.kids])
 
-    a = wrappers.align(tree("body/p body/p body/ul/li"), tree("body/h1 body/p body/ul/li body/ul/li"))
-    body = a[3][0]
-    assert [(c[0], c[1], c[2]) for c in body[3]] == [("h1", False, True), ("p", True, False), ("ul", False, False)]
-    assert body[3][2][3][0][:2] == ["li", True]
+
+def test_alignment():
+    a = wrappers.align(page_tree("body/p1=one body/p2=two body/ul/li1=x"), page_tree("body/h1=head body/p1=three body/ul/li1=x body/ul/li2=y"))
+    body = a.kids[0]
+    assert [(k.name, k.repeated, k.parents, k.instances) for k in body.kids] == [("h1", False, 1, 1), ("p", True, 2, 3), ("ul", False, 2, 2)]
+    li = body.kids[2].kids[0]
+    assert (li.name, li.repeated, li.parents, li.instances) == ("li", True, 2, 3) and li.kids[0].hash is None
+    same = wrappers.align(page_tree("body/div1=menu body/div2=one"), page_tree("body/div1=menu body/div2=two"))
+    assert [k.kids[0].hash is None for k in same.kids[0].kids] == [False, True]
+    assert shape(wrappers.load(wrappers.dump(a))) == shape(a)
+
+
+def slow_common(a, b):
+    if not a or not b:
+        return 0
+    return max(slow_common(a[1:], b), slow_common(a, b[1:]), (a[0] == b[0]) + slow_common(a[1:], b[1:]) if a[0] == b[0] else 0)
+
+
+def test_pairs_against_brute_force(monkeypatch):
+    rnd = random.Random(43)
+    for cells in (1 << 18, 0):
+        monkeypatch.setattr(wrappers, "EXACT_CELLS", cells)
+        for _ in range(300):
+            a, b = (rnd.choices("abc", k=rnd.randint(0, 7)) for _ in range(2))
+            got = wrappers.pairs(a, b)
+            assert [i for i, _ in got if i is not None] == list(range(len(a))) and [j for _, j in got if j is not None] == list(range(len(b)))
+            both = [(i, j) for i, j in got if i is not None and j is not None]
+            assert all(a[i] == b[j] for i, j in both)
+            if cells:
+                assert len(both) == slow_common(a, b)
+
+
+def test_merges_in_any_grouping(spark):
+    """Folding page by page or in rounds of groups gives one wrapper for pages of one order of elements."""
+    rnd = random.Random(47)
+    pages = [page_tree("body/h1=" + str(i) + "".join(f" body/p{k}={rnd.random()}" for k in range(rnd.randint(1, 5))) + (" body/ul/li1=a" if i % 2 else "")) for i in range(30)]
+    one = pages[0]
+    for x in pages[1:]:
+        one = wrappers.align(one, x)
+    rows = [("h", "t", wrappers._packed(x)) for x in pages]
+    seen = spark.createDataFrame(rows, "host string, template string, tree string").repartition(7)
+    got = wrappers.infer(seen, fan=2).collect()
+    assert len(got) == 1 and shape(wrappers.load(wrappers.json.loads(got[0]["wrapper"]))) == shape(one)
 
 
 # language

@@ -29,6 +29,54 @@ def test_each_template_of_a_host_is_read(spark):
     assert all(got[i] == f"{i} {story}".strip() for i in (*range(5), *range(10, 15)))
 
 
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in wrappers.op7(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def story(i, n=4):
+    return "".join(f"<p>Story {i} tells of {k} things that nobody knew before {i * 7 + k}.</p>" for k in range(n + i % 3))
+
+
+def story_text(i, n=4):
+    return "\n".join(f"Story {i} tells of {k} things that nobody knew before {i * 7 + k}." for k in range(n + i % 3))
+
+
+def test_the_wrapper_decides(spark):
+    """No article or main element, and no class name that is on a list: what pages share and repeat tells the text."""
+    menu = "<div><b>Home</b> <b>News</b> <b>Sport and all that is on every page of this site</b></div>"
+    replies = lambda i: "".join(f"<div class='entry'><div>Ann {k} of {i}</div><div>I liked this story number {i} very much, {k} times.</div></div>" for k in range(i % 4 * 3))
+    box = lambda i: f"<div class='partner'><a href='/buy'>Buy {i} of these</a> now</div>"
+    bodies = {
+        "menu.example": lambda i: f"<body>{menu}<div>{story(i)}</div></body>",  # one path for menu and text
+        "layout.example": lambda i: f"<body><div class='layout no-sidebar'><article>{story(i)}</article></div></body>",
+        "price.example": lambda i: f"<body><div class='share-price'>{story(i)}</div><div class='shop'>Shop {i}</div></body>",
+        "replies.example": lambda i: f"<body><div class='post'>{story(i)}{box(i)}{replies(i)}</div></body>",
+        "beside.example": lambda i: f"<body><div><div class='post'>{story(i)}</div><div class='thread'>{replies(i)}</div></div></body>",
+    }
+    rows = [(100 * h + i, f"http://{host}/{i}", body(i)) for h, (host, body) in enumerate(bodies.items()) for i in range(12)]
+    got = extracted(spark, rows)
+    assert {k: v for k, v in got.items() if v != story_text(k % 100)} == {}
+
+
+def test_results_hang_on_the_alignment(spark):
+    """Of pages by themselves nothing is constant or repeated, so their texts would differ."""
+    menu = f"<div>{'Sport and all that is on every page of this site. ' * 9}</div>"
+    rows = [(i, f"http://a.example/{i}", f"<body>{menu}<div>{story(i)}</div></body>") for i in range(12)]
+    alone = [(i, f"http://{i}.example/", page) for i, _, page in rows]
+    assert extracted(spark, rows) == {i: story_text(i) for i in range(12)}
+    assert extracted(spark, alone) != extracted(spark, rows)
+
+
+def test_deep_pages_and_a_host_of_most_pages(spark):
+    deep = "<div>" * 5000 + "Deep text" + "</div>" * 5000
+    stairs = "".join(f"<div>step {i} " for i in range(3000))
+    rows = [(0, "http://deep.example/1", deep), (1, "http://deep.example/2", stairs), (2, "http://deep.example/3", "<p>" + "</div>" * 3000 + "end")]
+    rows += [(i, f"http://big.example/{i}", f"<body><div class=top>Menu of the site</div><div>{story(i)}</div></body>") for i in range(10, 400)]
+    got = extracted(spark, rows)
+    assert got[0] == "Deep text" and got[2] == "end" and len(got[1].split()) == 6000
+    assert all(got[i] == story_text(i) for i in range(10, 400))
+
+
 def test_added_tokens_keep_their_ids(spark):
     from tokenizers import Tokenizer
 
