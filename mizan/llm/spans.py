@@ -1,15 +1,31 @@
 """Places of regular-expression matches, with built-in functions only.
 
 Spark tells what matches but not where. The gaps that split leaves and the matches that regexp_extract_all gives take
-turns, so running lengths of both are the places, in code points.
+turns, so running lengths of both are the places, in code points. They run over chunks of matches first, then within each,
+so that a text of very many matches costs no square of their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<s:int,e:int,m:string>"
+#: Matches of a chunk.
+CHUNK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(lengths: Column, first: Column) -> Column:
+    """array<int>: first, and first plus each running sum of the lengths but the whole."""
+    start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
 
 def matches(text: Column, pattern: str, gate: Column | None = None) -> Column:
@@ -17,18 +33,26 @@ def matches(text: Column, pattern: str, gate: Column | None = None) -> Column:
 
     gate must be true wherever the pattern matches; it only saves time.
     """
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # (letters before the match and since the one before, match); after the last match nothing counts
+    pairs = let(F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("found")), lambda x: F.arrays_zip(F.slice(x["gaps"], F.lit(1), F.size(x["found"])).alias("gap"), x["found"].alias("m")))
+    length = lambda x: F.length(x["gap"]) + F.length(x["m"])
+
+    def placed(chunk: Column, first: Column) -> Column:
+        ends = F.zip_with(running(F.transform(chunk, length), first), chunk, lambda at, x: at + length(x))
+        return F.zip_with(ends, chunk, lambda e, x: F.struct((e - F.length(x["m"])).alias("s"), e.alias("e"), x["m"].alias("m")))
 
-    def step(acc: Column, pair: Column) -> Column:
-        s = acc["at"] + F.length(pair["gap"])
-        e = s + F.length(pair["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), pair["m"].alias("m")))).alias("out"))
+    def spans(p: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda k: F.slice(p, k * CHUNK + 1, F.lit(CHUNK)))
+
+        def all_placed(cs: Column) -> Column:
+            firsts = running(F.transform(cs, lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + length(x))), F.lit(0))
+            return F.flatten(F.zip_with(cs, firsts, placed))
+
+        return let(chunks, all_placed)
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("m"))
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
     has = F.regexp_like(text, F.lit(pattern)) if gate is None else gate & F.regexp_like(text, F.lit(pattern))
-    return F.when(has, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(has, let(pairs, spans)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def labelled(spans: Column, kind: str, rank: int) -> Column:
@@ -36,8 +60,12 @@ def labelled(spans: Column, kind: str, rank: int) -> Column:
     return F.transform(spans, lambda x: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
 
 
+def ordered(spans: Column, by_kind: bool) -> Column:
+    """Labelled spans by kind then start, or by start then kind."""
+    order = ("rank", "s", "e") if by_kind else ("s", "rank", "e")
+    return F.array_sort(F.transform(spans, lambda x: F.struct(*(x[c].alias(f"o{i}") for i, c in enumerate(order)), x.alias("span"))))
+
+
 def digest(spans: Column, by_kind: bool) -> Column:
     """kind:start:end, comma-joined, by kind then start or by start then kind."""
-    order = ("rank", "s", "e") if by_kind else ("s", "rank", "e")
-    ranked = F.array_sort(F.transform(spans, lambda x: F.struct(*(x[c].alias(f"o{i}") for i, c in enumerate(order)), F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string")).alias("t"))))
-    return F.array_join(F.transform(ranked, lambda x: x["t"]), ",")
+    return F.array_join(F.transform(ordered(spans, by_kind), lambda x: F.concat_ws(":", x["span"]["kind"], x["span"]["s"].cast("string"), x["span"]["e"].cast("string"))), ",")
