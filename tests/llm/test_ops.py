@@ -63,6 +63,27 @@ def test_media_round_trip(spark, odd):
         assert media.thumbnail(p)[0, 0] == np.clip(first - 129 + 128 if first <= 128 else first, 0, 255)
 
 
+def test_long_media_in_runs_of_blocks(spark):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 63, 64, 65, 4000, 70_000):
+        raw = rng.bytes(n)
+        for step in (1, 7, 8000):
+            stored = media.encode_long(raw, step)
+            assert stored == media.encode([raw])[0]
+            p = media.parse(stored)
+            assert media.can_be_cut(p) and sum(x.width // 8 for x in media.strips(stored, p, step)) == p.width * p.height // 64
+        q, thumb, pieces = media.read_long(stored)
+        assert b"".join(pieces) == media.pad(raw) and not q.error and (thumb == media.thumbnail(media.decode([stored])[0])).all()
+    texts = ["é line of a long text\n" * 100_000, "short", None]
+    got = {r["doc_id"]: r for r in media.op1(as_docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        p = media.pad((t or "").encode())
+        assert (got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+    broken = media.encode([texts[0].encode()])[0]
+    assert media.read_long(broken[: len(broken) // 2])[0].error
+    assert media.op1(as_docs(spark, texts).limit(0)).count() == 0
+
+
 def _bits(values):
     out = "".join(values)
     out += "1" * (-len(out) % 8)
@@ -439,6 +460,42 @@ def test_sample_of_secrets_is_bounded(spark, monkeypatch):
     assert {r["text"] for r in secrets._sampled(few, "doc_id", "text").collect()} == {r["text"] for r in few.collect()}
 
 
+IBANS = ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "FR1420041010050500013M02606", "MT84MALT011000012345MTLCAST001S"]
+
+
+def slow_iban(t):
+    """Starts of words at which a country's length of letters and digits, with single blanks between, passes mod 97."""
+    out, end = [], 0
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}", t):
+        n = pii.IBAN_LENGTHS.get(m[0][:2])
+        own = n and m.start() >= end and re.match(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])", t[m.start() :])
+        if own:
+            end = m.start() + own.end()
+            x = own[0].replace(" ", "")
+            if int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1:
+                out.append((m.start(), end))
+    return out
+
+
+def test_iban_against_brute_force(spark):
+    rnd = random.Random(53)
+    parts = [*IBANS, *(x[:-1] + "9" for x in IBANS), "THANKS", "BIC COBADEFF", "2024", "x", "AB12", "GB82", ".", "DE"]
+    texts = [rnd.choice([" ", "", ", "]).join(rnd.choice(parts) for _ in range(6)) for _ in range(200)]
+    got = {r["doc_id"]: [(x["s"], x["e"]) for x in r["iban"]] for r in pii.scan(as_docs(spark, texts)).collect()}
+    assert got == {i: slow_iban(t) for i, t in enumerate(texts)} and any(got.values())
+
+
+def test_context_decides(spark):
+    cases = {
+        "see GB82WEST12345698765432": {"iban"}, "an invalid one: GB82WEST12345698765432": set(), "a test of the bank: GB82WEST12345698765432": {"iban"},
+        "his ssn is 123-45-6789": {"ssn"}, "number 123-45-6789": set(), "sample ssn 123-45-6789": set(), "ssn 000-45-6789": set(), "123-45-6789 is my social security number": {"ssn"},
+        "amex 378282246310005": {"amex"}, "no 378282246310005": set(), "amex 378282246310006": set(), "card 3782 822463 10005": {"amex"}, "call (0523) 555 1055 now": {"tel"}, "row (0523) 555 1055 now": set(),
+        "call +1 (523) 555-1055": set(), "phone 030/1234 5678": {"tel"}, "order phone 030/1234 5678": set(),
+    }
+    got = {r["doc_id"]: {k for k in pii.KINDS[4:] if r[f"n_{k}"]} for r in pii.op6(as_docs(spark, list(cases))).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_very_many_matches(spark):
     text = "é token=abcdef1 a@b.cd +1 523 555 1055\n" * 1500
     r = secrets.op5(as_docs(spark, [text])).first()
@@ -454,7 +511,7 @@ def test_personal_data(spark, odd):
     got = {r["doc_id"]: tuple(r[c] for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256")) for r in pii.op6(as_docs(spark, texts)).collect()}
     assert got == {i: slow_personal(t) for i, t in enumerate(texts)}
     r = pii.op6(as_docs(spark, [PERSONAL[8]])).first()
-    assert r["n_iban"] == 1 and "iban:5:32" in r["spans"]
+    assert r["n_iban"] == 1 and r["spans"] == "iban:5:32" and r["scores"] == "1.0"
     assert pii.op6(odd).count() == odd.count() and pii.op6(odd.limit(0)).count() == 0
     near = pii.scan(as_docs(spark, ["my card 4111111111111111", "x 4111111111111111"])).orderBy("doc_id").collect()
     assert near[0]["card"][0]["score"] > near[1]["card"][0]["score"]
