@@ -30,6 +30,8 @@ from .common import arrow_limits
 
 #: Payload bytes that are coded or decoded together.
 CHUNK = 1 << 19
+#: Blocks of a strip of a long picture; a picture is at most 65,535 pixels wide.
+STRIP = 8000
 _EMPTY_AC = 0x00
 #: Code lengths by size category, for coefficients of text bytes: category 5 holds most small letters.
 _CODE_LENGTHS = {5: 1, 4: 3, 6: 3, 7: 3, 3: 5, 8: 5, 2: 6, 1: 6, _EMPTY_AC: 6}
@@ -93,22 +95,15 @@ def pad(data: bytes) -> bytes:
     return data + b"\0" * (-len(data) % 64 or (0 if data else 64))
 
 
-def encode(texts: list[bytes]) -> list[bytes]:
-    """A JPEG for each byte string."""
-    payloads = [pad(t) for t in texts]
-    shapes = []
-    for p in payloads:
-        n = len(p) // 64
-        w = math.isqrt(n - 1) + 1
-        shapes.append((n, w, -(-n // w)))
-    lanes = np.array([w * h for _, w, h in shapes])
-    full = np.concatenate([np.arange(w * h) < n for n, w, h in shapes])
-    data = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 16, 4)
+def _intervals(data: np.ndarray, full: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coded bytes of a restart interval for each place of full, each with its marker; where each ends). data: a row of 64
+    payload bytes for each place that is full; number: of the place in its picture."""
+    data = data.reshape(-1, 16, 4)
     v, size = _BITS[data], _SIZE[data]
     word, length = v[..., 0], size[..., 0]
     for j in range(1, 4):  # four symbols of at most 14 bits fit a word
         word, length = word << size[..., j] | v[..., j], length + size[..., j]
-    n_lanes = int(lanes.sum())
+    n_lanes = len(full)
     words, sizes = np.zeros((n_lanes, 17), np.uint64), np.zeros((n_lanes, 17), np.uint64)
     words[full, :16], sizes[full, :16] = word, length
     words[~full, 0], sizes[~full, 0] = _BLANK
@@ -133,9 +128,26 @@ def encode(texts: list[bytes]) -> list[bytes]:
     ends = np.cumsum(n_bytes + np.bincount(lane, stuffed, n_lanes).astype(np.int64) + 2)
     coded = np.zeros(int(ends[-1]), np.uint8)
     coded[np.arange(len(flat)) + before + 2 * lane] = flat
-    last = np.cumsum(lanes) - 1
-    number = rows - np.repeat(last - lanes + 1, lanes)
     coded[ends - 2], coded[ends - 1] = 255, 0xD0 + number % 8
+    return coded, ends
+
+
+def _shape(payload: int) -> tuple[int, int, int]:
+    """(full blocks, blocks across, blocks down) for so many payload bytes."""
+    n = payload // 64
+    w = math.isqrt(n - 1) + 1
+    return n, w, -(-n // w)
+
+
+def encode(texts: list[bytes]) -> list[bytes]:
+    """A JPEG for each byte string. All are coded together; it takes a multiple of their size."""
+    payloads = [pad(t) for t in texts]
+    shapes = [_shape(len(p)) for p in payloads]
+    lanes = np.array([w * h for _, w, h in shapes])
+    full = np.concatenate([np.arange(w * h) < n for n, w, h in shapes])
+    last = np.cumsum(lanes) - 1
+    number = np.arange(len(full)) - np.repeat(last - lanes + 1, lanes)
+    coded, ends = _intervals(np.frombuffer(b"".join(payloads), np.uint8), full, number)
     coded[ends[last] - 1] = 0xD9
     coded, cuts, result = coded.tobytes(), [0, *ends[last].tolist()], []
     for i, (_, w, h) in enumerate(shapes):
@@ -143,6 +155,19 @@ def encode(texts: list[bytes]) -> list[bytes]:
     return result
 
 
+def encode_long(text: bytes, step: int = CHUNK // 64) -> bytes:
+    """The same JPEG as ``encode`` makes, a run of blocks after another."""
+    payload = len(text) + (-len(text) % 64 or (0 if text else 64))
+    n, w, h = _shape(payload)
+    out = bytearray(_head(8 * w, 8 * h, payload, len(text)))
+    for i in range(0, w * h, step):
+        number = np.arange(i, min(i + step, w * h))
+        data = text[64 * i : 64 * (i + step)]
+        out += _intervals(np.frombuffer(data + b"\0" * (min(payload, 64 * (i + step)) - 64 * i - len(data)), np.uint8), number < n, number)[0].tobytes()
+    out[-1] = 0xD9
+    return bytes(out)
+
+
 @dataclass
 class Picture:
     """What the markers say, and after decoding the quantised coefficients of each component's blocks, zigzag order."""
@@ -157,6 +182,7 @@ class Picture:
     scans: list[tuple[list[tuple[int, bytes, bytes]], int, int]] = field(default_factory=list)  # components, from, to
     coefficients: dict[int, np.ndarray] = field(default_factory=dict)
     error: str = ""
+    size_at: int = 0  # where height and width stand
 
 
 def parse(data: bytes) -> Picture:
@@ -185,6 +211,7 @@ def parse(data: bytes) -> Picture:
                     p.huffman[body[0]], body = body[1:n], body[n:]
             elif marker in (0xC0, 0xC1):
                 bits, p.height, p.width, n = struct.unpack_from(">BHHB", body)
+                p.size_at = at - len(body) + 1
                 if bits != 8 or not p.height or not p.width:
                     raise ValueError("not 8-bit samples of known size")
                 p.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
@@ -341,10 +368,56 @@ def decode(pictures: list[bytes]) -> list[Picture]:
     return parsed
 
 
+def strips(data: bytes, p: Picture, step: int = STRIP) -> Iterator[Picture]:
+    """A picture of one component with an interval for each block, as runs of blocks, each decoded as a picture of one row."""
+    begin, end = p.scans[0][1:]
+    raw = np.frombuffer(data, np.uint8, end - begin, begin)
+    cuts = [begin]
+    for i in range(0, len(raw), CHUNK):
+        part = raw[i : i + CHUNK + 1]
+        marks = np.flatnonzero((part[:-1] == 255) & (part[1:] >= 0xD0) & (part[1:] <= 0xD7)) + i + begin
+        cuts += (marks + 2).tolist()
+    cuts.append(end + 2)
+    head = bytearray(data[:begin])
+    for i in range(0, len(cuts) - 1, step):
+        n = min(step, len(cuts) - 1 - i)
+        struct.pack_into(">HH", head, p.size_at, 8, 8 * n)
+        yield decode([bytes(head) + data[cuts[i] : cuts[i + n] - 2] + b"\xff\xd9"])[0]
+
+
+def can_be_cut(p: Picture) -> bool:
+    return not p.error and len(p.scans) == 1 == len(p.parts) and p.restart == 1 == p.parts[0][1] * p.parts[0][2]
+
+
+def _bytes_of(coefficients: np.ndarray) -> bytes:
+    return (coefficients + np.where(coefficients < 0, 129, 128)).astype(np.uint8).tobytes()
+
+
 def payload_of(p: Picture) -> bytes:
     """The bytes that ``encode`` stored."""
-    flat = p.coefficients[0].reshape(-1)[: p.payload[0]]
-    return (flat + np.where(flat < 0, 129, 128)).astype(np.uint8).tobytes()
+    return _bytes_of(p.coefficients[0].reshape(-1)[: p.payload[0]])
+
+
+def read_long(data: bytes) -> tuple[Picture, np.ndarray | None, list[bytes]]:
+    """(picture without coefficients, thumbnail, payload in pieces) of a long picture, a run of blocks after another."""
+    p = parse(data)
+    if not can_be_cut(p):
+        p = decode([data])[0]
+        return p, None if p.error else thumbnail(p), [payload_of(p)] if p.payload and not p.error else []
+    luma, pieces, left = [], [], p.payload[0] if p.payload else 0
+    for strip in strips(data, p):
+        if strip.error:
+            p.error = strip.error
+            return p, None, []
+        luma.append(thumbnail(strip)[0])
+        flat = strip.coefficients[0].reshape(-1)[:left]
+        left -= len(flat)
+        pieces.append(_bytes_of(flat))
+    blocks, across, down = np.concatenate(luma), -(-p.width // 8), -(-p.height // 8)
+    if len(blocks) != across * down:
+        p.error = "restart intervals missing"
+        return p, None, []
+    return p, blocks.reshape(down, across), pieces
 
 
 def thumbnail(p: Picture) -> np.ndarray:
@@ -359,7 +432,7 @@ def thumbnail_hash(t: np.ndarray) -> str:
 
 
 def _sized(values: list[bytes], most: int) -> Iterator[slice]:
-    """Slices of about that many bytes."""
+    """Slices of about that many bytes; longer values stand alone."""
     begin = total = 0
     for i, x in enumerate(values):
         if total and total + len(x) > most:
@@ -378,7 +451,8 @@ def to_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             texts = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
             for s in _sized(texts, CHUNK):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), pa.array(encode(texts[s]), pa.binary())], ["id", "media"])
+                coded = [encode_long(texts[s.start])] if len(texts[s.start]) > CHUNK else encode(texts[s])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), pa.array(coded, pa.binary())], ["id", "media"])
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, media binary")
@@ -397,18 +471,27 @@ def media_features(df: DataFrame, id_col: str = "id", media_col: str = "media",
     src = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
     schema = f"id {dict(src.dtypes)['id']}, " + (FEATURES if keep_bytes else FEATURES.replace("payload binary", "payload_bytes long, payload_sha256 string, tail_crc32 long").replace("thumbnail binary, ", ""))
 
-    def row(media: bytes, p: Picture) -> dict:
+    def row(media: bytes, p: Picture, t: np.ndarray | None, pieces: list[bytes]) -> dict:
         out = {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "error": p.error or None}
         if p.error:
             return out
-        t = thumbnail(p)
         out |= {"width": p.width, "height": p.height, "thumbnail_hash": thumbnail_hash(t)}
         if p.payload:
-            data = payload_of(p)
             out |= {"text_bytes": p.payload[1]}
-            out |= {"payload": data} if keep_bytes else {"payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-64:])}
+            if keep_bytes:
+                out |= {"payload": b"".join(pieces)}
+            else:
+                sha = hashlib.sha256()
+                for x in pieces:
+                    sha.update(x)
+                out |= {"payload_bytes": sum(map(len, pieces)), "payload_sha256": sha.hexdigest(), "tail_crc32": zlib.crc32(pieces[-1][-64:])}
         return out | ({"thumbnail": t.tobytes()} if keep_bytes else {})
 
+    def rows(media: list[bytes]) -> list[dict]:
+        if len(media[0]) > 2 * CHUNK:
+            return [row(media[0], *read_long(media[0]))]
+        return [row(m, p, None if p.error else thumbnail(p), [payload_of(p)] if p.payload and not p.error else []) for m, p in zip(media, decode(media), strict=True)]
+
     names = [x.split()[0] for x in schema.split(", ")][1:]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[x.split()[1]] for x in schema.split(", ")[1:]]
@@ -417,8 +500,8 @@ def media_features(df: DataFrame, id_col: str = "id", media_col: str = "media",
         for b in batches:
             media = [x or b"" for x in b.column(1).to_pylist()]
             for s in _sized(media, CHUNK):
-                rows = [row(m, p) for m, p in zip(media[s], decode(media[s]), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), *(pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True))], ["id", *names])
+                found = rows(media[s])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), *(pa.array([r.get(n) for r in found], t) for n, t in zip(names, types, strict=True))], ["id", *names])
 
     return src.mapInArrow(run, schema)
 
