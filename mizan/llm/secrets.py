@@ -135,7 +135,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
         "doc_id", "text", assign.alias("assign"), matches(t, ACCESS, F.contains(t, F.lit("AKIA"))).alias("access"), matches(t, HEX).alias("hex"), matches(t, TOKEN).alias("tokens")
     )
     base = F.concat("assign", "access", "hex")
-    alone = F.filter("tokens", lambda x: ~F.exists(base, lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"])) & (ratio(x["m"], table) >= least))
+    alone = F.filter("tokens", lambda x: (ratio(x["m"], table) >= least) & ~F.exists(base, lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"])))
     return found.select("doc_id", "text", "assign", "access", "hex", alone.alias("markov"))
 
 
