@@ -55,17 +55,23 @@ def matches(text: Column, pattern: str, gate: Column | None = None) -> Column:
     return F.when(has, let(pairs, spans)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def labelled(spans: Column, kind: str, rank: int) -> Column:
-    """array<struct<rank, kind, s, e>> of spans."""
-    return F.transform(spans, lambda x: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+def labelled(spans: Column, kind: str, rank: int, *more: str) -> Column:
+    """array<struct<rank, kind, s, e, ...>> of spans, with more of their fields."""
+    return F.transform(spans, lambda x: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), *(x[c].alias(c) for c in ("s", "e", *more))))
 
 
 def ordered(spans: Column, by_kind: bool) -> Column:
     """Labelled spans by kind then start, or by start then kind."""
     order = ("rank", "s", "e") if by_kind else ("s", "rank", "e")
-    return F.array_sort(F.transform(spans, lambda x: F.struct(*(x[c].alias(f"o{i}") for i, c in enumerate(order)), x.alias("span"))))
+    ranked = F.array_sort(F.transform(spans, lambda x: F.struct(*(x[c].alias(f"o{i}") for i, c in enumerate(order)), x.alias("span"))))
+    return F.transform(ranked, lambda x: x["span"])
+
+
+def joined(spans: Column | str) -> Column:
+    """kind:start:end of labelled spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
 def digest(spans: Column, by_kind: bool) -> Column:
     """kind:start:end, comma-joined, by kind then start or by start then kind."""
-    return F.array_join(F.transform(ordered(spans, by_kind), lambda x: F.concat_ws(":", x["span"]["kind"], x["span"]["s"].cast("string"), x["span"]["e"].cast("string"))), ",")
+    return joined(ordered(spans, by_kind))
