@@ -14,22 +14,25 @@ from .config import Settings, load
 from .functions.text import detect_court
 from .operators import quality, retrieve, segment
 from .sources import profiles
-from .sources.store import CatalogStore
+from .sources.store import CatalogStore, Generation
 
 
 def accepted_by_course(cases: DataFrame, courses: list[retrieve.Course], limit: int) -> DataFrame:
     """(slug): a row for each candidate of each course, at most ``limit`` of a course."""
     none = cases.sparkSession.createDataFrame([], "case_number string, court_name string")
-    out = None
-    for c in courses:
-        own = retrieve.candidates(cases, c, none, limit).select(F.lit(c.slug).alias("slug"))
-        out = own if out is None else out.union(own)
-    return out
+    if not courses:
+        return none.select(F.lit("").alias("slug"))
+    return retrieve.candidates_by_course(cases, courses, none, limit).select("slug")
 
 
 def build(spark: SparkSession, store: CatalogStore, pages: DataFrame, courses: list[retrieve.Course], settings: Settings) -> tuple[bool, str]:
     """pages (doc_id, page_no, text, url, source_id, pdf_sha256) -> a generation that is promoted if it passes the gate."""
     g = store.begin(settings.parser_version)
+    with store.alive(g):
+        return _build(spark, store, g, pages, courses, settings)
+
+
+def _build(spark: SparkSession, store: CatalogStore, g: Generation, pages: DataFrame, courses: list[retrieve.Course], settings: Settings) -> tuple[bool, str]:
     try:
         headed = segment.with_headers(pages).drop("header")
         facts = pages.select("doc_id", "url", "source_id", "pdf_sha256").dropDuplicates(["doc_id"])
@@ -42,7 +45,10 @@ def build(spark: SparkSession, store: CatalogStore, pages: DataFrame, courses: l
         if own is None:
             store.finish(g, "failed", "no cases")
             return False, "no cases"
-        documents = facts.join(own.groupBy("collection_id").agg(F.count("*").alias("n_cases")), F.col("doc_id") == F.col("collection_id"), "left").select((F.col("n_cases").isNull()).alias("failed"), F.coalesce("n_cases", F.lit(0)).alias("n_cases"))
+        counted = own.groupBy("collection_id").agg(F.count("*").alias("n_cases"))
+        records = facts.join(counted, F.col("doc_id") == F.col("collection_id"), "left").select(F.col("doc_id").cast("string").alias("document_id"), "source_id", "url", "pdf_sha256", F.when(F.col("n_cases").isNull(), "failed").otherwise("indexed").alias("status"), F.coalesce("n_cases", F.lit(0)).alias("case_count"))
+        store.write_documents(g, records)
+        documents = store.documents(g.generation_id).select((F.col("status") == "failed").alias("failed"), F.col("case_count").alias("n_cases"))
         slugs = spark.createDataFrame([(c.slug,) for c in courses], "slug string")
         covered = quality.coverage(accepted_by_course(own, courses, settings.min_candidates_per_subject), slugs, settings.min_candidates_per_subject)
         r = quality.gate(quality.catalog_stats(own), covered, quality.build_counters(documents), settings.min_cases_for_activation, settings.required_subject_coverage_percent, settings.max_document_failure_ratio).first()

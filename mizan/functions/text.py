@@ -1,7 +1,7 @@
 """Text normalizers and small text functions, as Column -> Column.
 
 The seven normalizers differ on purpose; each serves one comparison. Those that need NFKC take it from one vectorized
-function, the rest of each is built in.
+function, which sees only texts that lower case alone does not serve; the rest of each is built in.
 """
 
 from __future__ import annotations
@@ -42,6 +42,27 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
 
 
+def _same_as_lower(i: int) -> bool:
+    """Whether NFKC and case folding make of a character, wherever it stands, what lower case (with ss for ß) does."""
+    c = chr(i)
+    return not unicodedata.combining(c) and c not in "Σς" and unicodedata.normalize("NFKC", c).casefold() == c.lower().replace("ß", "ss")
+
+
+def _ranges(codes: list[int]) -> str:
+    """A regular expression's class of these code points."""
+    heads = [i for i, c in enumerate(codes) if i == 0 or codes[i - 1] != c - 1]
+    return "".join(rf"\x{{{codes[a]:X}}}-\x{{{codes[b - 1]:X}}}" for a, b in zip(heads, [*heads[1:], len(codes)], strict=True))
+
+
+#: A character that may need NFKC: all but those of the common scripts and punctuation that are as they are.
+NEEDS_NFKC = f"[^{_ranges([i for i in (*range(0x700), *range(0x2010, 0x2024)) if _same_as_lower(i)])}]"
+
+
+def folded(c: Column) -> Column:
+    """NFKC and case folding; only texts that need it pass through the vectorized function."""
+    return F.coalesce(nfkc(F.when(F.regexp_like(c, F.lit(NEEDS_NFKC)), c)), F.replace(F.lower(c), F.lit("ß"), F.lit("ss")))
+
+
 def ascii_digits(c: Column) -> Column:
     return F.translate(c, ARABIC_DIGITS, ASCII_DIGITS)
 
@@ -65,32 +86,37 @@ def plain_letters(c: Column, ta_marbuta: bool = False) -> Column:
     return F.translate(c, LETTER_FORMS + extra[0], PLAIN_FORMS + extra[1])
 
 
+#: Marks and tatweel are deleted: they have no counterpart.
+_N1_FROM = ARABIC_DIGITS + LETTER_FORMS + TATWEEL + "".join(map(chr, (*range(0x617, 0x61B), *range(0x64B, 0x653), 0x670, *range(0x6D6, 0x6EE))))
+_N1_TO = ASCII_DIGITS + PLAIN_FORMS
+
+
 def normalize_arabic(c: Column) -> Column:
     """N1, of the stored search text: ASCII digits, no marks, plain letters, only letters, digits, / and -, lower case."""
-    kept = plain_letters(F.translate(F.regexp_replace(ascii_digits(c), MARKS, ""), TATWEEL, ""))
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(kept, r"[^0-9A-Za-z\u0600-\u06FF/\- ]+", " "), " +", " ")))
+    plain = F.when(F.regexp_like(c, F.lit(r"[\u0600-\u06FF]")), F.translate(c, _N1_FROM, _N1_TO)).otherwise(c)
+    return F.lower(F.trim(F.regexp_replace(plain, r"[^0-9A-Za-z\u0600-\u06FF/\-]+", " ")))
 
 
-def _folded(c: Column, digits: bool, squeezed: bool) -> Column:
-    out = F.translate(nfkc(c), TATWEEL, "")
-    out = plain_letters(ascii_digits(out) if digits else out, ta_marbuta=True)
-    out = F.trim(F.regexp_replace(F.regexp_replace(out, SEARCH_MARKS, ""), r"[^0-9a-z\u0600-\u06FF]+", " "))
-    return F.regexp_replace(out, " +", " ") if squeezed else out
+def _folded(c: Column, digits: bool) -> Column:
+    """Letters and digits of a folded text in their plain forms; runs of others are one space."""
+    given, plain = LETTER_FORMS + TA_MARBUTA + (ARABIC_DIGITS if digits else ""), PLAIN_FORMS + HA + (ASCII_DIGITS if digits else "")
+    out = F.translate(folded(c), given + TATWEEL, plain)
+    return F.trim(F.regexp_replace(F.regexp_replace(out, SEARCH_MARKS, ""), r"[^0-9a-z\u0600-\u06FF]+", " "))
 
 
 def normalize_search(c: Column) -> Column:
     """N2, of header markers."""
-    return _folded(c, digits=True, squeezed=True)
+    return _folded(c, digits=True)
 
 
 def normalize_relevance(c: Column) -> Column:
     """N3, of course relevance: as N2, digits as they are."""
-    return _folded(c, digits=False, squeezed=False)
+    return _folded(c, digits=False)
 
 
 def normalize_signals(c: Column) -> Column:
     """N4, of page quality."""
-    return _folded(c, digits=False, squeezed=True)
+    return _folded(c, digits=False)
 
 
 def normalize_compact(c: Column) -> Column:

@@ -28,10 +28,21 @@ def keep_first(df: DataFrame, keys: list[Column], order: str) -> DataFrame:
     return kept.unionByName(df.where(~F.coalesce(whole, F.lit(False))))
 
 
-def retain(df: DataFrame, group: str, recency: Column, tie: str, keep: int, active: Column) -> DataFrame:
-    """Rows that retention removes: beyond the newest ``keep`` of each group, never an active one."""
-    order = Window.partitionBy(group).orderBy(recency.desc(), tie)
-    return df.where(~F.coalesce(active, F.lit(False))).withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") > keep).drop("__rn")
+def retain(df: DataFrame, group: str, recency: Column, tie: str, keep: int, active: Column, shares: int = 64) -> DataFrame:
+    """Rows that retention removes: beyond the newest ``keep`` of each group, never an active one.
+
+    The last row that stays of each group is found first: among the newest of each share of the group, so that a group of
+    any size is spread over tasks. The others are told by comparing with it. Null times are the oldest.
+    """
+    rows = df.where(~F.coalesce(active, F.lit(False))).withColumn("__at", recency)
+    newest = [F.col("__at").desc_nulls_last(), tie]
+    share = F.pmod(F.xxhash64(tie), F.lit(shares))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))
+    near = rows.select(group, tie, "__at", share.alias("__share")).withColumn("__rn", rank(group, "__share")).where(F.col("__rn") <= keep)
+    last = near.withColumn("__rn", rank(group)).where(F.col("__rn") == keep).select(F.col(group).alias("__group"), F.col(tie).alias("__tie"), F.col("__at").alias("__last"))
+    older = F.coalesce(F.col("__at") < F.col("__last"), F.col("__at").isNull() & F.col("__last").isNotNull())
+    beyond = older | (F.col("__at").eqNullSafe(F.col("__last")) & (F.col(tie) > F.col("__tie")))
+    return rows.join(last, F.col(group).eqNullSafe(F.col("__group"))).where(beyond).select(*df.columns)
 
 
 def used(cases: DataFrame, history: DataFrame, key: str) -> DataFrame:

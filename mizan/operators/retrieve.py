@@ -6,6 +6,7 @@ Courses are few and known to the driver; their terms become arrays, so all scori
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,12 +16,18 @@ from ..functions.headers import search_form
 from ..functions.text import ARABIC_DIGITS, ASCII_DIGITS, LETTER_FORMS, MARKS, PLAIN_FORMS, TATWEEL, hits, normalize_identity, normalize_relevance
 
 # Words that say nothing about a course, and those that retrieval terms leave out.
-GENERIC_WORDS = frozenset(
-    "القانون القانوني القانونية الحكم قضية القضية الدعوى المحكمة المحاكم المقرر المادة المواد الحق الحقوق الاختصاص النظام النظامية المبدأ مبدأ المبادئ العام العامة عامة تنظيم تنظيمية تطبيق تطبيقات مسألة المسألة أثر اثر بيان مدى حكم نزاع يتناول يرتبط يتعلق في من على عن إلى الى مع أو او بين عند".split()
-)
-STOPWORDS = frozenset(
-    "القانون القانوني القانونية القضية قضية حكم الحكم المقرر المادة المحكمة المحاكم مناسب مناسبة يظهر بيان تحليل صلة موضوع موضوعات مفهوم مفاهيم تطبيق تطبيقات أثر اثر مدى حالة حالات يناقش تصلح يمكن فيها عليه عنها هذه ذلك التي الذي على إلى الى عن من في مع أو او بين الحق الحقوق الاختصاص النظام العامة العام تنظيم".split()
-)
+GENERIC_WORDS = frozenset((
+    "القانون", "القانوني", "القانونية", "الحكم", "قضية", "القضية", "الدعوى", "المحكمة", "المحاكم", "المقرر", "المادة", "المواد", "الحق", "الحقوق",
+    "الاختصاص", "النظام", "النظامية", "المبدأ", "مبدأ", "المبادئ", "العام", "العامة", "عامة", "تنظيم", "تنظيمية", "تطبيق", "تطبيقات", "مسألة",
+    "المسألة", "أثر", "اثر", "بيان", "مدى", "حكم", "نزاع", "يتناول", "يرتبط", "يتعلق", "في", "من", "على", "عن", "إلى", "الى", "مع", "أو", "او", "بين",
+    "عند",
+))
+STOPWORDS = frozenset((
+    "القانون", "القانوني", "القانونية", "القضية", "قضية", "حكم", "الحكم", "المقرر", "المادة", "المحكمة", "المحاكم", "مناسب", "مناسبة", "يظهر", "بيان",
+    "تحليل", "صلة", "موضوع", "موضوعات", "مفهوم", "مفاهيم", "تطبيق", "تطبيقات", "أثر", "اثر", "مدى", "حالة", "حالات", "يناقش", "تصلح", "يمكن", "فيها",
+    "عليه", "عنها", "هذه", "ذلك", "التي", "الذي", "على", "إلى", "الى", "عن", "من", "في", "مع", "أو", "او", "بين", "الحق", "الحقوق", "الاختصاص",
+    "النظام", "العامة", "العام", "تنظيم",
+))
 # Phrases of a methodological course, by category with its label, and its retrieval terms.
 METHOD_CATEGORIES = {
     "وقائع واضحة": ("الوقائع", "وقائع", "المدعي", "المدعى عليه", "طلب المدعي", "أقام دعواه"),
@@ -83,16 +90,28 @@ def present(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 
 
-def search(cases: DataFrame, terms: list[str], preferred: tuple[str, ...] = (), limit: int = 20, recall_cap: int | None = None) -> DataFrame:
+def any_of(text: Column, terms: list[str]) -> Column:
+    """True if any of the terms stands in a text, in one reading of it."""
+    return F.regexp_like(text, F.lit("|".join(map(re.escape, terms)))) if terms else F.lit(False)
+
+
+def recall(limit: int) -> int:
+    """How many of the most recent matches are scored."""
+    return max(RECALL_LEAST, min(limit * RECALL_FACTOR, RECALL_CAP))
+
+
+def search(cases: DataFrame, terms: list[str], preferred: tuple[str, ...] = (), limit: int = 20, recall_cap: int | None = None, text: Column | None = None) -> DataFrame:
     """Cases (…, normalized_text, source_id, case_number, court_name, indexed_at, catalog_key) with any of the terms, the best
-    ``limit`` by match score, then by recency and key. Only the ``recall_cap`` most recent are scored."""
+    ``limit`` by match score, then by recency and key. Only the ``recall_cap`` most recent are scored.
+
+    text: where the plain text is not stored but computed, how; it then is computed once for each case, and again only for
+    those that are scored."""
     plain = retrieval_terms(terms)
-    cap = recall_cap or max(RECALL_LEAST, min(limit * RECALL_FACTOR, RECALL_CAP))
+    cap = recall_cap or recall(limit)
     if not plain:
         return cases.limit(0).withColumn("match_score", F.lit(0))
-    text = F.col("normalized_text")
-    any_term = F.exists(F.array(*map(F.lit, plain[:MAX_TERMS])), lambda t: F.contains(text, t))
-    recent = cases.where(any_term).orderBy(F.col("indexed_at").desc(), "catalog_key").limit(cap)
+    text = F.col("normalized_text") if text is None else text
+    recent = cases.where(any_of(text, plain[:MAX_TERMS])).orderBy(F.col("indexed_at").desc(), "catalog_key").limit(cap)
     known = F.col("source_id").isin(*preferred) if preferred else F.lit(False)
     score = match_score(text, plain, known, present(F.col("case_number")), present(F.col("court_name")))
     return recent.withColumn("match_score", score).orderBy(F.col("match_score").desc(), F.col("indexed_at").desc(), "catalog_key").limit(max(1, limit))
@@ -171,6 +190,28 @@ def candidates(cases: DataFrame, course: Course, excluded: DataFrame, limit: int
     return out.orderBy(F.col("match_score").desc(), F.col("indexed_at").desc(), "catalog_key").limit(limit)
 
 
+def candidates_by_course(cases: DataFrame, courses: list[Course], excluded: DataFrame, limit: int) -> DataFrame:
+    """(slug, …): ``candidates`` of every course in one reading of the cases.
+
+    A case is dealt to the courses whose terms it has; of each course the most recent are kept, ranked within tasks before
+    they are shuffled, so what the courses share is small whatever the number of cases.
+    """
+    terms = {c.slug: retrieval_terms(subject_terms(c)) for c in courses}
+    wanted = max(limit * 8, RECALL_LEAST)
+    text = F.col("normalized_text")
+    pick = lambda make: F.coalesce(*(F.when(F.col("slug") == c.slug, make(c)) for c in courses))
+    best = lambda df, most, *order: df.withColumn("__rn", F.row_number().over(Window.partitionBy("slug").orderBy(*order))).where(F.col("__rn") <= most).drop("__rn")
+    recency, ranked = (F.col("indexed_at").desc(), "catalog_key"), (F.col("match_score").desc(), F.col("indexed_at").desc(), "catalog_key")
+    slugs = F.array_compact(F.array(*(F.when(any_of(text, terms[c.slug][:MAX_TERMS]), F.lit(c.slug)) for c in courses)))
+    recent = best(cases.withColumn("slug", F.explode(slugs)), recall(wanted), *recency)
+    known = pick(lambda c: F.col("source_id").isin(*c.preferred) if c.preferred else F.lit(False))
+    score = pick(lambda c: match_score(text, terms[c.slug], known, present(F.col("case_number")), present(F.col("court_name"))))
+    left = not_excluded(best(recent.withColumn("match_score", score), wanted, *ranked), excluded)
+    plain = left.where(F.length("pdf_sha256") == 64).withColumn("__plain", normalize_relevance(F.col("text")))
+    judged = plain.withColumn("r", pick(lambda c: relevance(c, F.col("text"), F.col("__plain")))).where("r.accepted").drop("__plain")
+    return best(judged.withColumn("subject_relevance", F.col("r.score")).drop("r"), limit, *ranked)
+
+
 def not_excluded(cases: DataFrame, excluded: DataFrame) -> DataFrame:
     """Cases whose number and court are not, both, those of an excluded case that has both."""
     keys = excluded.where(present(F.col("case_number")) & present(F.col("court_name"))).select(normalize_identity(F.col("case_number")).alias("__n"), normalize_identity(F.col("court_name")).alias("__c")).distinct()
@@ -212,13 +253,19 @@ def merged(local: DataFrame, remote: DataFrame, limit: int) -> DataFrame:
     return first.orderBy("__source", "pos").limit(limit).drop("__rn", "__source")
 
 
-def with_fallback(local: DataFrame, remote, limit: int, minimum: int) -> DataFrame:
-    """Local candidates; with too few of them, merged with what remote() gives. If remote fails, local ones if there are any."""
+class RemoteFailure(Exception):
+    """The remote side could not answer."""
+
+
+def with_fallback(local: DataFrame, remote: Callable[[], DataFrame], limit: int, minimum: int) -> DataFrame:
+    """Local candidates; with too few of them, merged with what remote() gives. If that fails for want of an answer, the local
+    ones if there are any. Other errors are no failure of the remote side and go up."""
     if local.limit(min(limit, minimum)).count() >= min(limit, minimum):
         return local.orderBy("pos").limit(limit)
     try:
-        return merged(local, remote(), limit)
-    except Exception:
+        found = remote()
+    except (RemoteFailure, OSError):
         if local.isEmpty():
             raise
         return local.orderBy("pos").limit(limit)
+    return merged(local, found, limit)

@@ -59,9 +59,9 @@ def missing_metadata(text: Column, expected: Column) -> Column:
     return F.transform(lost, lambda e: e["key"])
 
 
-def candidate_faults(c: str = "c") -> Column:
+def candidate_faults(c: Column) -> Column:
     """Fields of a candidate struct against the constraints: names of the faulty ones."""
-    f = lambda name: F.col(f"{c}.{name}")
+    f = lambda name: c[name]
     length = lambda name, low, high: ~F.coalesce(F.length(f(name)).between(low, high), F.lit(False))
     bounded = lambda name, high: f(name).isNotNull() & ~f(name).between(0, high)
     pages = f("pdf_page_start").isNotNull() & f("pdf_page_end").isNotNull()
@@ -125,15 +125,19 @@ salvaged = per_row(T.ArrayType(T.StringType()))(lambda text: [json.dumps(x, ensu
 
 
 def parse_candidates(answers: DataFrame, limit: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, pos, c, salvaged): valid candidates of each answer, the first ``limit``; broken answers give their whole objects."""
-    whole = F.try_parse_json(F.col(text_col))
+    """(id, salvaged, pos, c): valid candidates of each answer, the first ``limit``; broken answers give their whole objects.
+
+    Only broken answers pass through the vectorized reader; a row's items are checked where they are, without a shuffle.
+    """
+    answer = F.col(text_col)
+    whole = F.try_parse_json(answer)
     listed = F.from_json(F.to_json(F.try_variant_get(whole, "$.candidates", "variant")), "array<string>")
-    read = answers.select(F.col(id_col).alias("id"), whole.isNotNull().alias("__whole"), listed.alias("__listed"), salvaged(F.col(text_col)).alias("__salvaged"))
-    items = F.when(F.col("__whole"), F.coalesce("__listed", F.array().cast("array<string>"))).otherwise(F.col("__salvaged"))
-    rows = read.select("id", (~F.col("__whole")).alias("salvaged"), F.posexplode(items).alias("pos", "item")).withColumn("c", F.from_json("item", CANDIDATE))
-    valid = rows.where(F.col("item").startswith("{") & (F.size(candidate_faults("c")) == 0))
-    first = F.slice(F.array_sort(F.collect_list(F.struct("pos", "c"))), 1, limit)
-    return valid.groupBy("id", "salvaged").agg(first.alias("own")).select("id", "salvaged", F.inline("own"))
+    none = F.array().cast("array<string>")
+    read = answers.select(F.col(id_col).alias("id"), whole.isNull().alias("salvaged"), F.coalesce(listed, none).alias("listed"), salvaged(F.when(whole.isNull(), answer)).alias("whole_objects"))
+    items = F.when(F.col("salvaged"), F.coalesce("whole_objects", none)).otherwise(F.col("listed"))
+    objects = F.transform(items, lambda x, i: F.struct(i.alias("pos"), F.when(x.startswith("{"), F.from_json(x, CANDIDATE)).alias("c")))
+    valid = F.filter(objects, lambda o: o["c"].isNotNull() & (F.size(candidate_faults(o["c"])) == 0))
+    return read.select("id", "salvaged", F.inline(F.slice(valid, 1, limit)))
 
 
 def output_text(response: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.headers import judgment_metadata, normalize_case_number, primary_header
+from ..functions.text import strip
 from .identity import insertable
 
 METADATA = ("case_number", "court_name", "judgment_year", "decision_number", "decision_date", "appeal_court_name")
@@ -27,6 +30,18 @@ def merge_engines(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, ["doc_id", "page_no"], "full_outer")
 
 
+def extractable(documents: DataFrame, least: int = MIN_TEXT) -> DataFrame:
+    """Documents (…, text) with enough text to work on."""
+    return documents.where(F.length(strip(F.coalesce("text", F.lit("")))) >= least)
+
+
+def page_links(candidates: DataFrame) -> DataFrame:
+    """candidates (pdf_page_start, pdf_page_end, final_score, estimated_score, mode) with has_page_range, is_auto and the score
+    that counts."""
+    both = F.col("pdf_page_start").isNotNull() & F.col("pdf_page_end").isNotNull()
+    return candidates.withColumns({"has_page_range": both, "is_auto": F.coalesce(F.col("mode") == "auto", F.lit(False)), "score": F.coalesce("final_score", "estimated_score")})
+
+
 def range_faults(candidates: DataFrame, artifacts: DataFrame) -> DataFrame:
     """candidates (url, catalog_pdf_sha256, pdf_page_end) against artifacts (url, sha256, page_count): stale or out-of-range
     ones with ``fault``; null where the stored range still holds."""
@@ -36,13 +51,15 @@ def range_faults(candidates: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def validate_extracts(pages: DataFrame) -> DataFrame:
-    """pages (doc_id, page_no, text, expected) of extracts -> (doc_id, fault, number): an extract begins with the header of the
-    expected case and has no other one's header on a later page."""
+    """pages (doc_id, page_no, text, expected) of extracts -> (doc_id, fault, number, sha256): an extract begins with the header of
+    the expected case and has no other one's header on a later page. sha256 is of its pages' texts, as they were read again."""
     read = pages.withColumn("number", primary_header("text")["case_number"]).withColumn("wanted", normalize_case_number("expected"))
-    facts = read.groupBy("doc_id").agg(F.min_by("number", "page_no").alias("number"), F.max("wanted").alias("wanted"), F.array_sort(F.collect_list(F.struct("page_no", "number"))).alias("headers"))
-    other = F.get(F.filter("headers", lambda h: h["number"] != F.col("number")), F.lit(0))["page_no"]
+    own = F.array_sort(F.collect_list(F.struct("page_no", "number", "text")))
+    facts = read.groupBy("doc_id").agg(F.min_by("number", "page_no").alias("number"), F.max("wanted").alias("wanted"), own.alias("pages"))
+    other = F.get(F.filter("pages", lambda h: h["number"] != F.col("number")), F.lit(0))["page_no"]
     fault = F.when(F.col("number").isNull(), "no header first").when(F.col("wanted").isNotNull() & (F.col("wanted") != F.col("number")), "starts with another case")
-    return facts.select("doc_id", fault.when(other.isNotNull(), F.concat(F.lit("another case on page "), other.cast("string"))).alias("fault"), "number")
+    digest = F.sha2(F.array_join(F.transform("pages", lambda h: F.coalesce(h["text"], F.lit(""))), "\f"), 256)
+    return facts.select("doc_id", fault.when(other.isNotNull(), F.concat(F.lit("another case on page "), other.cast("string"))).alias("fault"), "number", digest.alias("sha256"))
 
 
 def document_metadata(pages: DataFrame, header_required: bool) -> DataFrame:
@@ -85,6 +102,16 @@ def exclusion_lines(excluded: Column) -> Column:
     return F.when(F.size(excluded) > 0, some).otherwise(F.lit("لا توجد قضايا مستبعدة حتى الآن."))
 
 
+def research_prompt(requests: DataFrame, heading: str = "") -> DataFrame:
+    """requests (slug, name, topics, keywords, avoid, excluded) with ``prompt``: its parts, each under its title."""
+    part = lambda title, body: F.concat(F.lit(f"{title}:\n"), body)
+    parts = (
+        F.lit(heading) if heading else F.lit(None).cast("string"), part("المادة", F.col("name")), part("الموضوعات", bullets(F.col("topics"))), part("كلمات البحث", bullets(F.col("keywords"))), part("ما يُتجنب", bullets(F.col("avoid"))),
+        part("قضايا مستبعدة", exclusion_lines(F.col("excluded"))),
+    )
+    return requests.withColumn("prompt", F.concat_ws("\n\n", *parts))
+
+
 def failure_message(code: Column) -> Column:
     known = F.create_map(*(F.lit(x) for pair in FAILURES.items() for x in pair))
     return F.coalesce(F.try_element_at(known, code), F.lit(OTHER_FAILURE))
@@ -102,6 +129,38 @@ def record_sent(sent: DataFrame, history: DataFrame, order: str) -> tuple[DataFr
     return new, audit, sent.select("token").distinct()
 
 
+def append_audit(audit: DataFrame, path: str) -> None:
+    """Audit rows go to the end of their table, with the time."""
+    audit.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def select_token(sessions: DataFrame, choice: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sessions (user_id, token, expires_at), choice (user_id, token, at): (the chosen sessions that had not run out, tokens of the
+    users' other sessions, which are released)."""
+    own = choice.select("user_id", F.col("token").alias("__chosen"), "at")
+    both = sessions.join(own, "user_id")
+    chosen = both.where((F.col("token") == F.col("__chosen")) & (F.col("expires_at") > F.col("at"))).select(*sessions.columns)
+    return chosen, both.where(F.col("token") != F.col("__chosen")).select("user_id", "token")
+
+
+def rounds(search: Callable[[DataFrame, int], DataFrame], excluded: DataFrame, wanted: int, most: int) -> DataFrame:
+    """Candidates of search(excluded, round) (key, verified), round after round, each without what was tried before, until enough
+    are verified. excluded: (key). Each round's result is one answer of a search: a few rows."""
+    found = None
+    for i in range(most):
+        own = search(excluded, i).checkpoint()
+        found = own if found is None else found.union(own)
+        excluded = excluded.union(own.select("key"))
+        if found.where("verified").count() >= wanted:
+            break
+    return found
+
+
+def users_page(users: DataFrame, page: int, size: int = 8, most: int = 100) -> DataFrame:
+    """One page of the first users by the time they joined."""
+    return page_of(users.orderBy("created_at", "user_id").limit(most), ["created_at", "user_id"], page, size)
+
+
 def not_yet(verified: DataFrame, wanted: int, group: str = "slug") -> DataFrame:
     """Courses that still lack verified cases after a round, with how many; a next round excludes what was tried."""
     return verified.groupBy(group).agg(F.count_if("verified").alias("n")).where(F.col("n") < wanted).select(group, (F.lit(wanted) - F.col("n")).alias("lacking"))

@@ -107,7 +107,8 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_CASES}, recent AS (SELECT * FROM cases WHERE {' OR '.join(f"contains(normalized_text, {_quote(t)})" for t in _PLAIN)} ORDER BY indexed_at DESC, catalog_key LIMIT 320)
 SELECT catalog_key, source_id, match_score FROM (SELECT *, {_score_sql(_PLAIN, PREFERRED)} AS match_score FROM recent) ORDER BY match_score DESC, indexed_at DESC, catalog_key LIMIT 20""")
 def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.search(cases(spark, sf_dir), TERMS, PREFERRED, limit=20).select("catalog_key", "source_id", "match_score")
+    found = cases(spark, sf_dir).drop("normalized_text")
+    return retrieve.search(found, TERMS, PREFERRED, limit=20, text=text.normalize_arabic(F.col("text"))).select("catalog_key", "source_id", "match_score")
 
 
 _COURSE_TERMS = {c.slug: retrieve.retrieval_terms(retrieve.subject_terms(c)) for c in COURSES}
@@ -250,7 +251,7 @@ def case_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.case_ranges(_event_pages(spark, sf_dir)).select("doc_id", "number", "page_start", "page_end", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query(rf"""WITH e AS (SELECT doc_id, 0 AS engine_rank, trim(text) AS text FROM documents WHERE doc_id < 100000 UNION ALL SELECT item_id, 1, trim(text) FROM benchmark),
+@query(rf"""WITH e AS (SELECT doc_id, 0 AS engine_rank, trim(text) AS text FROM documents UNION ALL SELECT item_id, 1, trim(text) FROM benchmark),
 s AS (SELECT *, {_n3('text')} AS plain FROM e),
 q AS (SELECT *, CASE WHEN text = '' THEN -1000000 WHEN plain = '' THEN 0 ELSE CAST(least(len(regexp_extract_all(text, '[0-9]{{3,}}')), 20) * 15 + least(length(plain), 8000) // 8 AS INTEGER) END AS quality FROM s)
 SELECT doc_id, CAST(1 AS INTEGER) AS page_no, engine_rank, quality FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality DESC, engine_rank) AS rn FROM q) WHERE rn = 1""")

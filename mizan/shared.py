@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -10,13 +11,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the context's checkpoint folder; only where neither is set, as in tests, one of our own."""
+    """spark.checkpoint.dir, or the context's checkpoint folder; only where neither is set and all runs in one process, as in
+    tests, one of our own. A cluster must name one: RuntimeError."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if sc.applicationId not in _OWN:
         _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="mizan-")
     return _OWN[sc.applicationId]

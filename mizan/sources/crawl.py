@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import joined, links, part, path_allowed, unescaped
 from ..shared import allow_checkpoints
-from .profiles import Source, classify
+from .profiles import Source, classify, series
+
+
+# Kinds of sources.
+KINDS = ("numbered_pdf_series", "landing_page_crawl")
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -51,3 +55,18 @@ def crawl(pages: DataFrame, domains: DataFrame, source: Source) -> DataFrame:
     last = classify(frontier, domains).where((F.col("source_id") == source.source_id) & F.col("original_pdf") & F.lower(part(F.col("url"), "PATH")).endswith(".pdf"))
     documents = documents.union(last.where(_allowed(F.col("url"), source.document_prefixes, source.excluded)).select("url")).distinct()
     return documents.select(F.concat(F.lit(f"{source.id}:crawl:"), F.substring(F.sha2("url", 256), 1, 16)).alias("document_id"), "url")
+
+
+def documents(pages: DataFrame, domains: DataFrame, sources: list[Source]) -> DataFrame:
+    """(document_id, url) of all enabled sources, each by its kind: the numbers of its series, or what its landing pages lead to.
+    Another kind: ValueError."""
+    spark = pages.sparkSession
+    enabled = [s for s in sources if s.enabled]
+    if unknown := [s.kind for s in enabled if s.kind not in KINDS]:
+        raise ValueError(f"unknown kind of source: {unknown[0]}")
+    numbered = [(s.id, s.url_template, s.first, s.last) for s in enabled if s.kind == "numbered_pdf_series"]
+    out = series(spark.createDataFrame(numbered, "id string, url_template string, first int, last int"))
+    for s in enabled:
+        if s.kind == "landing_page_crawl":
+            out = out.union(crawl(pages, domains, s))
+    return out

@@ -1,17 +1,23 @@
 """Versioned catalog store: each build is a generation of its own, and one pointer says which is read.
 
 Layout under the base folder: cases/generation_id=…/collection_id=…, documents/generation_id=…, states/<generation>.json,
-ACTIVE. Cases are Parquet partitions, so a collection is replaced by overwriting its partition. States and the pointer are
-small files, written aside and renamed, so a reader sees the old or the new one.
+ACTIVE, BUILDING. Cases are Parquet partitions, so a collection is replaced by overwriting its partition. States and the
+pointer are small files, written aside and renamed, so a reader sees the old or the new one. BUILDING names the one build
+there may be; it is made by a call that fails where it exists, so of two builders that begin at once one does not.
 """
 
 from __future__ import annotations
 
 import json
+import threading
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timedelta, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +73,21 @@ class CatalogStore:
         context.rename(fs.makeQualified(aside), fs.makeQualified(self._path(name)), options)
 
     def _read(self, name: str) -> str | None:
-        if not self._fs().exists(self._path(name)):
-            return None
-        return "".join(r[0] for r in self.spark.read.text(f"{self.base}/{name}", wholetext=True).collect())
+        """A small file's text; null if there is none. Where a file system replaces files in two steps, it is looked for again."""
+        for attempt in range(4):
+            try:
+                stream = self._fs().open(self._path(name))
+            except Py4JJavaError as e:
+                if "FileNotFound" not in e.java_exception.getClass().getName():
+                    raise
+                if attempt < 3:
+                    time.sleep(0.02 * attempt)
+                continue
+            try:
+                return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+        return None
 
     def _remove(self, name: str) -> None:
         self._fs().delete(self._path(name), True)
@@ -78,26 +96,112 @@ class CatalogStore:
         """All generations, the latest first."""
         if not self._fs().exists(self._path("states")):
             return []
-        found = [s for s in self._fs().listStatus(self._path("states")) if s.getPath().getName().endswith(".json")]
-        rows = [Generation(**json.loads(self._read(f"states/{s.getPath().getName()}"))) for s in found]
+        names = [s.getPath().getName() for s in self._fs().listStatus(self._path("states"))]
+        found = (self._read(f"states/{n}") for n in names if n.endswith(".json"))
+        rows = [Generation(**json.loads(x)) for x in found if x]
         return sorted(rows, key=lambda g: (g.started_at, g.generation_id), reverse=True)
 
     def _put(self, g: Generation) -> Generation:
         self._write(f"states/{g.generation_id}.json", json.dumps(asdict(g)))
         return g
 
+    def _claim(self, owner: str) -> bool:
+        """Make BUILDING with an owner; False if it is there."""
+        fs, path = self._fs(), self._path("BUILDING")
+        fs.mkdirs(self._path(""))
+        try:
+            if fs.getScheme() == "file":
+                self._jvm.java.nio.file.Files.createFile(self._jvm.java.io.File(path.toUri().getPath()).toPath(), self.spark.sparkContext._gateway.new_array(self._jvm.java.nio.file.attribute.FileAttribute, 0))
+            out = fs.create(path, fs.getScheme() == "file")
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(bytearray(owner.encode()))
+        out.close()
+        return True
+
+    def _release(self, owner: str | None) -> bool:
+        """Take BUILDING from an owner; False if it is not its any more. The rename has one winner."""
+        if self._read("BUILDING") != owner:
+            return False
+        aside = f"BUILDING.{uuid.uuid4().hex}"
+        if not self._fs().rename(self._path("BUILDING"), self._path(aside)):
+            return False
+        self._remove(aside)
+        return True
+
     def begin(self, parser_version: int) -> Generation:
         """A new generation; ValueError while another one is being built and its lease runs."""
+        g = Generation(uuid.uuid4().hex, parser_version, started_at=_now(), heartbeat_at=_now())
         now = datetime.now(timezone.utc)
-        for g in self.states():
-            if g.status == "building":
-                if datetime.fromisoformat(g.heartbeat_at or g.started_at) > now - self.LEASE:
-                    raise ValueError(f"{g.generation_id} is being built")
-                self._put(replace(g, status="failed", finished_at=_now(), last_error="lease ran out"))
-        return self._put(Generation(uuid.uuid4().hex, parser_version, started_at=_now(), heartbeat_at=_now()))
+        live = lambda x: x.status == "building" and datetime.fromisoformat(x.heartbeat_at or x.started_at) > now - self.LEASE
+        for _ in range(3):
+            states = self.states()
+            if busy := next((x for x in states if live(x)), None):
+                raise ValueError(f"{busy.generation_id} is being built")
+            if self._claim(g.generation_id):
+                for x in states:
+                    if x.status == "building":
+                        self._put(replace(x, status="failed", finished_at=_now(), last_error="lease ran out"))
+                return self._put(g)
+            owner = self._read("BUILDING")
+            known = next((x for x in self.states() if x.generation_id == owner), None)
+            if known is None or live(known):  # it has just begun
+                age = self._fs().getFileStatus(self._path("BUILDING")).getModificationTime() if self._fs().exists(self._path("BUILDING")) else 0
+                if known is not None or datetime.fromtimestamp(age / 1000, timezone.utc) > now - self.LEASE:
+                    raise ValueError(f"{owner or 'another generation'} is being built")
+            self._release(owner)
+        raise ValueError("another generation is being built")
 
     def heartbeat(self, g: Generation) -> Generation:
-        return self._put(replace(g, heartbeat_at=_now()))
+        """Show life; a generation that has ended stays as it is."""
+        state = next((x for x in self.states() if x.generation_id == g.generation_id), g)
+        return self._put(replace(state, heartbeat_at=_now())) if state.status == "building" else state
+
+    @contextmanager
+    def alive(self, g: Generation, every: timedelta = LEASE / 36) -> Iterator[None]:
+        """Heartbeats while the block runs, so that a long build keeps its lease."""
+        done = threading.Event()
+
+        def beat() -> None:
+            while not done.wait(every.total_seconds()):
+                self.heartbeat(g)
+
+        thread = threading.Thread(target=beat, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            done.set()
+            thread.join()
+
+    def write_documents(self, g: Generation, documents: DataFrame) -> None:
+        """Records (document_id, …, case_count) of a generation's documents: new ones replace those of their id, others stay; a
+        count is not below zero, and of an id that is given twice one record counts."""
+        path = f"documents/generation_id={g.generation_id}"
+        new = documents.withColumn("case_count", F.greatest(F.lit(0), F.coalesce("case_count", F.lit(0)))).dropDuplicates(["document_id"])
+        old = self.documents(g.generation_id)
+        rows = new if old is None else old.join(new.select("document_id"), "document_id", "left_anti").unionByName(new, allowMissingColumns=True)
+        aside = f"documents/.{g.generation_id}.{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.base}/{aside}")
+        self._remove(path)
+        self._fs().rename(self._path(aside), self._path(path))
+
+    def documents(self, generation_id: str) -> DataFrame | None:
+        """Records of a generation's documents; null if it has none."""
+        path = f"documents/generation_id={generation_id}"
+        return self.spark.read.parquet(f"{self.base}/{path}") if self._fs().exists(self._path(path)) else None
+
+    def indexed(self, g: Generation, wanted: DataFrame) -> DataFrame:
+        """Those of the documents (document_id) that the generation has a record of."""
+        own = self.documents(g.generation_id)
+        return wanted.limit(0) if own is None else wanted.join(own, "document_id", "left_semi")
+
+    def texts(self, generation_id: str) -> DataFrame | None:
+        """(catalog_key, text) of a generation's cases."""
+        own = self.cases(generation_id)
+        return None if own is None else own.select("catalog_key", "text")
 
     def replace_collection(self, g: Generation, collection_id: str, cases: DataFrame) -> int:
         """All cases of a collection at once, also none; rows of another collection: ValueError."""
@@ -129,7 +233,10 @@ class CatalogStore:
             raise ValueError(f"a build can't become {status} here")
         ended = None if status == "building" else _now()
         own = {k: max(0, int(v)) for k, v in counters.items()}
-        return self._put(replace(g, status=status, finished_at=ended, last_error=error[:1000] if error else None, **own))
+        out = self._put(replace(g, status=status, finished_at=ended, last_error=error[:1000] if error else None, **own))
+        if ended:
+            self._release(g.generation_id)
+        return out
 
     def promote(self, g: Generation) -> Generation:
         """Make a build the one that is read; ValueError if it is no build or has no cases. The pointer moves last."""
@@ -144,6 +251,7 @@ class CatalogStore:
         for other in self.states():
             if other.status == "ready" and other.generation_id != g.generation_id:
                 self._put(replace(other, status="superseded"))
+        self._release(g.generation_id)
         return ready
 
     def active(self, parser_version: int | None = None) -> Generation | None:

@@ -168,7 +168,7 @@ def test_candidate_faults(spark):
     good = {"title": "abc", "source_name": "src", "source_url": "https://x.example/", "legal_issue": "abc", "suitability_reason": "abc", "estimated_score": 50}
     bad = [good | {"pdf_page_start": 2}, good | {"pdf_page_start": 3, "pdf_page_end": 2}, good | {"catalog_range_verified": True}, good | {"subject_relevance": 41}, good | {"title": "a"}]
     rows = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate([good, *bad])], "i int, j string").select("i", F.from_json("j", validate.CANDIDATE).alias("c"))
-    got = [r["f"] for r in rows.select("i", validate.candidate_faults().alias("f")).orderBy("i").collect()]
+    got = [r["f"] for r in rows.select("i", validate.candidate_faults(F.col("c")).alias("f")).orderBy("i").collect()]
     assert got == [[], ["pages"], ["pages"], ["provenance"], ["subject_relevance"], ["title"]]
 
 

@@ -1,4 +1,5 @@
 import json
+import threading
 import time
 from datetime import datetime, timedelta, timezone
 
@@ -54,6 +55,52 @@ def test_crashed_build_frees_its_lease(spark, tmp_path):
     assert next(g for g in store.states() if g.generation_id == "old").status == "failed"
 
 
+def test_one_of_two_builders_begins(spark, tmp_path):
+    store, got = CatalogStore(spark, f"file://{tmp_path}/store"), []
+
+    def begin():
+        try:
+            got.append(store.begin(6))
+        except ValueError as e:
+            got.append(str(e))
+
+    for _ in range(3):
+        threads = [threading.Thread(target=begin) for _ in range(4)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        won = [g for g in got if isinstance(g, Generation)]
+        assert len(got) == 4 and len(won) == 1 and all("being built" in g for g in got if isinstance(g, str))
+        store.finish(won[0], "failed", "x")
+        got.clear()
+    assert store.begin(6).status == "building"
+
+
+def test_a_live_build_keeps_its_lease(spark, tmp_path):
+    store = CatalogStore(spark, f"file://{tmp_path}/store")
+    g = store.begin(6)
+    before = g.heartbeat_at
+    with store.alive(g, timedelta(seconds=0.1)):
+        until = time.time() + 30
+        while time.time() < until and store.states()[0].heartbeat_at == before:
+            time.sleep(0.1)
+    assert store.states()[0].heartbeat_at > before
+    store.finish(g, "failed", "x")
+    assert store.heartbeat(g).status == "failed"
+
+
+def test_document_records(spark, tmp_path):
+    store = CatalogStore(spark, f"file://{tmp_path}/store")
+    g = store.begin(6)
+    schema = "document_id string, status string, case_count int"
+    assert store.documents(g.generation_id) is None and store.indexed(g, spark.createDataFrame([("a",)], "document_id string")).count() == 0
+    store.write_documents(g, spark.createDataFrame([("a", "indexed", 3), ("b", "failed", -2), ("c", "failed", None)], schema))
+    store.write_documents(g, spark.createDataFrame([("b", "indexed", 5)], schema))
+    assert {tuple(r) for r in store.documents(g.generation_id).select("document_id", "status", "case_count").collect()} == {("a", "indexed", 3), ("b", "indexed", 5), ("c", "failed", 0)}
+    assert [r[0] for r in store.indexed(g, spark.createDataFrame([("a",), ("z",)], "document_id string")).collect()] == ["a"]
+
+
 EVENTS = [
     ("done", 1, None, {"type": "response.output_text.delta", "delta": "He"}), ("done", 2, None, {"type": "response.output_text.delta", "delta": "y"}), ("done", 3, None, {"type": "response.output_text.done", "text": "ignored"}),
     ("done", 4, None, {"type": "response.completed", "response": {"status": "completed", "output_text": "Hey"}}),
