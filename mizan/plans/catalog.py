@@ -56,8 +56,22 @@ def _quote(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def _list(xs) -> str:
-    return "[" + ", ".join(map(_quote, xs)) + "]"
+_KINDS = {"s": "VARCHAR", "i": "INTEGER", "l": "BIGINT", "d": "DOUBLE", "b": "BOOLEAN"}
+
+
+def _literal(x: object) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return "true" if x else "false"
+    return " || chr(10) || ".join(map(_quote, x.split("\n"))) if isinstance(x, str) else str(x)
+
+
+def rows_sql(columns: str, rows: list[tuple]) -> str:
+    """SQL of the rows that a query must give; columns: 'name:kind', kinds s, i, l, d, b."""
+    named = [c.split(":") for c in columns.split()]
+    values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+    return f"SELECT {', '.join(f'CAST({n} AS {_KINDS[k]}) AS {n}' for n, k in named)} FROM (VALUES {values}) AS t({', '.join(n for n, _ in named)})"
 
 
 def _n1(x: str) -> str:
@@ -361,10 +375,15 @@ def forbidden_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(validate.forbidden_markers(t), ",").alias("markers"), marks.alias("marks"))
 
 
-@query()
+_FIRST_MARKER = "CASE " + " ".join(f"WHEN contains(lower(t), {_quote(m.lower())}) THEN {_quote(m)}" for m in validate.FORBIDDEN) + " END"
+
+
+@query(rf"""SELECT doc_id, concat_ws(' | ', CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' THEN 'empty section' END, 'forbidden: ' || {_FIRST_MARKER},
+  CASE WHEN contains(t, '#') OR contains(t, '```') OR contains(t, '**') OR regexp_matches(t, '(^|\s)\*\S') THEN 'markdown' END, CASE WHEN regexp_matches(t, '(?i)(^|[^\p{{L}}\p{{N}}_])ai($|[^\p{{L}}\p{{N}}_])') THEN 'ai reference' END) AS violations
+FROM (SELECT doc_id, text, concat_ws(chr(10), text, text, text, text, text, source) AS t FROM documents)""")
 def draft_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    drafts = d.select("doc_id", *(F.col("text").alias(c) for c in validate.SECTIONS), F.array("source").alias("references"), F.substring("text", 1, 200).alias("judgment_text"), F.lit(None).cast("string").alias("expected_case_number"))
+    drafts = d.select("doc_id", *(F.col("text").alias(c) for c in validate.SECTIONS), F.array("source").alias("references"), F.col("text").alias("judgment_text"), F.lit(None).cast("string").alias("expected_case_number"))
     return validate.violations(drafts).select("doc_id", F.array_join("violations", " | ").alias("violations"))
 
 
@@ -402,7 +421,10 @@ HEADER_FIXTURES = [
 ]
 
 
-@query()
+@query(rows_sql("doc_id:i case_number:s confidence:i source:s court_name:s judgment_year:s decision_number:s labels:s", [
+    (1, "1990/1434", 7, "case-legacy", None, None, "34251262", "1990/1434"), (2, "1/ق/9221", 14, "case-bog", "المحكمة الإدارية", "1437", None, "1/ق/9221"),
+    (3, "45/10", 13, "case-crsd", "لجنة الفصل في منازعات الأوراق المالية", None, None, "45/10"), (4, None, None, None, None, None, None, "5555"), (5, None, None, None, None, None, None, ""),
+]))
 def header_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.createDataFrame(HEADER_FIXTURES, "doc_id int, text string")
     return pages.select("doc_id", headers.primary_header("text").alias("h"), headers.judgment_metadata("text").alias("m"), F.array_join(headers.labelled_numbers("text"), ",").alias("labels")).select("doc_id", "h.*", F.col("m.court_name").alias("court_name"), F.col("m.judgment_year").alias("judgment_year"), F.col("m.decision_number").alias("decision_number"), "labels")
@@ -439,20 +461,20 @@ def sha_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 8 OFFSET 8")
 def paged_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").orderBy("n_nationkey").offset(8).limit(8).select("n_nationkey", "n_name")
+    return workflow.page_of(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_nationkey"], 1)
 
 
 _AS_PDF = r'href="/([A-Z][a-z]*)[^"]*"'
 
 
-@query(rf"""WITH landing AS (SELECT url, html FROM pages WHERE starts_with(url, 'https:') AND {_HOST} IN ('tionsh.example.net', 'blog.tionsh.example.net') ORDER BY url LIMIT 3),
+@query(rf"""WITH landing AS (SELECT url, html FROM pages WHERE starts_with(url, 'https:') AND {_HOST} IN ('tionsh.example.net', 'blog.tionsh.example.net')),
 links AS (SELECT DISTINCT 'https://' || {_HOST} || '/docs/' || unnest(regexp_extract_all(html, '{_AS_PDF}', 1)) || '.pdf' AS url FROM landing)
 SELECT 's:crawl:' || substr(sha256(url), 1, 16) AS document_id, url FROM links""")
 def crawl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     domains = profiles.registry(spark, REGISTRY)
     pages = table(spark, sf_dir, "pages").select("url", F.regexp_replace("html", _AS_PDF, 'href="/docs/$1.pdf"').alias("html"))
-    landing = tuple(r[0] for r in profiles.classify(pages.select("url"), domains).where("original_pdf").orderBy("url").limit(3).collect())
-    source = profiles.Source("s", "net", "Net", "landing_page_crawl", landing_pages=landing, max_depth=2, max_pages=50, document_prefixes=("/docs/",))
+    landing = profiles.classify(pages.select("url"), domains).where("original_pdf")
+    source = profiles.Source("s", "net", "Net", "landing_page_crawl", landing_pages=landing, max_depth=2, max_pages=1 << 30, document_prefixes=("/docs/",))
     return crawl.crawl(pages, domains, source)
 
 

@@ -29,12 +29,13 @@ def crawl(pages: DataFrame, domains: DataFrame, source: Source) -> DataFrame:
     """pages (url, html) -> (document_id, url) of the source's documents that its landing pages lead to.
 
     Pages and documents have their own allow-lists; only https addresses of the source count. max_depth bounds how far,
-    max_pages how many pages are read: the shallowest, by address within a depth.
+    max_pages how many pages are read: the shallowest, by address within a depth. Landing pages are named, or rows (url).
     """
     spark = pages.sparkSession
     allow_checkpoints(spark)
     every = page_links(pages)
-    frontier = spark.createDataFrame([(u,) for u in source.landing_pages] or [], "url string").distinct()
+    landing = source.landing_pages
+    frontier = landing.select("url").distinct() if isinstance(landing, DataFrame) else spark.createDataFrame([(u,) for u in landing], "url string").distinct()
     seen, documents, n_read = None, None, 0
     for _ in range(source.max_depth + 1):
         own = classify(frontier, domains).where((F.col("source_id") == source.source_id) & part(F.col("url"), "SCHEME").eqNullSafe(F.lit("https")))
@@ -45,8 +46,10 @@ def crawl(pages: DataFrame, domains: DataFrame, source: Source) -> DataFrame:
         page = own.where(~is_pdf & _allowed(F.col("url"), source.page_prefixes, source.excluded)).select("url").distinct()
         if seen is not None:
             page = page.join(seen, "url", "left_anti")
-        page = page.orderBy("url").limit(max(0, room)).checkpoint()
+        page = page.checkpoint()
         n = page.count()
+        if n > room:
+            page, n = page.orderBy("url").limit(max(0, room)).checkpoint(), max(0, room)
         if not n:
             break
         n_read += n

@@ -83,7 +83,7 @@ class Source:
     url_template: str | None = None
     first: int | None = None
     last: int | None = None
-    landing_pages: tuple[str, ...] = ()
+    landing_pages: tuple[str, ...] | DataFrame = ()
     max_depth: int = 1
     max_pages: int = 100
     page_prefixes: tuple[str, ...] = ()
