@@ -6,12 +6,15 @@ prefixes meet the whole hashes of others: an anti-join retains what is no proper
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
+from .spans import CHUNK, let
 
-TEMPLATE = ("<|", "|>\n", "\n")
+#: Marks around a role, and after a turn; where a role or a text has the first one in it, it is written otherwise, so that no
+#: text can pass for a turn.
+TEMPLATE, ESCAPED = ("<|", "|>\n", "\n"), "<\\|"
 
 
 def turns_of(conversations: DataFrame) -> DataFrame:
@@ -23,11 +26,20 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 
 
 def with_prefixes(convs: DataFrame) -> DataFrame:
-    """Adds hashes: hashes[i] is of the first i + 1 turns, each from the one before and the turn."""
+    """Adds hashes: hashes[i] is of the first i + 1 turns, each from the one before and the turn. The turns are taken in chunks,
+    so that a very long conversation costs no square of its length."""
     said = lambda t: F.concat_ws(":", F.length(t["role"]).cast("string"), t["role"], t["text"])
-    start = F.array().cast("array<string>")
-    grown = F.aggregate("turns", start, lambda acc, t: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")), said(t)), 256))))
-    return convs.withColumn("hashes", grown)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("turns") - 1) / CHUNK).cast("int")), lambda k: F.slice("turns", k * CHUNK + 1, F.lit(CHUNK)))
+
+    def turn(acc: Column, t: Column) -> Column:
+        return let(F.sha2(F.concat(acc["last"], said(t)), 256), lambda h: F.struct(h.alias("last"), F.concat(acc["out"], F.array(h)).alias("out")))
+
+    def chunk(acc: Column, turns: Column) -> Column:
+        own = F.aggregate(turns, F.struct(acc["last"].alias("last"), F.array().cast("array<string>").alias("out")), turn)
+        return let(own, lambda x: F.struct(x["last"].alias("last"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    start = F.struct(F.lit("").alias("last"), F.array().cast("array<array<string>>").alias("out"))
+    return convs.withColumn("hashes", F.aggregate(chunks, start, chunk, lambda acc: F.flatten(acc["out"])))
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
@@ -42,7 +54,8 @@ def maximal(conversations: DataFrame) -> DataFrame:
 def render(convs: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, chat): one string for each conversation."""
     a, b, c = TEMPLATE
-    chat = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(a), t["role"], F.lit(b), t["text"], F.lit(c))), "")
+    plain = lambda x: F.replace(x, F.lit(a), F.lit(ESCAPED))
+    chat = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(a), plain(t["role"]), F.lit(b), plain(t["text"]), F.lit(c))), "")
     return convs.select("conv_id", "n_turns", "n_copies", chat.alias("chat"))
 
 
@@ -61,6 +74,6 @@ WITH rows_ AS (
   SELECT DISTINCT turns[1:i] AS turns FROM convs, LATERAL (SELECT unnest(range(1, len(turns))) AS i)
 )
 SELECT conv_id, CAST(len(turns) AS INTEGER) AS n_turns, n_copies,
-       list_aggregate(list_transform(turns, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), 'string_agg', '') AS chat
+       list_aggregate(list_transform(turns, lambda t: '<|' || replace(t.role, '<|', '<\\|') || '|>' || chr(10) || replace(t.text, '<|', '<\\|') || chr(10)), 'string_agg', '') AS chat
 FROM firsts WHERE turns NOT IN (SELECT turns FROM prefixes)
 """
