@@ -51,11 +51,14 @@ def test_the_wrapper_decides(spark):
         "layout.example": lambda i: f"<body><div class='layout no-sidebar'><article>{story(i)}</article></div></body>",
         "price.example": lambda i: f"<body><div class='share-price'>{story(i)}</div><div class='shop'>Shop {i}</div></body>",
         "replies.example": lambda i: f"<body><div class='post'>{story(i)}{box(i)}{replies(i)}</div></body>",
+        "steps.example": lambda i: f"<body><div class='post'><ol>{''.join(f'<li><p>Step {k}.{i}</p>{story(i, 0)}</li>' for k in range(3 + i % 3))}</ol></div></body>",
         "beside.example": lambda i: f"<body><div><div class='post'>{story(i)}</div><div class='thread'>{replies(i)}</div></div></body>",
     }
     rows = [(100 * h + i, f"http://{host}/{i}", body(i)) for h, (host, body) in enumerate(bodies.items()) for i in range(12)]
     got = extracted(spark, rows)
-    assert {k: v for k, v in got.items() if v != story_text(k % 100)} == {}
+    steps = list(bodies).index("steps.example")
+    want = {k: "\n".join(x for j in range(3 + k % 100 % 3) for x in (f"Step {j}.{k % 100}", story_text(k % 100, 0)) if x) if k // 100 == steps else story_text(k % 100) for k in got}
+    assert {k: v for k, v in got.items() if v != want[k]} == {}
 
 
 def test_results_hang_on_the_alignment(spark):
