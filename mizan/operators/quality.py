@@ -13,7 +13,7 @@ def coverage(accepted: DataFrame, courses: DataFrame, minimum: int) -> DataFrame
     counted = accepted.groupBy("slug").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
     status = F.when(n >= max(1, minimum), "ready").when(n > 0, "thin").otherwise("missing")
-    return courses.join(F.broadcast(counted), "slug", "left").select("slug", n.cast("long").alias("n"), status.alias("status"))
+    return courses.join(counted, "slug", "left").select("slug", n.cast("long").alias("n"), status.alias("status"))
 
 
 def catalog_stats(cases: DataFrame) -> DataFrame:

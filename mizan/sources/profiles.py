@@ -67,7 +67,7 @@ def classify(urls: DataFrame, domains: DataFrame, url: str = "url", require_http
     """urls with domain, source_id, role, tier, is_official, is_discovery_only and original_pdf. Unknown domains: discovery only."""
     host = F.coalesce(part(F.col(url), "HOST"), F.lit(""))
     known = domains.select(F.col("domain").alias("__domain"), "source_id", "role", "tier", "direct_pdf")
-    out = urls.withColumn("domain", host).join(F.broadcast(known), F.col("domain") == F.col("__domain"), "left").withColumn("role", F.coalesce("role", F.lit("unknown")))
+    out = urls.withColumn("domain", host).join(known, F.col("domain") == F.col("__domain"), "left").withColumn("role", F.coalesce("role", F.lit("unknown")))
     official = F.col("role") == "official"
     original: Column = https_allowed(F.col(url), require_https) & official & F.coalesce("direct_pdf", F.lit(False))
     return out.withColumn("is_official", official).withColumn("is_discovery_only", ~official).withColumn("original_pdf", original).drop("__domain", "direct_pdf")
