@@ -7,6 +7,10 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 
+# How much a model may reason.
+EFFORTS = ("none", "minimal", "low", "medium", "high", "xhigh", "max")
+
+
 @dataclass(frozen=True)
 class Settings:
     auto_accept_score: int = 90
@@ -29,6 +33,7 @@ class Settings:
     commentary_input_max_chars: int = 70_000
     commentary_min_text_chars: int = 500
     parser_version: int = 6
+    reasoning_effort: str = "high"
 
     def __post_init__(self) -> None:
         if not 0 <= self.auto_accept_score <= 100:
@@ -37,8 +42,11 @@ class Settings:
             raise ValueError("required_subject_coverage_percent is 1 to 100")
         if not 0 <= self.max_document_failure_ratio < 1:
             raise ValueError("max_document_failure_ratio is at least 0 and less than 1")
+        object.__setattr__(self, "reasoning_effort", self.reasoning_effort.strip().lower())
+        if self.reasoning_effort not in EFFORTS:
+            raise ValueError(f"reasoning_effort is one of {', '.join(EFFORTS)}")
         for f in fields(self):
-            if f.name not in ("auto_accept_score", "max_document_failure_ratio") and getattr(self, f.name) < 1:
+            if f.name not in ("auto_accept_score", "max_document_failure_ratio", "reasoning_effort") and getattr(self, f.name) < 1:
                 raise ValueError(f"{f.name} is at least 1")
 
 

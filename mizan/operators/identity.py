@@ -104,3 +104,18 @@ def allowed(users: DataFrame, members: DataFrame, owner: int) -> DataFrame:
     """users with ``allowed``: the owner and the members."""
     known = members.select(F.col("user_id").alias("__m")).distinct()
     return users.join(known, users["user_id"] == known["__m"], "left").withColumn("allowed", (F.col("user_id") == owner) | F.col("__m").isNotNull()).drop("__m")
+
+
+def member_changes(requests: DataFrame, members: DataFrame, owner: int) -> DataFrame:
+    """requests (seq, by, user_id, action: add or remove) in their order -> with ``result``: refused unless the owner asks, for ids
+    that are none, and for the owner's own removal; else added, removed, or unchanged where it already was so."""
+    mine = F.col("by") == owner
+    refused = ~F.coalesce(mine, F.lit(False)) | (F.col("user_id").isNull()) | ((F.col("action") == "add") & (F.col("user_id") <= 0)) | ((F.col("action") == "remove") & (F.col("user_id") == owner))
+    known = members.select(F.col("user_id").alias("__m")).distinct()
+    asked = requests.withColumn("__no", refused).join(known, requests["user_id"] == known["__m"], "left")
+    # whether the user is in before a request: by the last valid one before it, else by the list
+    before = F.last(F.when(~F.col("__no"), F.col("action") == "add"), ignorenulls=True).over(Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    inside = (F.col("user_id") == owner) | F.coalesce(before, F.col("__m").isNotNull())
+    adds = F.col("action") == "add"
+    result = F.when(F.col("__no"), "refused").when(adds & ~inside, "added").when(~adds & inside, "removed").otherwise("unchanged")
+    return asked.withColumn("result", result).drop("__no", "__m")

@@ -117,6 +117,12 @@ def failure_message(code: Column) -> Column:
     return F.coalesce(F.try_element_at(known, code), F.lit(OTHER_FAILURE))
 
 
+def progress_text(phase: Column, elapsed: Column, interval: float = 3.0) -> Column:
+    """What a user sees while a stage runs: the stage, the seconds so far, and how often this is told."""
+    said = f"🔄 يتم تحديث الحالة كل {max(1, round(interval))} ثوانٍ"
+    return F.concat(phase, F.lit("\n\n⏱️ الوقت المنقضي: "), F.greatest(F.lit(0), elapsed).cast("string"), F.lit(" ثانية\n" + said))
+
+
 def others(tokens: Column, chosen: Column) -> Column:
     """Tokens that a choice releases."""
     return F.array_except(tokens, F.array(chosen))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,11 +60,18 @@ def scoring_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "policy string, weights string, margin int, required boolean")
 
 
-@query(rows_sql("auto_accept_score:i pdf_max_pages:i reservation_ttl_minutes:i max_document_failure_ratio:d", [(85, 10, 30, 0.35)]))
+@query(rows_sql("auto_accept_score:i pdf_max_pages:i reservation_ttl_minutes:i max_document_failure_ratio:d reasoning_effort:s refused:s", [(85, 10, 30, 0.35, "low", "auto_accept_score,pdf_max_pages,reasoning_effort")]))
 def settings_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defaults, then the environment, then what is given."""
-    s = load({"MIZAN_AUTO_ACCEPT_SCORE": "85", "MIZAN_PDF_MAX_PAGES": "20"}, pdf_max_pages=10)
-    return spark.createDataFrame([(s.auto_accept_score, s.pdf_max_pages, s.reservation_ttl_minutes, s.max_document_failure_ratio)], "auto_accept_score int, pdf_max_pages int, reservation_ttl_minutes int, max_document_failure_ratio double")
+    """Defaults, then the environment, then what is given; values out of their range or set are refused."""
+    s = load({"MIZAN_AUTO_ACCEPT_SCORE": "85", "MIZAN_PDF_MAX_PAGES": "20", "MIZAN_REASONING_EFFORT": " Low"}, pdf_max_pages=10)
+    refused = []
+    for name, value in {"auto_accept_score": 101, "pdf_max_pages": 0, "reasoning_effort": "extreme", "parser_version": 7}.items():
+        try:
+            load({}, **{name: value})
+        except ValueError:
+            refused.append(name)
+    row = (s.auto_accept_score, s.pdf_max_pages, s.reservation_ttl_minutes, s.max_document_failure_ratio, s.reasoning_effort, ",".join(refused))
+    return spark.createDataFrame([row], "auto_accept_score int, pdf_max_pages int, reservation_ttl_minutes int, max_document_failure_ratio double, reasoning_effort string, refused string")
 
 
 # documents and files
@@ -207,6 +215,19 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.documents(g.generation_id).join(found, "document_id", "left").select("document_id", "status", "case_count", F.coalesce("wanted", F.lit(False)).alias("wanted"))
 
 
+@query("SELECT b.name, lang AS collection_id, count(*) AS n FROM documents, (VALUES ('catalog-20240102T000000Z'), ('catalog-20240103T000000Z')) AS b(name) GROUP BY ALL")
+def store_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of what is read: of three the newest two stay."""
+    store = _store(spark)
+    g = store.begin(6)
+    store.write_cases(g, cases(spark, sf_dir).select("collection_id", "catalog_key", "text"))
+    store.promote(g)
+    for day in (1, 2, 3):
+        store.backup(f"{store.base}-backups", 2, datetime(2024, 1, day))
+    left = spark.read.parquet(f"{store.base}-backups/*/cases").select(F.element_at(F.split(F.input_file_name(), "/"), -3).alias("name"), "collection_id")
+    return left.groupBy("name", "collection_id").agg(F.count("*").alias("n"))
+
+
 # pages and cases
 
 LEGACY = "المملكة\nرقم الصك: 33659138\nرقم الدعوى: 1990/1434\nقرار التصديق رقم: 34251262 تاريخه 1434/06/25\nالموضوعات\nنص"
@@ -464,6 +485,22 @@ def access_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.allowed(users, members, 7).select("user_id", "allowed")
 
 
+@query("""WITH r AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS by_, o_custkey % 40 - 1 AS user_id, CASE WHEN o_orderkey % 3 = 0 THEN 'remove' ELSE 'add' END AS action FROM orders),
+n AS (SELECT *, by_ <> 1 OR action = 'add' AND user_id <= 0 OR action = 'remove' AND user_id = 1 AS no FROM r), v AS (SELECT seq, lag(action) OVER (PARTITION BY user_id ORDER BY seq) AS before FROM n WHERE NOT no),
+s AS (SELECT n.*, user_id = 1 OR CASE WHEN before IS NULL THEN user_id IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 20) ELSE before = 'add' END AS inside FROM n LEFT JOIN v USING (seq))
+SELECT seq, user_id, CASE WHEN no THEN 'refused' WHEN action = 'add' AND NOT inside THEN 'added' WHEN action = 'remove' AND inside THEN 'removed' ELSE 'unchanged' END AS result FROM s""")
+def member_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    asked = table(spark, sf_dir, "orders").select(i.alias("seq"), F.when(i % 4 == 0, 2).otherwise(1).alias("by"), (F.col("o_custkey") % 40 - 1).alias("user_id"), F.when(i % 3 == 0, "remove").otherwise("add").alias("action"))
+    members = table(spark, sf_dir, "supplier").where("s_suppkey < 20").select(F.col("s_suppkey").alias("user_id"))
+    return identity.member_changes(asked, members, 1).select("seq", "user_id", "result")
+
+
+@query("SELECT event_id, event_type || chr(10) || chr(10) || '⏱️ الوقت المنقضي: ' || greatest(0, event_id % 50 - 10) || ' ثانية' || chr(10) || '🔄 يتم تحديث الحالة كل 3 ثوانٍ' AS text FROM events")
+def progress_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", workflow.progress_text(F.col("event_type"), F.col("event_id") % 50 - 10).alias("text"))
+
+
 @query("SELECT user_id, created_at FROM (SELECT c_custkey AS user_id, c_nationkey AS created_at FROM customer ORDER BY 2, 1 LIMIT 100) ORDER BY created_at, user_id LIMIT 8 OFFSET 96")
 def users_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("created_at"))

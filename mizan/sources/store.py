@@ -260,6 +260,24 @@ class CatalogStore:
         g = next((x for x in self.states() if x.generation_id == own), None) if own else None
         return g if g and g.status == "ready" and parser_version in (None, g.parser_version) else None
 
+    def backup(self, folder: str, keep: int = 5, at: datetime | None = None) -> str:
+        """A copy of what is read, under a name with the time; all but the newest ``keep`` (one at least) go. ValueError if nothing
+        is read. The generation does not change, so its copy is of one moment; it appears when it is whole."""
+        g = self.active()
+        if g is None:
+            raise ValueError("no generation is read")
+        name = f"catalog-{(at or datetime.now(timezone.utc)).strftime('%Y%m%dT%H%M%SZ')}"
+        fs, jvm_path = self._fs(), self._jvm.org.apache.hadoop.fs.Path
+        base, aside = folder.rstrip("/"), f"{folder.rstrip('/')}/.{name}"
+        self.cases(g.generation_id).write.mode("overwrite").parquet(f"{aside}/cases")
+        if (records := self.documents(g.generation_id)) is not None:
+            records.write.mode("overwrite").parquet(f"{aside}/documents")
+        fs.rename(jvm_path(aside), jvm_path(f"{base}/{name}"))
+        names = sorted((s.getPath().getName() for s in fs.listStatus(jvm_path(base)) if s.getPath().getName().startswith("catalog-")), reverse=True)
+        for old in names[max(1, keep) :]:
+            fs.delete(jvm_path(f"{base}/{old}"), True)
+        return f"{base}/{name}"
+
     def cleanup(self, keep: int = 2) -> list[str]:
         """Remove all but the newest ``keep`` of each inactive status; never the active one or a build."""
         active, gone, kept = self._read("ACTIVE"), [], {}
