@@ -71,27 +71,35 @@ def reservations(requests: DataFrame, ttl_minutes: int = 30) -> DataFrame:
     """requests (request_id, holder key, at) -> with ``granted``: a key is free once its holder's time has run out.
 
     A grant lasts ttl from its start, so which requests are granted follows from the first on: the next grant of a key is its
-    first request after the last grant's end. The fold runs over sorted rows and keeps only the end of the running grant, so
-    a key may have any number of requests; those of one key are still folded by one task.
+    first request after the last grant's end. A request more than ttl after the one before it is always granted; there a
+    key's requests are cut into stretches, which are folded apart, so that a key's requests spread over tasks. Stretches are
+    told from the first and last request of each ttl of time, not from all requests. The fold keeps only the end of the
+    running grant. Requests without a time are granted and hold nothing.
     """
     ttl = max(1, ttl_minutes) * 60_000_000
-    asked = requests.repartition("key").sortWithinPartitions("key", "at", "request_id")
-    asked = asked.select("key", F.col("request_id").cast("bigint").alias("request_id"), F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+    asked = requests.select("key", F.col("request_id").cast("bigint").alias("request_id"), F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+    asked = asked.withColumn("slot", F.floor(F.col("at") / ttl))
+    order = Window.partitionBy("key").orderBy("slot")
+    slots = asked.where("at is not null").groupBy("key", "slot").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    begins = F.coalesce(F.col("first") - F.lag("last").over(order) > ttl, F.lit(True))
+    slots = slots.withColumn("begins", begins).select(F.col("key").alias("__key"), F.col("slot").alias("__slot"), F.sum(F.col("begins").cast("int")).over(order).alias("stretch"))
+    dealt = asked.join(slots, asked["key"].eqNullSafe(slots["__key"]) & (asked["slot"] == slots["__slot"]), "left").select("key", "stretch", "at", "request_id")
+    dealt = dealt.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at", "request_id")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, until = None, None
         for b in batches:
             granted = []
-            for key, at in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if key != last:
-                    last, until = key, None
+            for key, stretch, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if (key, stretch) != last:
+                    last, until = (key, stretch), None
                 free = until is None or at > until
-                if free and at is not None:  # times of null come first and hold nothing
+                if free and at is not None:
                     until = at + ttl
                 granted.append(free)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(granted, pa.bool_())], ["key", "request_id", "granted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(granted, pa.bool_())], ["key", "request_id", "granted"])
 
-    return asked.mapInArrow(fold, f"key {dict(asked.dtypes)['key']}, request_id bigint, granted boolean")
+    return dealt.mapInArrow(fold, f"key {dict(dealt.dtypes)['key']}, request_id bigint, granted boolean")
 
 
 def round_identity(number: Column, court: Column, url: Column) -> Column:

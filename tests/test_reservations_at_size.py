@@ -1,5 +1,7 @@
 """Reservations of a key with very many requests."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from mizan.operators import identity
@@ -14,3 +16,14 @@ def test_a_key_of_many_requests_is_no_single_row(spark):
     assert got == {i: i % 31 == 0 for i in range(n)} | {900001: True, 900002: False, 900003: True, 900004: True}
     plan = out._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+def test_stretches_against_a_loop(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice("ab"), 1_700_000_000 + rnd.choice([0, 40_000, 90_000]) + rnd.randrange(0, 20_000)) for i in range(400)]
+    df = spark.createDataFrame(rows, "request_id long, key string, s long").select("request_id", "key", F.timestamp_seconds("s").alias("at"))
+    want, until = {}, {}
+    for i, key, s in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = s > until.get(key, 0)
+        until[key] = s + 1800 if want[i] else until[key]
+    assert {r["request_id"]: r["granted"] for r in identity.reservations(df).collect()} == want
