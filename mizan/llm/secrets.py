@@ -29,6 +29,8 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Bounds of the labelled sample: documents, whose whole texts count, and drawn strings of each alphabet.
 SAMPLE_DOCS, DRAWN = 400, 2000
+#: Tasks that score the sample, at most.
+SAMPLE_TASKS = 64
 #: Samples by a hash: this many tenths train the models, the others fit the threshold.
 TRAIN_TENTHS = 7
 #: A false alarm weighs as much as so many missed secrets, each of its class's samples.
@@ -94,7 +96,7 @@ def train(samples: DataFrame) -> list[float]:
 def threshold(samples: DataFrame, table: list[float]) -> tuple[float, float, float]:
     """(mean ratio from which a token counts as random, share of random samples that it finds, share of ordinary ones that it
     takes for random), on the long samples that train no model."""
-    held = samples.where((F.col("tenth") >= TRAIN_TENTHS) & F.col("sample").rlike(f"^{TOKEN}$")).distinct()
+    held = samples.where((F.col("tenth") >= TRAIN_TENTHS) & F.col("sample").rlike(f"^{TOKEN}$"))
     scored = held.select("random", F.round(ratio(F.col("sample"), table), 2).alias("r")).groupBy("random", "r").count().collect()  # by hundredths
     totals = {k: max(1, sum(x["count"] for x in scored if x["random"] == k)) for k in (True, False)}
     found, alarms, best = 0, 0, (math.inf, 0.0, 0.0, 0.0)
@@ -124,7 +126,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     Null ids and repeated rows stay. A markov span that lies in one of the others is left out. least: the threshold, if it
     is not to be fitted.
     """
-    samples = saved(labelled_samples(docs, id_col, text_col), "secret-samples")
+    # few bytes, but much to score: dealt to tasks by count, not by size
+    tasks = min(SAMPLE_TASKS, docs.sparkSession.sparkContext.defaultParallelism)
+    samples = saved(labelled_samples(docs, id_col, text_col).repartition(tasks), "secret-samples")
     table = train(samples)
     least = threshold(samples, table)[0] if least is None else least
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
