@@ -1,7 +1,7 @@
 """Text normalizers and small text functions, as Column -> Column.
 
 The seven normalizers differ on purpose; each serves one comparison. Those that need NFKC take it from one vectorized
-function, which sees only texts that lower case alone does not serve; the rest of each is built in.
+function, which sees only texts beyond ASCII; the rest of each is built in.
 """
 
 from __future__ import annotations
