@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, linededup, media, packing, pii, secrets, simhash, wrappers
+from . import chat, decontam, divergence, filter_audit, langid, linededup, media, packing, pii, secrets, simhash, toxicity, wrappers
 from .common import table
 
 
@@ -56,13 +56,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.diverge(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_media_columns, op2_best_fit_packing, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_secret_scan,
         op6_pii, op7_html_extraction, op8_language_id, op9_chat_formatting, op10_line_dedup,
+        op11_source_divergence_audit, op12_filter_interaction_audit, op13_toxicity,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": chat.OP9_SQL}
+    return {"op9_chat_formatting": chat.OP9_SQL, "op11_source_divergence_audit": divergence.OP11_SQL, "op12_filter_interaction_audit": filter_audit.OP12_SQL}
