@@ -75,29 +75,37 @@ def reservations(requests: DataFrame, ttl_minutes: int = 30) -> DataFrame:
     key's requests are cut into stretches, which are folded apart, so that a key's requests spread over tasks. Stretches are
     told from the first and last request of each ttl of time, not from all requests. The fold keeps only the end of the
     running grant. Requests without a time are granted and hold nothing.
+
+    With a column ``release``, its true rows are no requests: they give the key back if the request of their id holds it.
     """
     ttl = max(1, ttl_minutes) * 60_000_000
-    asked = requests.select("key", F.col("request_id").cast("bigint").alias("request_id"), F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+    gives_back = F.coalesce(F.col("release"), F.lit(False)) if "release" in requests.columns else F.lit(False)
+    asked = requests.select("key", F.col("request_id").cast("bigint").alias("request_id"), F.unix_micros(F.col("at").cast("timestamp")).alias("at"), gives_back.alias("release"))
     asked = asked.withColumn("slot", F.floor(F.col("at") / ttl))
     order = Window.partitionBy("key").orderBy("slot")
     slots = asked.where("at is not null").groupBy("key", "slot").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     begins = F.coalesce(F.col("first") - F.lag("last").over(order) > ttl, F.lit(True))
     slots = slots.withColumn("begins", begins).select(F.col("key").alias("__key"), F.col("slot").alias("__slot"), F.sum(F.col("begins").cast("int")).over(order).alias("stretch"))
-    dealt = asked.join(slots, asked["key"].eqNullSafe(slots["__key"]) & (asked["slot"] == slots["__slot"]), "left").select("key", "stretch", "at", "request_id")
-    dealt = dealt.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at", "request_id")
+    dealt = asked.join(slots, asked["key"].eqNullSafe(slots["__key"]) & (asked["slot"] == slots["__slot"]), "left").select("key", "stretch", "at", "request_id", "release")
+    dealt = dealt.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at", "request_id", "release")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, until = None, None
+        last, until, holder = None, None, None
         for b in batches:
-            granted = []
-            for key, stretch, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            out = []
+            for key, stretch, at, request, release in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (key, stretch) != last:
                     last, until = (key, stretch), None
+                if release:
+                    until = None if request == holder else until
+                    continue
                 free = until is None or at > until
                 if free and at is not None:
-                    until = at + ttl
-                granted.append(free)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(granted, pa.bool_())], ["key", "request_id", "granted"])
+                    until, holder = at + ttl, request
+                out.append((key, request, free))
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            kinds = (b.schema.field(0).type, pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "request_id", "granted"])
 
     return dealt.mapInArrow(fold, f"key {dict(dealt.dtypes)['key']}, request_id bigint, granted boolean")
 

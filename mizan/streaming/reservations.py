@@ -2,37 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .ordered import OrderedFold, in_order
 
 
-def reserve_stream(requests: DataFrame, ttl_minutes: int = 30) -> DataFrame:
-    """requests (request_id long, key string, at timestamp) -> (key, request_id, granted) as they come.
+def reserve_stream(requests: DataFrame, ttl_minutes: int = 30, late: str = "10 minutes") -> DataFrame:
+    """requests (request_id long, key string, at timestamp, release boolean) -> (key, request_id, granted), once the watermark
+    has passed them.
 
-    A key's state is the end of its running grant and whether it was released; requests of a batch count in order of time.
-    Rows with ``release`` true free the key at their time.
+    A row with ``release`` true gives the key back if the request of its id holds it. A key's state is the request that holds
+    it and the end of its time; it goes when the time has run out or the key was given back.
     """
-    ttl = pd.Timedelta(minutes=max(1, ttl_minutes))
-
-    def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until = pd.Timestamp(state.get[0]) if state.exists else None
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["at", "request_id"]).itertuples():
-            if r.release:
-                until = None
-                continue
-            granted = until is None or r.at > until
+    ttl = max(1, ttl_minutes) * 60_000_000
+
+    class Held(OrderedFold):
+        holder: int | None = None
+
+        def add(self, at: int, row: dict) -> list[tuple]:
+            if row.get("release"):
+                if self.due is not None and row.get("request_id") == self.holder:
+                    self.due = self.holder = None
+                return []
+            granted = self.due is None
             if granted:
-                until = r.at + ttl
-            out.append((key[0], r.request_id, granted))
-        if until is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((until.isoformat(),))
-        yield pd.DataFrame(out, columns=["key", "request_id", "granted"])
-
-    return requests.groupBy("key").applyInPandasWithState(step, "key string, request_id long, granted boolean", "until string", "append", GroupStateTimeout.NoTimeout)
+                self.due, self.holder = at + ttl, row.get("request_id")
+            return [(self.key, row.get("request_id"), granted)]
+
+        def close(self) -> list[tuple]:
+            self.due = self.holder = None
+            return []
+
+        def kept(self) -> list:
+            return [self.holder]
+
+        def restore(self, kept: list) -> None:
+            self.holder = kept[0]
+
+    return in_order(requests, "key", "at", "request_id", ["request_id", "release"], Held, "key string, request_id long, granted boolean", late)

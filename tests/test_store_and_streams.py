@@ -129,20 +129,6 @@ def test_fold_of_one_stream_equals_batch():
         assert fold.outcome(name)[1:] == want
 
 
-def test_fold_stream(spark, tmp_path):
-    path = f"file://{tmp_path}/in"
-    schema = "stream_id string, seq int, event string, data string"
-    spark.createDataFrame([r for r in rows() if r[0] in ("done", "bad")], schema).write.parquet(path)
-    out = stream.fold_stream(spark.readStream.schema(schema).parquet(path))
-    q = out.writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").start()
-    until = time.time() + 60  # with a processing-time timeout batches go on without data, so there is no end to wait for
-    while time.time() < until and spark.sql("select * from folded").count() < 2:
-        time.sleep(0.5)
-    q.stop()
-    got = {r["stream_id"]: (r["status"], r["text"], r["n_items"], r["error"]) for r in spark.sql("select * from folded").collect()}
-    assert got == {k: WANT[k] for k in ("done", "bad")}
-
-
 def test_sse_lines(spark):
     lines = ["event: x", 'data: {"a":', "data: 1}", "", ": comment", "", "data: last"]
     df = spark.createDataFrame([("s", i, t) for i, t in enumerate(lines)], "stream_id string, line_no int, line string")
@@ -191,18 +177,3 @@ def test_changes(spark):
     df = spark.createDataFrame([("k", 1, "a"), ("k", 2, "a"), ("k", 3, "b"), ("k", 4, "a")], "key string, at int, text string")
     assert [r["at"] for r in stream.changes(df).orderBy("at").collect()] == [1, 3, 4]
     assert df.where(F.lit(False)).count() == 0
-
-
-def test_reserve_stream_equals_batch(spark, tmp_path):
-    from mizan.operators.identity import reservations
-    from mizan.streaming.reservations import reserve_stream
-
-    schema = "request_id long, key string, at timestamp, release boolean"
-    rows = [(i, f"k{i % 3}", datetime(2024, 1, 1, i * 7 % 24, i * 13 % 60), False) for i in range(40)]
-    df = spark.createDataFrame(rows, schema)
-    df.write.parquet(f"file://{tmp_path}/in")
-    out = reserve_stream(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"))
-    q = out.writeStream.format("memory").queryName("reserved").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
-    want = {(r["key"], r["request_id"], r["granted"]) for r in reservations(df).collect()}
-    assert {tuple(r) for r in spark.sql("select key, request_id, granted from reserved").collect()} == want
