@@ -1,7 +1,9 @@
 """Versioned catalog store: each build is a generation of its own, and one pointer says which is read.
 
-Layout under the base folder: cases/generation_id=…/collection_id=…, documents/generation_id=…, states/<generation>.json,
-ACTIVE, BUILDING. Cases are Parquet partitions, so a collection is replaced by overwriting its partition. States and the
+Layout under the base folder: cases/generation_id=…/collection_id=…, documents/<generation>/<version>/bucket=…,
+staged/<generation>/batch_id=…, states/<generation>.json, ACTIVE, BUILDING. Cases are Parquet partitions, so a collection is
+replaced by overwriting its partition. Document records lie in hash buckets; a small file says which version of each bucket
+counts, so a change rewrites the buckets that it touches and shows when they are whole. States and the
 pointer are small files, written aside and renamed, so a reader sees the old or the new one. BUILDING names the one build
 there may be; it is made by a call that fails where it exists, so of two builders that begin at once one does not.
 """
@@ -12,7 +14,7 @@ import json
 import threading
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timedelta, timezone
@@ -20,6 +22,7 @@ from datetime import datetime, timedelta, timezone
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 STATUSES = ("building", "ready", "failed", "discarded", "superseded")
 
@@ -49,6 +52,8 @@ def _now() -> str:
 class CatalogStore:
     #: A build that has not shown life for so long no longer blocks others.
     LEASE = timedelta(hours=6)
+    #: Hash buckets of a generation's document records, if not set otherwise; fixed by its first records.
+    BUCKETS = 64
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
@@ -176,22 +181,43 @@ class CatalogStore:
             done.set()
             thread.join()
 
-    def write_documents(self, g: Generation, documents: DataFrame) -> None:
+    def _buckets(self, generation_id: str) -> dict | None:
+        """{buckets: their number, versions: {bucket: its version}} of a generation's records; null if it has none."""
+        found = self._read(f"documents/{generation_id}/BUCKETS.json")
+        return json.loads(found) if found else None
+
+    def _versions(self, generation_id: str, versions: dict[str, str]) -> DataFrame:
+        base = f"{self.base}/documents/{generation_id}"
+        paths = [f"{base}/{v}/bucket={b}" for b, v in versions.items()]
+        return self.spark.read.option("mergeSchema", True).parquet(*paths)
+
+    def write_documents(self, g: Generation, documents: DataFrame) -> int:
         """Records (document_id, …, case_count) of a generation's documents: new ones replace those of their id, others stay; a
-        count is not below zero, and of an id that is given twice one record counts."""
-        path = f"documents/generation_id={g.generation_id}"
-        new = documents.withColumn("case_count", F.greatest(F.lit(0), F.coalesce("case_count", F.lit(0)))).dropDuplicates(["document_id"])
-        old = self.documents(g.generation_id)
-        rows = new if old is None else old.join(new.select("document_id"), "document_id", "left_anti").unionByName(new, allowMissingColumns=True)
-        aside = f"documents/.{g.generation_id}.{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.base}/{aside}")
-        self._remove(path)
-        self._fs().rename(self._path(aside), self._path(path))
+        count is not below zero, and of an id that is given twice one record counts. Returns the number of buckets rewritten.
+
+        Until the new buckets are whole, readers see the old ones; a write that fails leaves them as they were."""
+        known = self._buckets(g.generation_id) or {"buckets": self.BUCKETS, "versions": {}}
+        bucket = F.pmod(F.xxhash64(F.col("document_id").cast("string")), F.lit(known["buckets"])).cast("string")
+        new = documents.withColumn("case_count", F.greatest(F.lit(0), F.coalesce("case_count", F.lit(0)))).dropDuplicates(["document_id"]).withColumn("bucket", bucket)
+        touched = {r[0] for r in new.select("bucket").distinct().collect()}  # at most the number of buckets
+        if not touched:
+            return 0
+        old = {b: v for b, v in known["versions"].items() if b in touched}
+        rows = new
+        if old:
+            left = self._versions(g.generation_id, old).join(documents.select("document_id"), "document_id", "left_anti").withColumn("bucket", bucket)
+            rows = left.unionByName(new, allowMissingColumns=True)
+        version, base = uuid.uuid4().hex, f"documents/{g.generation_id}"
+        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.base}/{base}/{version}")
+        self._write(f"{base}/BUCKETS.json", json.dumps(known | {"versions": known["versions"] | dict.fromkeys(touched, version)}))
+        for b, v in old.items():
+            self._remove(f"{base}/{v}/bucket={b}")
+        return len(touched)
 
     def documents(self, generation_id: str) -> DataFrame | None:
         """Records of a generation's documents; null if it has none."""
-        path = f"documents/generation_id={generation_id}"
-        return self.spark.read.parquet(f"{self.base}/{path}") if self._fs().exists(self._path(path)) else None
+        known = self._buckets(generation_id)
+        return self._versions(generation_id, known["versions"]) if known else None
 
     def indexed(self, g: Generation, wanted: DataFrame) -> DataFrame:
         """Those of the documents (document_id) that the generation has a record of."""
@@ -220,6 +246,51 @@ class CatalogStore:
         rows = cases.withColumn("generation_id", F.lit(g.generation_id))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("generation_id", "collection_id").parquet(f"{self.base}/cases")
 
+    def stage(self, g: Generation, cases: DataFrame, batch_id: int) -> bool:
+        """Cases (collection_id, catalog_key, …) of one batch of an incremental build, for seal(). A batch that is recorded is not
+        taken again: False. One that was cut off left no record, and its replay overwrites what it wrote."""
+        base = f"staged/{g.generation_id}"
+        if self._fs().exists(self._path(f"{base}/done/{batch_id}")):
+            return False
+        cases.write.mode("overwrite").parquet(f"{self.base}/{base}/batch_id={batch_id}")
+        self._record(g, batch_id)
+        return True
+
+    def _record(self, g: Generation, batch_id: int) -> None:
+        self._write(f"staged/{g.generation_id}/done/{batch_id}", _now())
+
+    def staged(self, g: Generation) -> DataFrame | None:
+        """The cases of the recorded batches, with batch_id; null without any."""
+        base = f"staged/{g.generation_id}"
+        if not self._fs().exists(self._path(f"{base}/done")):
+            return None
+        done = [s.getPath().getName() for s in self._fs().listStatus(self._path(f"{base}/done"))]
+        paths = [f"{self.base}/{base}/batch_id={n}" for n in done if n.isdigit()]
+        return self.spark.read.option("basePath", f"{self.base}/{base}").option("mergeSchema", True).parquet(*paths) if paths else None
+
+    def build_from(self, g: Generation, cases: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Start staging a stream of cases, batch by batch, until what is there has been read."""
+        return cases.writeStream.foreachBatch(lambda df, batch_id: self.stage(g, df, batch_id)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def seal(self, g: Generation, gate: Callable[[DataFrame], str | None] = lambda cases: None) -> Generation:
+        """End an incremental build: of a key that several batches hold the case of the last one counts, in any collection. gate
+        gives the reason against the cases, or null; then the generation is promoted, else it has failed and what was read is
+        read on. ValueError without cases."""
+        rows = self.staged(g)
+        if rows is None:
+            raise ValueError("a generation without cases can't be promoted")
+        latest = rows.groupBy("catalog_key").agg(F.max("batch_id").alias("batch_id"))
+        one = rows.join(latest, ["catalog_key", "batch_id"], "left_semi").drop("batch_id").dropDuplicates(["catalog_key"])
+        self.write_cases(g, one)
+        own = self.cases(g.generation_id)
+        if own is None:
+            raise ValueError("a generation without cases can't be promoted")
+        if why := gate(own):
+            return self.finish(g, "failed", why)
+        out = self.promote(self.finish(g, "building", cases_indexed=own.count()))
+        self._remove(f"staged/{g.generation_id}")
+        return out
+
     def cases(self, generation_id: str) -> DataFrame | None:
         """A generation's cases; null if it has none."""
         path = f"cases/generation_id={generation_id}"
@@ -286,7 +357,7 @@ class CatalogStore:
                 continue
             kept[g.status] = kept.get(g.status, 0) + 1
             if kept[g.status] > keep:
-                for name in (f"cases/generation_id={g.generation_id}", f"documents/generation_id={g.generation_id}", f"states/{g.generation_id}.json"):
+                for name in (f"cases/generation_id={g.generation_id}", f"documents/{g.generation_id}", f"staged/{g.generation_id}", f"states/{g.generation_id}.json"):
                     self._remove(name)
                 gone.append(g.generation_id)
         return gone

@@ -177,3 +177,88 @@ def test_changes(spark):
     df = spark.createDataFrame([("k", 1, "a"), ("k", 2, "a"), ("k", 3, "b"), ("k", 4, "a")], "key string, at int, text string")
     assert [r["at"] for r in stream.changes(df).orderBy("at").collect()] == [1, 3, 4]
     assert df.where(F.lit(False)).count() == 0
+
+
+RECORDS = "document_id string, status string, case_count int"
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    store = CatalogStore(spark, f"file://{tmp_path}/store")
+    g = store.begin(6)
+    many = spark.range(400).select(F.col("id").cast("string").alias("document_id"), F.lit("seen").alias("status"), F.lit(1).alias("case_count"))
+    assert store.write_documents(g, many) == store.BUCKETS
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "documents").rglob("*.parquet")}
+    assert store.write_documents(g, spark.createDataFrame([("7", "indexed", 9), ("new", "indexed", 2)], RECORDS)) <= 2
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "documents").rglob("*.parquet")}
+    assert len(before.keys() & after.keys()) >= len(before) - 2 and all(before[p] == after[p] for p in before.keys() & after.keys())
+    got = {r["document_id"]: (r["status"], r["case_count"]) for r in store.documents(g.generation_id).collect()}
+    assert len(got) == 401 and got["7"] == ("indexed", 9) and got["new"] == ("indexed", 2) and got["8"] == ("seen", 1)
+    assert store.write_documents(g, many.limit(0)) == 0
+    # columns that records did not have before
+    store.write_documents(g, spark.createDataFrame([("9", "failed", 0, "why")], RECORDS + ", note string"))
+    assert {r["note"] for r in store.documents(g.generation_id).where("document_id IN ('9', '10')").collect()} == {"why", None}
+
+
+def test_a_write_that_fails_before_the_switch_changes_nothing(spark, tmp_path, monkeypatch):
+    store = CatalogStore(spark, f"file://{tmp_path}/store")
+    g = store.begin(6)
+    store.write_documents(g, spark.createDataFrame([("a", "seen", 1), ("b", "seen", 1)], RECORDS))
+
+    def cut(*_):
+        raise RuntimeError("cut off")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_write", cut)
+        with pytest.raises(RuntimeError, match="cut off"):
+            store.write_documents(g, spark.createDataFrame([("a", "indexed", 5), ("c", "indexed", 5)], RECORDS))
+    assert {tuple(r) for r in store.documents(g.generation_id).select("document_id", "status").collect()} == {("a", "seen"), ("b", "seen")}
+    store.write_documents(g, spark.createDataFrame([("a", "indexed", 5), ("c", "indexed", 5)], RECORDS))
+    assert {tuple(r) for r in store.documents(g.generation_id).select("document_id", "status").collect()} == {("a", "indexed"), ("b", "seen"), ("c", "indexed")}
+
+
+def stream_of(spark, path):
+    return spark.readStream.schema(CASES).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def test_a_cut_off_batch_is_replayed(spark, tmp_path, monkeypatch):
+    store = CatalogStore(spark, f"file://{tmp_path}/store")
+    g = store.begin(6)
+    batches = [[("x", "a", "1"), ("x", "b", "1")], [("x", "b", "2"), ("y", "c", "2")], [("z", "a", "3")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, CASES).coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+    calls, record = [], store._record
+
+    def cut(gen, batch_id):
+        calls.append(batch_id)
+        if calls == [0, 1]:  # the second batch has written its cases
+            raise RuntimeError("cut off")
+        record(gen, batch_id)
+
+    monkeypatch.setattr(store, "_record", cut)
+    q = store.build_from(g, stream_of(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/cp")
+    with pytest.raises(Exception, match="cut off"):
+        q.awaitTermination(120)
+    assert [r[0] for r in store.staged(g).select("batch_id").distinct().collect()] == [0]
+    with pytest.raises(ValueError, match="without cases"):
+        store.promote(g)
+    assert store.build_from(g, stream_of(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/cp").awaitTermination(120)
+    assert calls == [0, 1, 1, 2]
+    # all of it once more, as if the checkpoint were lost: nothing is taken twice
+    assert store.build_from(g, stream_of(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/other").awaitTermination(120)
+    assert calls == [0, 1, 1, 2]
+    assert store.seal(g).status == "ready" and store.active().cases_indexed == 3
+    assert {tuple(r) for r in store.cases(g.generation_id).select("collection_id", "catalog_key", "text").collect()} == {("z", "a", "3"), ("x", "b", "2"), ("y", "c", "2")}
+
+
+def test_a_sealed_build_that_the_gate_refuses_is_not_read(spark, tmp_path):
+    store = CatalogStore(spark, f"file://{tmp_path}/store")
+    a = store.begin(6)
+    store.stage(a, some(spark, "x", 2), 0)
+    store.seal(a)
+    b = store.begin(6)
+    with pytest.raises(ValueError, match="without cases"):
+        store.seal(b)
+    store.stage(b, some(spark, "x", 1), 0)
+    refused = store.seal(b, lambda cases: f"only {cases.count()}" if cases.count() < 2 else None)
+    assert (refused.status, refused.last_error) == ("failed", "only 1") and store.active().generation_id == a.generation_id
+    assert store.begin(6).status == "building"
