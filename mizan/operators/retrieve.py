@@ -1,6 +1,7 @@
 """Retrieval, course relevance, candidate and policy scores, and the choice among candidates.
 
-Courses are few and known to the driver; their terms become arrays, so all scoring is one pass over the cases.
+Courses are few and known to the driver. One automaton over the terms of all courses reads each text once and tells which
+courses have terms in it, so scoring is one pass over the cases, whatever the number of courses.
 """
 
 from __future__ import annotations
@@ -9,11 +10,14 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.headers import search_form
 from ..functions.text import ARABIC_DIGITS, ASCII_DIGITS, LETTER_FORMS, MARKS, PLAIN_FORMS, TATWEEL, hits, normalize_identity, normalize_relevance
+from ..functions.terms import told_by_terms
+from ..shared import allow_checkpoints
 
 # Words that say nothing about a course, and those that retrieval terms leave out.
 GENERIC_WORDS = frozenset((
@@ -86,6 +90,32 @@ def match_score(text: Column, terms: list[str] | Column, preferred: Column, has_
     return (total + F.when(preferred, 14).otherwise(0) + F.when(has_number, 4).otherwise(0) + F.when(has_court, 3).otherwise(0)).cast("int")
 
 
+def term_scores(text: Column, courses: list[Course]) -> Column:
+    """array<struct<slug, own>> of the courses that have a term in a text: what their terms add to match_score. text: N1."""
+    users: dict[str, list[tuple[str, int]]] = {}
+    for c in courses:
+        for i, t in enumerate(retrieval_terms(subject_terms(c))):
+            users.setdefault(t, []).append((c.slug, max(1, 14 - min(i, 13)) + 5 * (" " in t)))
+    by_place = list(users.values())
+
+    def tell(found: set[int]) -> list[dict]:
+        own: dict[str, int] = {}
+        for i in found:
+            for slug, weight in by_place[i]:
+                own[slug] = own.get(slug, 0) + weight
+        return [{"slug": s, "own": w} for s, w in own.items()]
+
+    return told_by_terms(text, users, tell, pa.struct([("slug", pa.string()), ("own", pa.int32())]), "struct<slug: string, own: int>")
+
+
+def scores_by_course(cases: DataFrame, courses: list[Course]) -> DataFrame:
+    """(…, slug, match_score) of each case and course that has a term in it, by ``normalized_text``."""
+    known = F.coalesce(*(F.when(F.col("slug") == c.slug, F.col("source_id").isin(*c.preferred)) for c in courses if c.preferred), F.lit(False))
+    more = F.when(known, 14).otherwise(0) + F.when(present(F.col("case_number")), 4).otherwise(0) + F.when(present(F.col("court_name")), 3).otherwise(0)
+    told = cases.withColumn("__x", F.explode(term_scores(F.col("normalized_text"), courses)))
+    return told.select(*cases.columns, F.col("__x.slug").alias("slug"), F.col("__x.own").alias("__own")).withColumn("match_score", (F.col("__own") + more).cast("int")).drop("__own")
+
+
 def present(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 
@@ -139,33 +169,91 @@ def concept_hits(text: Column, terms: tuple[str, ...]) -> Column:
     return F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
 
 
-def relevance(course: Course, text: Column, plain: Column) -> Column:
-    """struct<score, accepted, direct_hits, priority_hits, avoid_hits, matched>; plain: text by N3, computed once a case."""
-    avoid = F.size(concept_hits(plain, course.avoid))
-    if course.mode == "methodological":
-        labels = [
-            F.when(F.size(hits(plain, F.array(*(F.lit(search_form(p, digits=False)) for p in phrases)))) > 0, F.lit(label)) for label, phrases in METHOD_CATEGORIES.items()
-        ]
-        found = F.array_compact(F.array(*labels))
-        n, length = F.size(found), F.length(text)
-        tier = F.when(length >= 5000, 13).when(length >= 2500, 10).when(length >= 1200, 6).otherwise(0)
-        score = F.greatest(F.lit(0), F.least(F.lit(40), 9 + n * 5 + tier) - avoid * 8)
-        accepted, priority = (n >= 3) & (length >= 1200) & (score >= 24), F.lit(0)
-    else:
-        direct, first = concept_hits(plain, course.keywords), concept_hits(plain, course.priority)
-        n, priority = F.size(direct), F.size(first)
-        found = F.slice(F.array_distinct(F.concat(direct, first)), 1, MAX_MATCHED)
-        score = F.greatest(F.lit(0), F.least(F.lit(40), 8 + n * 11 + priority * 5) - avoid * 8)
-        accepted = ((n >= 1) | (priority >= 2)) & (score >= 18)
+RELEVANCE = "struct<score: int, accepted: boolean, direct_hits: int, priority_hits: int, avoid_hits: int, matched: array<string>>"
+_RELEVANCE = pa.struct([("slug", pa.string()), ("direct", pa.list_(pa.string())), ("priority", pa.list_(pa.string())), ("avoid", pa.int32())])
+
+
+def concepts_by_course(plain: Column, courses: list[Course]) -> Column:
+    """array<struct<slug, direct, priority, avoid>> of the courses that have a concept in a text (N3): the hits of keywords and
+    priority topics in their order, and the number of concepts to avoid; concepts count as in concept_hits."""
+    places: dict[str, int] = {}
+    concepts: list[tuple] = []  # (place of the phrase, places of words, words that must stand, [(course, role, order, term)])
+    by_term: dict[str, int] = {}
+    for c in courses:
+        for role, terms in enumerate((c.keywords, c.priority, c.avoid)):
+            for order, term in enumerate(terms):
+                if term not in by_term:
+                    told = _concept(term)
+                    if not told["phrase"] or not told["tokens"]:
+                        continue
+                    words = [places.setdefault(t, len(places)) for t in told["tokens"]]
+                    need = 2 if len(words) > 1 else 1 if len(told["tokens"][0]) >= 5 else 9
+                    by_term[term] = len(concepts)
+                    concepts.append((places.setdefault(told["phrase"], len(places)), words, need, []))
+                concepts[by_term[term]][3].append((c.slug, role, order, term))
+    touched: dict[int, list[int]] = {}
+    for k, (phrase, words, _, _) in enumerate(concepts):
+        for place in {phrase, *words}:
+            touched.setdefault(place, []).append(k)
+
+    def tell(found: set[int]) -> list[dict]:
+        hit = {k for place in found for k in touched[place]}
+        own: dict[str, tuple[list, list, list]] = {}
+        for phrase, words, need, users in (concepts[k] for k in hit):
+            if phrase in found or sum(w in found for w in words) >= need:
+                for slug, role, order, term in users:
+                    own.setdefault(slug, ([], [], []))[role].append((order, term))
+        return [{"slug": s, "direct": [t for _, t in sorted(d)], "priority": [t for _, t in sorted(p)], "avoid": len(a)} for s, (d, p, a) in own.items()]
+
+    return told_by_terms(plain, places, tell, _RELEVANCE, "struct<slug: string, direct: array<string>, priority: array<string>, avoid: int>")
+
+
+def _relevance(score: Column, accepted: Column, n: Column, priority: Column, avoid: Column, found: Column) -> Column:
     return F.struct(
         score.cast("int").alias("score"), accepted.alias("accepted"), n.cast("int").alias("direct_hits"), priority.cast("int").alias("priority_hits"), avoid.cast("int").alias("avoid_hits"), found.alias("matched")
     )
 
 
+def _by_concepts(direct: Column, first: Column, avoid: Column) -> Column:
+    """Relevance of a direct course."""
+    n, priority = F.size(direct), F.size(first)
+    found = F.slice(F.array_distinct(F.concat(direct, first)), 1, MAX_MATCHED)
+    score = F.greatest(F.lit(0), F.least(F.lit(40), 8 + n * 11 + priority * 5) - avoid * 8)
+    return _relevance(score, ((n >= 1) | (priority >= 2)) & (score >= 18), n, priority, avoid, found)
+
+
+def _by_method(course: Course, text: Column, plain: Column) -> Column:
+    """Relevance of a methodological course."""
+    avoid = F.size(concept_hits(plain, course.avoid))
+    labels = [F.when(F.size(hits(plain, F.array(*(F.lit(search_form(p, digits=False)) for p in phrases)))) > 0, F.lit(label)) for label, phrases in METHOD_CATEGORIES.items()]
+    found = F.array_compact(F.array(*labels))
+    n, length = F.size(found), F.length(text)
+    tier = F.when(length >= 5000, 13).when(length >= 2500, 10).when(length >= 1200, 6).otherwise(0)
+    score = F.greatest(F.lit(0), F.least(F.lit(40), 9 + n * 5 + tier) - avoid * 8)
+    return _relevance(score, (n >= 3) & (length >= 1200) & (score >= 24), n, F.lit(0), avoid, found)
+
+
+def relevance(course: Course, text: Column, plain: Column) -> Column:
+    """struct<score, accepted, direct_hits, priority_hits, avoid_hits, matched>; plain: text by N3, computed once a case."""
+    if course.mode == "methodological":
+        return _by_method(course, text, plain)
+    return _by_concepts(concept_hits(plain, course.keywords), concept_hits(plain, course.priority), F.size(concept_hits(plain, course.avoid)))
+
+
 def assess(cases: DataFrame, courses: list[Course], text: str = "text") -> DataFrame:
-    """A row for each case and course, with ``slug`` and the relevance fields."""
+    """A row for each case and course, with ``slug`` and the relevance fields; all direct courses are told by one reading."""
+    direct, method = ([c for c in courses if (c.mode == "methodological") == m] for m in (False, True))
     plain = cases.withColumn("__plain", normalize_relevance(F.col(text)))
-    every = F.array(*(F.struct(F.lit(c.slug).alias("slug"), relevance(c, F.col(text), F.col("__plain")).alias("r")) for c in courses))
+    every = F.array(*(F.struct(F.lit(c.slug).alias("slug"), _by_method(c, F.col(text), F.col("__plain")).alias("r")) for c in method)) if method else None
+    if direct:
+        plain = plain.withColumn("__told", concepts_by_course(F.col("__plain"), direct))
+        told = F.transform("__told", lambda x: F.struct(x["slug"].alias("slug"), _by_concepts(x["direct"], x["priority"], x["avoid"]).alias("r")))
+        none = F.array().cast("array<string>")
+        silent = F.array_except(F.array(*(F.lit(c.slug) for c in direct)), F.transform("__told", lambda x: x["slug"]))
+        rest = F.transform(silent, lambda s: F.struct(s.alias("slug"), _by_concepts(none, none, F.lit(0)).alias("r")))
+        kind = f"array<struct<slug: string, r: {RELEVANCE}>>"
+        both = F.concat(told.cast(kind), rest.cast(kind))
+        every = both if every is None else F.concat(both, every.cast(kind))
     return plain.withColumn("__x", F.explode(every)).select(*cases.columns, "__x.slug", "__x.r.*")
 
 
@@ -196,17 +284,12 @@ def candidates_by_course(cases: DataFrame, courses: list[Course], excluded: Data
     A case is dealt to the courses whose terms it has; of each course the most recent are kept, ranked within tasks before
     they are shuffled, so what the courses share is small whatever the number of cases.
     """
-    terms = {c.slug: retrieval_terms(subject_terms(c)) for c in courses}
     wanted = max(limit * 8, RECALL_LEAST)
-    text = F.col("normalized_text")
     pick = lambda make: F.coalesce(*(F.when(F.col("slug") == c.slug, make(c)) for c in courses))
     best = lambda df, most, *order: df.withColumn("__rn", F.row_number().over(Window.partitionBy("slug").orderBy(*order))).where(F.col("__rn") <= most).drop("__rn")
     recency, ranked = (F.col("indexed_at").desc(), "catalog_key"), (F.col("match_score").desc(), F.col("indexed_at").desc(), "catalog_key")
-    slugs = F.array_compact(F.array(*(F.when(any_of(text, terms[c.slug][:MAX_TERMS]), F.lit(c.slug)) for c in courses)))
-    recent = best(cases.withColumn("slug", F.explode(slugs)), recall(wanted), *recency)
-    known = pick(lambda c: F.col("source_id").isin(*c.preferred) if c.preferred else F.lit(False))
-    score = pick(lambda c: match_score(text, terms[c.slug], known, present(F.col("case_number")), present(F.col("court_name"))))
-    left = not_excluded(best(recent.withColumn("match_score", score), wanted, *ranked), excluded)
+    recent = best(scores_by_course(cases, courses), recall(wanted), *recency)
+    left = not_excluded(best(recent, wanted, *ranked), excluded)
     plain = left.where(F.length("pdf_sha256") == 64).withColumn("__plain", normalize_relevance(F.col("text")))
     judged = plain.withColumn("r", pick(lambda c: relevance(c, F.col("text"), F.col("__plain")))).where("r.accepted").drop("__plain")
     return best(judged.withColumn("subject_relevance", F.col("r.score")).drop("r"), limit, *ranked)
@@ -259,7 +342,9 @@ class RemoteFailure(Exception):
 
 def with_fallback(local: DataFrame, remote: Callable[[], DataFrame], limit: int, minimum: int) -> DataFrame:
     """Local candidates; with too few of them, merged with what remote() gives. If that fails for want of an answer, the local
-    ones if there are any. Other errors are no failure of the remote side and go up."""
+    ones if there are any. Other errors are no failure of the remote side and go up. The local rows are computed once."""
+    allow_checkpoints(local.sparkSession)
+    local = local.checkpoint()
     if local.limit(min(limit, minimum)).count() >= min(limit, minimum):
         return local.orderBy("pos").limit(limit)
     try:
