@@ -1,7 +1,7 @@
 """Source divergence audit: how the words of a source differ from those of each other source of its language, and of the language.
 
 A language's kept terms (in enough of its documents) are an integer dictionary: sorted by UTF-8, a term's place is its id.
-The dictionary is cut into chunks of a bounded number of cells (terms times sources). In a chunk, ids come by searchsorted
+The dictionary is cut into chunks of ids, of a bounded number of cells (terms times sources). In a chunk, ids come by searchsorted
 over the sorted terms, counts of all sources by bincount as one dense matrix, and so the shares, differences and best terms,
 ties by id. Chunks give sums for pairs and at most TOP terms of a source, which are merged.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import arrow_limits, saved
-from .words import distinct, pieces
+from .words import PIECE, distinct, pieces
 
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 _GAP = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
@@ -50,10 +50,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low = text.as_buffer().to_pybytes().lower()  # of bytes: A to Z alone
             n, d = groups.setdefault((lang, source), (Counter(), Counter()))
             size -= len(n)
-            for p in pieces(low, _GAP):
-                n.update(TERM.findall(p))
-            for terms in distinct(low, _GAP, TERM.findall):
-                d.update(terms)
+            if len(low) <= PIECE:
+                terms = TERM.findall(low)
+                n.update(terms)
+                d.update(set(terms))
+            else:
+                for p in pieces(low, _GAP):
+                    n.update(TERM.findall(p))
+                for some in distinct(low, _GAP, TERM.findall):
+                    d.update(some)
             size += len(n)
             if size >= COUNTED:
                 yield from told()
@@ -103,6 +108,15 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "part", "item", "value"])
 
 
+def _numbered(kept: DataFrame) -> DataFrame:
+    """(lang, term, id): ids from 0 in order. Ranges of terms are numbered apart, each from the end of the one before."""
+    ranges = saved(kept.repartitionByRange("lang", "term").withColumn("range", F.spark_partition_id()), "divergence-ranges")
+    sizes = ranges.groupBy("range").agg(F.count("*").alias("n"))  # a row for each partition
+    starts = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("lang", "term")) - 1
+    return ranges.withColumn("place", place).join(starts, "range").select("lang", "term", (F.col("start") + F.col("place")).alias("id"))
+
+
 def diverge(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, source, part, item, value, rank). Nulls in text, lang and source are empty strings; each row is a document.
 
@@ -113,11 +127,9 @@ def diverge(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     counted = src.mapInArrow(_counted, "lang string, source string, term string, n long, d long")
     every = saved(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d")), "divergence-counts")
     kept = every.where(F.col("term").isNotNull()).groupBy("lang", "term").agg(F.sum("d").alias("d")).where(F.col("d") >= min_docs).select("lang", "term")
-    kept = saved(kept, "divergence-kept")
     groups = every.where(F.col("term").isNull()).select("lang", "source")
     most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
-    chunks = 1 + kept.count() * most // CELLS
-    dictionary = saved(kept.repartitionByRange(chunks, "lang", "term").withColumn("chunk", F.spark_partition_id()), "divergence-dictionary")
+    dictionary = saved(_numbered(kept).select("lang", "term", F.expr(f"id div {max(1, CELLS // max(1, most))}").alias("chunk")), "divergence-dictionary")
     cells = saved(every.join(dictionary, ["lang", "term"]).select("lang", "chunk", "source", "term", "n"), "divergence-cells")
     # totals of each group, and of chunks all groups of their language; chunk -1 stands for languages without kept terms
     sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("n"))

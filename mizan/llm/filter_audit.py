@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import arrow_limits, saved
-from .words import distinct, pieces
+from .words import PIECE, distinct, pieces
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
@@ -51,8 +51,12 @@ FIRST = _first_failures()
 
 def text_failures(text: bytes) -> int:
     """Bits of A to D."""
-    n = sum(len(p.split()) for p in pieces(text, _GAP))
-    different = sum(map(len, distinct(text, _GAP, bytes.split)))
+    if len(text) <= PIECE:
+        words = text.split()
+        n, different = len(words), len(set(words))
+    else:
+        n = sum(len(p.split()) for p in pieces(text, _GAP))
+        different = sum(map(len, distinct(text, _GAP, bytes.split)))
     capitals, points = len(text.translate(None, _NO_CAPITAL)), len(text.translate(None, _INNER))
     return (n < MIN_WORDS) | (100 * different < MIN_DISTINCT * n) << 1 | (100 * capitals > MAX_CAPITALS * points) << 2 | bool(_SYMBOL.search(text)) << 3
 
