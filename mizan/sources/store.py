@@ -1,7 +1,7 @@
 """Versioned catalog store: each build is a generation of its own, and one pointer says which is read.
 
 Layout under the base folder: cases/generation_id=…/collection_id=…, documents/<generation>/<version>/bucket=…,
-staged/<generation>/batch_id=…, states/<generation>.json, ACTIVE, BUILDING. Cases are Parquet partitions, so a collection is
+staged/<generation>/batch_id=…, index/<generation>/… (see term_index), states/<generation>.json, ACTIVE, BUILDING. Cases are Parquet partitions, so a collection is
 replaced by overwriting its partition. Document records lie in hash buckets; a small file says which version of each bucket
 counts, so a change rewrites the buckets that it touches and shows when they are whole. States and the
 pointer are small files, written aside and renamed, so a reader sees the old or the new one. BUILDING names the one build
@@ -24,6 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import retrieve
+from .term_index import TermIndex
+
 STATUSES = ("building", "ready", "failed", "discarded", "superseded")
 
 
@@ -298,6 +301,21 @@ class CatalogStore:
             return None
         return self.spark.read.option("basePath", f"{self.base}/cases").parquet(f"{self.base}/{path}")
 
+    def index_terms(self, g: Generation) -> None:
+        """Write the posting table of a generation's cases (with normalized_text), for search()."""
+        if (own := self.cases(g.generation_id)) is None:
+            raise ValueError("a generation without cases can't be indexed")
+        TermIndex(self.spark, f"{self.base}/index/{g.generation_id}").write(own)
+
+    def search(self, terms: list[str], preferred: tuple[str, ...] = (), limit: int = 20, recall_cap: int | None = None) -> DataFrame | None:
+        """retrieve.search over the generation that is read, by its posting table if it has one; null if none is read."""
+        if (g := self.active()) is None:
+            return None
+        path = f"index/{g.generation_id}"
+        if self._fs().exists(self._path(f"{path}/grams/_SUCCESS")):
+            return TermIndex(self.spark, f"{self.base}/{path}").search(terms, preferred, limit, recall_cap)
+        return retrieve.search(self.cases(g.generation_id), terms, preferred, limit, recall_cap)
+
     def finish(self, g: Generation, status: str, error: str | None = None, **counters: int) -> Generation:
         """Record how a build ended, or its counters so far."""
         if status not in ("building", "failed", "discarded"):
@@ -357,7 +375,7 @@ class CatalogStore:
                 continue
             kept[g.status] = kept.get(g.status, 0) + 1
             if kept[g.status] > keep:
-                for name in (f"cases/generation_id={g.generation_id}", f"documents/{g.generation_id}", f"staged/{g.generation_id}", f"states/{g.generation_id}.json"):
+                for name in (f"cases/generation_id={g.generation_id}", f"documents/{g.generation_id}", f"staged/{g.generation_id}", f"index/{g.generation_id}", f"states/{g.generation_id}.json"):
                     self._remove(name)
                 gone.append(g.generation_id)
         return gone
