@@ -33,14 +33,14 @@ def crawl(pages: DataFrame, domains: DataFrame, source: Source) -> DataFrame:
     """
     spark = pages.sparkSession
     allow_checkpoints(spark)
-    every = page_links(pages)
+    every = page_links(pages).checkpoint()  # pages are read once, whatever the depth
     landing = source.landing_pages
     frontier = landing.select("url").distinct() if isinstance(landing, DataFrame) else spark.createDataFrame([(u,) for u in landing], "url string").distinct()
     seen, documents, n_read = None, None, 0
     for _ in range(source.max_depth + 1):
         own = classify(frontier, domains).where((F.col("source_id") == source.source_id) & part(F.col("url"), "SCHEME").eqNullSafe(F.lit("https")))
         is_pdf = F.lower(part(F.col("url"), "PATH")).endswith(".pdf")
-        found = own.where(is_pdf & F.col("original_pdf") & _allowed(F.col("url"), source.document_prefixes, source.excluded)).select("url")
+        found = own.where(is_pdf & F.col("original_pdf") & _allowed(F.col("url"), source.document_prefixes, source.excluded)).select("url").checkpoint()
         documents = found if documents is None else documents.union(found)
         room = source.max_pages - n_read
         page = own.where(~is_pdf & _allowed(F.col("url"), source.page_prefixes, source.excluded)).select("url").distinct()
