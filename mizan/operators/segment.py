@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.headers import judgment_metadata, labelled_numbers, normalize_case_number, primary_header
-from ..functions.text import ARABIC_DIGITS, key_of, normalize_arabic, normalize_signals, number_tokens, squeeze, strip, tokens_match
+from ..functions.text import ARABIC_DIGITS, SPACE, key_of, normalize_arabic, normalize_signals, number_tokens, squeeze, strip, tokens_match
 
 # Words that show structure in a page's text, and those that show a page is part of a judgment.
 STRUCTURE = (
@@ -84,6 +84,43 @@ def case_ranges(pages: DataFrame, min_start: int = MIN_START, min_tail: int = MI
     return cases.select("doc_id", "number", "page_start", "page_end", F.array_join(F.transform(within, lambda p: p["text"]), "\n").alias("text"))
 
 
+def running_cases(pages: DataFrame, min_start: int = MIN_START, min_tail: int = MIN_TAIL, max_chars: int = MAX_CASE) -> DataFrame:
+    """case_ranges with texts cut to max_chars, as a table function over the pages of a document in order: it holds the running
+    case alone, so memory does not follow the number of pages. Blanks before a case's text do not count."""
+    kinds = dict(pages.dtypes)
+
+    class Running:
+        def __init__(self):
+            self.before = self.case = None
+
+        def eval(self, row):
+            text, page = row["text"], row["page_no"]
+            if row["number"] is not None:
+                if row["number"] != self.before:
+                    yield from self.terminate()
+                    self.case = [row["doc_id"], row["number"], page, page, "", ""]  # its text, and what short pages may add
+                self.before = row["number"]
+            if self.case is None or text is None:
+                return
+            case = self.case
+            room = max_chars - len(case[4]) - len(case[5])
+            if room > 0:
+                case[5] += ("\n" + text)[:room] if case[4] or case[5] else row["lead"][:room] if row["lead"] is not None else text[:room]
+            if page == case[2] or row["long"]:
+                case[3], case[4], case[5] = page, case[4] + case[5], ""
+
+        def terminate(self):
+            if self.case is not None:
+                yield tuple(self.case[:5])
+                self.case = None
+
+    told = F.udtf(Running, returnType=f"doc_id {kinds['doc_id']}, number string, page_start {kinds['page_no']}, page_end {kinds['page_no']}, text string")
+    eligible = F.when(F.length("text") >= min_start, F.col("number"))
+    lead = F.when(F.col("text").rlike(f"^{SPACE}"), F.substring(F.regexp_replace("text", f"^{SPACE}+", ""), 1, max_chars))
+    own = pages.select("doc_id", "page_no", eligible.alias("number"), F.substring("text", 1, max_chars).alias("text"), lead.alias("lead"), (F.length(strip(F.col("text"))) >= min_tail).alias("long"))
+    return told(own.asTable().partitionBy("doc_id").orderBy("page_no"))
+
+
 def admitted(cases: DataFrame, min_chars: int = MIN_CASE, max_chars: int = MAX_CASE, version: int = PARSER_VERSION) -> DataFrame:
     """Cases of enough text that say the number of their header, cut to the most; with key and search text. cases carry url."""
     long = cases.withColumn("text", strip(F.col("text"))).where(F.length("text") >= min_chars)

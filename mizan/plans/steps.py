@@ -7,7 +7,6 @@ written pages; their rows are stated as they must be.
 from __future__ import annotations
 
 import json
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from ..config import load
 from ..functions import headers, text, urls
 from ..operators import identity, retrieve, segment, validate, workflow
 from ..operators.retrieve import Course
-from ..shared import allow_checkpoints, shared_dir
+from ..shared import allow_checkpoints, own_folder
 from ..sources import crawl, files, profiles
 from ..sources.store import CatalogStore
 from ..streaming import events as stream
@@ -98,7 +97,7 @@ FILES = {"a.pdf": b"%PDF-1.7 one", "b.pdf": b"<html>", "c.pdf": b"%PDF-" + b"0"
 
 
 def _write_files(spark: SparkSession) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    path = own_folder(spark, "files")
     jvm = spark.sparkContext._jvm
     for name, content in FILES.items():
         p = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
@@ -166,7 +165,7 @@ def backups_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store(spark: SparkSession) -> CatalogStore:
-    return CatalogStore(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    return CatalogStore(spark, own_folder(spark, "store"))
 
 
 @query("SELECT lang AS collection_id, 'ready' AS status, count(*) AS n, min(sha256(text)) AS first_sha FROM documents WHERE lang NOT IN ('fr', 'de') OR lang = 'fr' AND doc_id % 2 = 0 GROUP BY lang")
@@ -444,7 +443,7 @@ def history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_HISTORY} SELECT 'case_sent' AS event_type, source AS subject_slug, case_number, 'sha=' || pdf_sha256 AS details FROM recorded")
 def audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit table after the rows of a delivery went to its end."""
-    path = f"{shared_dir(spark).rstrip('/')}/audit-{uuid.uuid4().hex}"
+    path = own_folder(spark, "audit")
     workflow.append_audit(_sent(spark, sf_dir)[1], path)
     return spark.read.parquet(path).drop("at")
 

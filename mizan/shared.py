@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 _OWN: dict[str, str] = {}
@@ -30,3 +33,24 @@ def allow_checkpoints(spark: SparkSession) -> None:
     """Let DataFrame.checkpoint() write to the shared folder."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+_FOLDERS: list[str] = []
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own in the shared folder, for what one query writes; it goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
+    return path
+
+
+def _remove() -> None:
+    if (sc := SparkContext._active_spark_context) is None:
+        return
+    for f in _FOLDERS:
+        path = sc._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+atexit.register(_remove)
