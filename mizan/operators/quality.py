@@ -51,3 +51,14 @@ def gate(stats: DataFrame, covered: DataFrame, counters: DataFrame, min_cases: i
 
 def required_subjects(total: int, percent: int) -> int:
     return math.ceil(total * max(1, min(100, percent)) / 100)
+
+
+def latest(states: DataFrame, at: str, tie: str) -> DataFrame:
+    """The row of the latest state, by time and then by the tie: a partial maximum, no sort. No states, no row."""
+    one = states.agg(F.max_by(F.struct("*"), F.struct(at, tie)).alias("g"))
+    return one.where("g is not null").select("g.*")
+
+
+def pointed(rows: DataFrame, pointer: DataFrame, key: str) -> DataFrame:
+    """Rows of what a pointer (one row with the key) names; none where it names nothing."""
+    return rows.join(pointer.select(key), key, "left_semi")

@@ -148,3 +148,24 @@ def output_text(response: Column) -> Column:
     said = F.transform(F.filter(parts, lambda p: p["type"].isin("output_text", "text") & (F.trim(p["text"]) != "")), lambda p: p["text"])
     direct = F.when(F.trim(r["output_text"]) != "", r["output_text"])
     return F.coalesce(direct, F.nullif(F.array_join(said, ""), F.lit("")))
+
+
+def web_calls(response: Column) -> Column:
+    """array<variant> of a response's (JSON) calls of the web search, whole and in their order."""
+    items = F.try_variant_get(F.try_parse_json(response), "$.output", "array<variant>")
+    return F.coalesce(F.filter(items, lambda x: F.try_variant_get(x, "$.type", "string") == "web_search_call"), F.array().cast("array<variant>"))
+
+
+def empty_response(response: Column) -> Column:
+    """Why a response (JSON) has no text: its status, the types of its output, the reason it is incomplete, and its error; null
+    where it has text."""
+    v = F.try_parse_json(response)
+    of = lambda path, other: F.coalesce(F.nullif(F.try_variant_get(v, path, "string"), F.lit("")), F.lit(other))
+    items = F.filter(F.coalesce(F.try_variant_get(v, "$.output", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    kinds = F.transform(items, lambda x: F.concat(F.lit("'"), F.coalesce(F.try_variant_get(x, "$.type", "string"), F.lit("None")), F.lit("'")))
+    listed = F.concat(F.lit("["), F.when(F.size(kinds) > 0, F.array_join(kinds, ", ")).otherwise(F.lit("'none'")), F.lit("]"))
+    told = F.concat(
+        F.lit("The response did not contain output text (status="), of("$.status", "unknown"), F.lit(", output_types="), listed, F.lit(", incomplete_reason="), of("$.incomplete_details.reason", "none"),
+        F.lit(", error="), of("$.error.code", "none"), F.lit(")"),
+    )
+    return F.when(output_text(response).isNull(), told)

@@ -103,10 +103,13 @@ def exclusion_lines(excluded: Column) -> Column:
 
 
 def research_prompt(requests: DataFrame, heading: str = "") -> DataFrame:
-    """requests (slug, name, topics, keywords, avoid, excluded) with ``prompt``: its parts, each under its title."""
+    """requests (slug, name, topics, keywords, avoid, excluded, and if they have them suitable and focus) with ``prompt``: its parts,
+    each under its title."""
     part = lambda title, body: F.concat(F.lit(f"{title}:\n"), body)
+    more = lambda c, title: [part(title, bullets(F.col(c)))] if c in requests.columns else []
     parts = (
-        F.lit(heading) if heading else F.lit(None).cast("string"), part("المادة", F.col("name")), part("الموضوعات", bullets(F.col("topics"))), part("كلمات البحث", bullets(F.col("keywords"))), part("ما يُتجنب", bullets(F.col("avoid"))),
+        F.lit(heading) if heading else F.lit(None).cast("string"), part("المادة", F.col("name")), part("الموضوعات", bullets(F.col("topics"))),
+        *more("suitable", "أنماط القضايا المناسبة"), part("كلمات البحث", bullets(F.col("keywords"))), part("ما يُتجنب", bullets(F.col("avoid"))), *more("focus", "محاور التعليق"),
         part("قضايا مستبعدة", exclusion_lines(F.col("excluded"))),
     )
     return requests.withColumn("prompt", F.concat_ws("\n\n", *parts))

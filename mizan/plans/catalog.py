@@ -56,24 +56,6 @@ def _quote(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-_KINDS = {"s": "VARCHAR", "i": "INTEGER", "l": "BIGINT", "d": "DOUBLE", "b": "BOOLEAN"}
-
-
-def _literal(x: object) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return "true" if x else "false"
-    return " || chr(10) || ".join(map(_quote, x.split("\n"))) if isinstance(x, str) else str(x)
-
-
-def rows_sql(columns: str, rows: list[tuple]) -> str:
-    """SQL of the rows that a query must give; columns: 'name:kind', kinds s, i, l, d, b."""
-    named = [c.split(":") for c in columns.split()]
-    values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
-    return f"SELECT {', '.join(f'CAST({n} AS {_KINDS[k]}) AS {n}' for n, k in named)} FROM (VALUES {values}) AS t({', '.join(n for n, _ in named)})"
-
-
 def _n1(x: str) -> str:
     """N1 in SQL."""
     out = f"translate({x}, '{text.ARABIC_DIGITS}', '{text.ASCII_DIGITS}')"
@@ -322,22 +304,17 @@ def merge_ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def active_pointer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     pointer = orders.where("o_orderstatus = 'F'").agg(F.max("o_orderkey").alias("o_orderkey"))
-    return orders.join(F.broadcast(pointer), "o_orderkey").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return quality.pointed(orders, pointer, "o_orderkey").select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1")
 def latest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(1).select("o_orderkey", "o_orderstatus")
+    return quality.latest(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderstatus")
 
 
 _SERIES = [("a", "https://x.example/{volume}.pdf", 1, 25), ("b", "https://y.example/v/{volume}", 3, 3), ("c", None, 1, 2), ("d", "https://z.example/{volume}", 5, 4)]
 
 
-@query("SELECT id || ':v' || n AS document_id, replace(url_template, '{volume}', CAST(n AS VARCHAR)) AS url FROM (SELECT *, unnest(generate_series(first, last)) AS n FROM (VALUES " + ", ".join(f"({_quote(a)}, {_quote(b) if b else 'NULL'}, {c}, {d})" for a, b, c, d in _SERIES) + ") AS s(id, url_template, first, last)) WHERE url_template IS NOT NULL")
-def series_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.series(spark.createDataFrame(_SERIES, "id string, url_template string, first int, last int"))
-
-
 @query("""SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(replace(html, '&amp;', '&'), '(?i)href\\s*=\\s*["'']([^"'']+)["'']', 1)) AS link FROM pages)""")
 def crawl_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
@@ -418,24 +395,6 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.col("props").alias("raw"), value.alias("first_value"))
 
 
-HEADER_FIXTURES = [
-    (1, "المملكة\nالصك: ٣٣٦٥٩١٣٨ تاريخه: ١٤٣٣\nرقم الدعوى: 1990/1434\nقرار التصديق رقم: 34251262 تاريخه 1434/06/25\nالموضوعات\nنص"),
-    (2, "رقم القضية في المحكمة الإدارية 1/ق/9221 لعام 1437هـ\nرقم القضية في محكمة الاستئناف الإدارية 55\nالموضوعات\nمستند الحكم"),
-    (3, "لجنة الفصل في منازعات الأوراق المالية\nرقم القضية لدى لجنة الفصل في منازعات الأوراق المالية: 45/10\nنوع الدعوى: مدنية\nالتصنيف"),
-    (4, "المحكمة العامة\nوقد أشار المدعي في القضية رقم 5555 إلى ذلك"),
-    (5, ""),
-]
-
-
-@query(rows_sql("doc_id:i case_number:s confidence:i source:s court_name:s judgment_year:s decision_number:s labels:s", [
-    (1, "1990/1434", 7, "case-legacy", None, None, "34251262", "1990/1434"), (2, "1/ق/9221", 14, "case-bog", "المحكمة الإدارية", "1437", None, "1/ق/9221"),
-    (3, "45/10", 13, "case-crsd", "لجنة الفصل في منازعات الأوراق المالية", None, None, "45/10"), (4, None, None, None, None, None, None, "5555"), (5, None, None, None, None, None, None, ""),
-]))
-def header_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.createDataFrame(HEADER_FIXTURES, "doc_id int, text string")
-    return pages.select("doc_id", headers.primary_header("text").alias("h"), headers.judgment_metadata("text").alias("m"), F.array_join(headers.labelled_numbers("text"), ",").alias("labels")).select("doc_id", "h.*", F.col("m.court_name").alias("court_name"), F.col("m.judgment_year").alias("judgment_year"), F.col("m.decision_number").alias("decision_number"), "labels")
-
-
 @query("""WITH RECURSIVE r AS (SELECT event_id AS request_id, user_id AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 g AS (SELECT request_id, key, rn, ts + INTERVAL 30 MINUTE AS until, true AS granted FROM r WHERE rn = 1 UNION ALL
   SELECT r.request_id, r.key, r.rn, CASE WHEN r.ts > g.until THEN r.ts + INTERVAL 30 MINUTE ELSE g.until END, r.ts > g.until FROM g JOIN r ON r.key = g.key AND r.rn = g.rn + 1)

@@ -1,77 +1,20 @@
-"""Registered queries of the steps around the catalog: configuration, files, the store, headers, ranges, records, prompts.
-
-Those over tables have SQL over the same tables. What only judgments can show (headers, labels, ranges) runs over a few
-written pages; their rows are stated as they must be.
-"""
+"""Registered queries of the steps around the catalog: documents, the store, ranges, records and checks, with SQL over the same tables."""
 
 from __future__ import annotations
 
-import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import load
-from ..functions import headers, text, urls
+from ..functions import text
 from ..operators import identity, retrieve, segment, validate, workflow
 from ..operators.retrieve import Course
 from ..shared import allow_checkpoints, own_folder
 from ..sources import crawl, files, profiles
 from ..sources.store import CatalogStore
 from ..streaming import events as stream
-from .catalog import _CASES, _DIRECT_SQL, _HOST, _PAGES, _SERIES, COURSES, REGISTRY, _event_pages, _literal, _n3, _quote, _score_sql, cases, query, rows_sql, table
-
-# configuration
-
-PROFILES = [
-    ("c/trade.yaml", {"slug": "trade", "name_ar": "تجارة", "search_keywords": ["sale", "lease"], "priority_topics": ["sale"]}),
-    ("c/method.yaml", {"slug": "method", "relevance_mode": "methodological"}),
-]
-SOURCE_MAP = {"subjects": {"trade": ["moj", "bog"], "other": None}}
-
-
-@query(rows_sql("slug:s mode:s keywords:s n_terms:i preferred:s", [("trade", "direct", "sale,lease", 3, "moj,bog"), ("method", "methodological", "", 8, "")]))
-def course_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checked course records with the terms that search takes from them and their preferred sources."""
-    records = profiles.profile_records(PROFILES)
-    own = [profiles.course(records, r["slug"], profiles.source_map(SOURCE_MAP)) for r in records]
-    # a phrase that is its own only telling word counts once: sale, lease, and method's eight
-    rows = [(c.slug, c.mode, ",".join(c.keywords), len(retrieve.subject_terms(c)) + (c.mode == "direct"), ",".join(c.preferred)) for c in own]
-    return spark.createDataFrame(rows, "slug string, mode string, keywords string, n_terms int, preferred string")
-
-
-@query(rows_sql("id:s kind:s depth:i pages:i first:i last:i prefixes:s least:i most:i delay:d", [("v", "numbered_pdf_series", 1, 100, 1, 44, "", 100, 1000, 0.0), ("w", "landing_page_crawl", 0, 1, None, None, "/a/", 100, 1000, 0.0)]))
-def manifest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of a manifest; limits are kept within sense."""
-    sources, limits = profiles.manifest({
-        "sources": [{"id": "v", "source_id": "moj", "kind": "numbered_pdf_series", "volumes": {"start": 1, "end": 44}}, {"id": "w", "source_id": "bog", "kind": "landing_page_crawl", "max_depth": -3, "max_pages": 0, "allowed_path_prefixes": ["/a/"]}],
-        "min_case_text_chars": 5, "max_case_text_chars": 5, "request_delay_seconds": -1,
-    })
-    rows = [(s.id, s.kind, s.max_depth, s.max_pages, s.first, s.last, ",".join(s.document_prefixes), limits["min_case_text_chars"], limits["max_case_text_chars"], limits["request_delay_seconds"]) for s in sources]
-    return spark.createDataFrame(rows, "id string, kind string, depth int, pages int, first int, last int, prefixes string, least int, most int, delay double")
-
-
-@query(rows_sql("policy:s weights:s margin:i required:b", [("default", "40,20,15,15,10", 5, True), ("given", "40,20,7,15,10", 3, False)]))
-def scoring_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = {"weights": {"reasoning_quality": 7}, "selection": {"min_auto_accept_margin": 3, "require_score_margin_for_auto_accept": False}}
-    rows = [(name, ",".join(map(str, w.values())), margin, required) for name, (w, margin, required) in (("default", profiles.scoring({})), ("given", profiles.scoring(given)))]
-    return spark.createDataFrame(rows, "policy string, weights string, margin int, required boolean")
-
-
-@query(rows_sql("auto_accept_score:i pdf_max_pages:i reservation_ttl_minutes:i max_document_failure_ratio:d reasoning_effort:s refused:s", [(85, 10, 30, 0.35, "low", "auto_accept_score,pdf_max_pages,reasoning_effort")]))
-def settings_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defaults, then the environment, then what is given; values out of their range or set are refused."""
-    s = load({"MIZAN_AUTO_ACCEPT_SCORE": "85", "MIZAN_PDF_MAX_PAGES": "20", "MIZAN_REASONING_EFFORT": " Low"}, pdf_max_pages=10)
-    refused = []
-    for name, value in {"auto_accept_score": 101, "pdf_max_pages": 0, "reasoning_effort": "extreme", "parser_version": 7}.items():
-        try:
-            load({}, **{name: value})
-        except ValueError:
-            refused.append(name)
-    row = (s.auto_accept_score, s.pdf_max_pages, s.reservation_ttl_minutes, s.max_document_failure_ratio, s.reasoning_effort, ",".join(refused))
-    return spark.createDataFrame([row], "auto_accept_score int, pdf_max_pages int, reservation_ttl_minutes int, max_document_failure_ratio double, reasoning_effort string, refused string")
-
+from .catalog import _CASES, _DIRECT_SQL, _HOST, _PAGES, _SERIES, COURSES, REGISTRY, _event_pages, _n3, _quote, _score_sql, cases, query, table
 
 # documents and files
 
@@ -93,37 +36,6 @@ def documents_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.documents(pages, domains, [*numbered, found, off])
 
 
-FILES = {"a.pdf": b"%PDF-1.7 one", "b.pdf": b"<html>", "c.pdf": b"%PDF-" + b"0" * 500, "d.txt": b"%PDF-"}
-
-
-def _write_files(spark: SparkSession) -> str:
-    path = own_folder(spark, "files")
-    jvm = spark.sparkContext._jvm
-    for name, content in FILES.items():
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
-        out.write(bytearray(content))
-        out.close()
-    return path
-
-
-@query("SELECT * FROM (SELECT unnest(['a.pdf', 'b.pdf']) AS name, unnest([CAST(12 AS BIGINT), 6]) AS size_bytes, unnest([sha256('%PDF-1.7 one'), sha256('<html>')]) AS sha256, unnest([true, false]) AS is_pdf)")
-def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files within the size bound, with their digest and whether they begin as PDF does."""
-    return files.documents(spark, _write_files(spark), max_bytes=100).select(F.element_at(F.split("path", "/"), -1).alias("name"), "size_bytes", "sha256", "is_pdf")
-
-
-@query(rows_sql("page_no:i engine_rank:i text:s", [(1, 0, "%PDF-1.7 one"), (2, 0, ""), (1, 2, "other"), (1, 0, "<html>"), (2, 0, ""), (1, 2, "other")]))
-def pages_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each engine reads; one that fails gives none."""
-
-    def broken(content: bytes) -> list[str]:
-        raise ValueError("no such format")
-
-    docs = files.documents(spark, _write_files(spark), max_bytes=100)
-    return files.page_texts(docs, [lambda c: [c.decode(), None], broken, lambda c: ["other"]]).select("page_no", "engine_rank", "text")
-
-
 @query("SELECT page_id, concat_ws(',', CASE WHEN page_id % 5 = 0 THEN 'no pdf' END, CASE WHEN page_id % 3 = 0 THEN 'encrypted' END, CASE WHEN page_id % 7 = 0 THEN 'no pages' END, CASE WHEN page_id % 7 * 300 > 1500 THEN 'too many pages' END) AS faults FROM pages")
 def pdf_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
@@ -131,18 +43,6 @@ def pdf_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(faults, ",").alias("faults"))
 
 
-_URLS = {
-    "https://a.example/x.pdf": "", "http://a.example/": "not https", "https://u:p@a.example/": "credentials", "https://a.example:8443/": "port", "https://10.0.0.1/x": "address not public", "https://[::1]/": "address not public",
-    "https://8.8.8.8:443/": "", "ftp://u@192.168.1.1:21/": "not https,credentials,port,address not public",
-}
-
-
-@query(rows_sql("url:s faults:s", list(_URLS.items())))
-def url_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(u,) for u in _URLS], "url string")
-    return rows.select("url", F.array_join(urls.url_faults(F.col("url"), F.lit(True)), ",").alias("faults"))
-
-
 @query("SELECT event_id, 'cases-' || strftime(ts, '%Y%m%dT%H%M%SZ') || '.parquet' AS name FROM events")
 def utc_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", files.backup_name("cases", F.col("ts").cast("timestamp")).alias("name"))
@@ -156,11 +56,6 @@ def stale_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.stale(e, F.lit(newest), 6).select("event_id")
 
 
-@query(rows_sql("path:s", [("b-20240101T000000Z",), ("b-20240102T000000Z",), ("b-20240103T000000Z",)]))
-def backups_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.surplus_backups(spark.createDataFrame([(f"b-2024010{i}T000000Z",) for i in (3, 1, 5, 2, 4)], "path string"), 2)
-
-
 # the store
 
 
@@ -183,24 +78,6 @@ def store_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy("collection_id").agg(F.lit(active.status).alias("status"), F.count("*").alias("n"), F.min(F.sha2("text", 256)).alias("first_sha"))
 
 
-@query(rows_sql("step:s status:s seen:i cases:i error:s readable:b", [("1", "superseded", 9, 5, None, False), ("2", "failed", 0, 0, "gate", False), ("3", "ready", 4, 2, None, True)]))
-def generation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States of three generations: replaced, failed, read; and which one readers of version 6 may use."""
-    store, ids = _store(spark), []
-    one = spark.createDataFrame([("x", "k", "t")], "collection_id string, catalog_key string, text string")
-    for counters in ({"documents_seen": 9, "cases_indexed": 5}, None, {"documents_seen": 4, "cases_indexed": 2}):
-        g = store.begin(6)
-        ids.append(g.generation_id)
-        if counters is None:
-            store.finish(g, "failed", "gate", documents_seen=-7)
-        else:
-            store.write_cases(g, one)
-            store.promote(store.finish(g, "building", **counters))
-    active = store.active(6)
-    rows = [(str(ids.index(g.generation_id) + 1), g.status, g.documents_seen, g.cases_indexed, g.last_error, active.generation_id == g.generation_id and store.active(5) is None) for g in store.states()]
-    return spark.createDataFrame(rows, "step string, status string, seen int, cases int, error string, readable boolean")
-
-
 @query("SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'indexed' ELSE 'seen' END AS status, greatest(0, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 ELSE doc_id % 5 - 2 END) AS case_count, doc_id % 2 = 0 AS wanted FROM labels")
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of documents, a third of them written again, and whether a list of documents finds them indexed."""
@@ -229,9 +106,6 @@ def store_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # pages and cases
 
-LEGACY = "المملكة\nرقم الصك: 33659138\nرقم الدعوى: 1990/1434\nقرار التصديق رقم: 34251262 تاريخه 1434/06/25\nالموضوعات\nنص"
-MODERN = "محكمة الدرجة الأولى: المحكمة العامة بالرياض\nرقم القضية: ٣٤١٨١٦١٢ تاريخها: ١٤٣٤\nرقم القرار: ٣٥٢٦٢٩٧٤ تاريخه: ١٤٣٥/٠٦/٠٢\nمحكمة الاستئناف: محكمة الاستئناف بمكة"
-BODY = "نزاع تجاري بين تاجر ومورد حول عقد توريد بضائع " * 20
 
 
 @query(f"WITH {_PAGES} SELECT doc_id, page_no, sha256(text) AS text_sha256 FROM pages_ WHERE page_no BETWEEN 2 AND 4 AND doc_id IN (SELECT doc_id FROM pages_ GROUP BY 1 HAVING max(page_no) >= 4)")
@@ -260,105 +134,8 @@ def extractable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.extractable(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id")
 
 
-@query(rows_sql("id:i number:s n_chars:i", [(1, "1990/1434", 1026), (4, "1990/1434", 1500)]))
-def case_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases that are long enough and whose text says the number of their header: not another's, not none, not a short one."""
-    whole = f"{LEGACY}\n{BODY}"
-    rows = [(1, "1990/1434", f"  {whole}\n"), (2, "7", whole), (3, "1990/1434", LEGACY), (4, "1990/1434", whole * 2), (5, "1990/1434", BODY)]
-    own = spark.createDataFrame([(*r, "u", 1, 2) for r in rows], "id int, number string, text string, url string, page_start int, page_end int")
-    return segment.admitted(own, max_chars=1500).select("id", "number", F.length("text").alias("n_chars"))
-
-
-@query(rows_sql("hint_start:i expected:s number:s page_start:i page_end:i", [(3, None, "77", 8, 8), (7, "77", "77", 8, 9), (1, "436", "34", 5, 7), (4, "77", "77", 8, 9)]))
-def hinted_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hinted ranges moved to the headers near them: the expected number, else the nearest in the hint, else the nearest."""
-    numbers = {5: "34", 8: "77", 10: "99"}
-    pages = [("d", i, "المدعي " * 60, numbers.get(i)) for i in range(1, 13)] + [("e", i, "المدعي " * 60, "77" if i == 8 else None) for i in range(1, 12)]
-    pages = spark.createDataFrame(pages, "doc_id string, page_no int, text string, number string")
-    hints = spark.createDataFrame([("e", 3, 5, None), ("d", 7, 11, "77"), ("d", 1, 9, "436"), ("d", 4, 9, "77"), ("d", 40, 41, None)], "doc_id string, hint_start int, hint_end int, expected string")
-    return segment.refine_ranges(hints, pages).select("hint_start", "expected", "number", "page_start", "page_end")
-
-
-@query(rows_sql("expected:s page_start:i page_end:i", [("7", 2, 3), ("8", 5, 24)]))
-def located_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of the expected case: up to the next other header or twenty pages, without decorative ones at the end."""
-    long, short = "المدعي " * 60, "صفحة"
-    pages = [("d", 1, long, None), ("d", 2, long, "7"), ("d", 3, long, None), ("d", 4, short, None), *(("d", i, long, "8" if i in (5, 6) else None) for i in range(5, 31))]
-    wanted = spark.createDataFrame([("d", "7"), ("d", "8"), ("d", "9")], "doc_id string, expected string")
-    return segment.locate(wanted, spark.createDataFrame(pages, "doc_id string, page_no int, text string, number string")).select("expected", "page_start", "page_end")
-
-
-_EXTRACTS = [("ok", 1, LEGACY, "1990/1434"), ("ok", 2, "نص", "1990/1434"), ("tail", 1, "نص", "1990/1434"), ("tail", 2, LEGACY, "1990/1434"), ("other", 1, LEGACY, None), ("other", 2, MODERN, None), ("wrong", 1, LEGACY, "7"), ("tokens", 1, "see 12345 there", "12345"), ("none", 1, "nothing", "12345"), ("label", 1, "القضية رقم 5555", "5555")]
-
-
-def _extracts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_EXTRACTS, "doc_id string, page_no int, text string, expected string")
-
-
-@query(rows_sql("doc_id:s verified:b", [("ok", True), ("tail", False), ("other", False), ("wrong", False), ("tokens", True), ("none", False), ("label", True)]))
-def single_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By headers if there are any, else by labels, else by the number's digits on one page."""
-    return segment.verify_single_case(_extracts(spark)).select("doc_id", "verified")
-
-
-_SHA = {d: "\f".join(t for x, _, t, _ in _EXTRACTS if x == d) for d, *_ in _EXTRACTS}
-
-
-@query("SELECT doc_id, fault, number, sha256(t) AS sha256 FROM (VALUES " + ", ".join(
-    f"({_literal(d)}, {_literal(fault)}, {_literal(number)}, {' || chr(12) || '.join(map(_literal, _SHA[d].split(chr(12))))})"
-    for d, fault, number in [("ok", None, "1990/1434"), ("tail", "no header first", None), ("other", "another case on page 2", "1990/1434"), ("wrong", "starts with another case", "1990/1434"), ("tokens", "no header first", None), ("none", "no header first", None), ("label", "no header first", None)]
-) + ") AS v(doc_id, fault, number, t)")
-def extract_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workflow.validate_extracts(_extracts(spark))
-
-
-@query(rows_sql("doc_id:s case_number:s decision_number:s decision_date:s", [("ok", "1990/1434", "34251262", "1434/06/25"), ("other", "1990/1434", "34251262", "1434/06/25"), ("wrong", "1990/1434", "34251262", "1434/06/25")]))
-def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata of documents that begin with a header, from their first page."""
-    return workflow.document_metadata(_extracts(spark), header_required=True).select("doc_id", *(F.col(f"metadata.{c}").alias(c) for c in ("case_number", "decision_number", "decision_date")))
-
-
 # numbers, names and texts
 
-_NUMBERS = {"(٣٤/١)": "34/1", "12 هـ": "12", "abc": None, "55لعام1437": "55", "1ـ2": "12", " :-٩/ق/١٤٣٧. ": "9/ق/1437", "１２": "12"}
-
-
-@query(rows_sql("value:s number:s", list(_NUMBERS.items())))
-def case_number_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in _NUMBERS], "value string").select("value", headers.normalize_case_number("value").alias("number"))
-
-
-_LABELS = [
-    ("label", "المحكمة\nوقد أشار في القضية رقم 5555 ثم الدعوى رقم 66/1 والقضية رقم 5555", "5555,66/1"),
-    ("decision", "لجان الفصل في المنازعات والمخالفات التأمينية\nالقرار رقم: 1432-112", "1432-112"),
-    ("no committee", "القرار رقم: 1432-112", ""),
-    ("reversed", "\n".join(x[::-1] for x in "المحكمة\nالقضية رقم 5555".split("\n")), "5555"),
-]
-
-
-@query(rows_sql("id:s numbers:s", [(i, n) for i, _, n in _LABELS]))
-def labelled_case_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers behind labels by place; a committee's decisions where there is no case; lines also from their ends."""
-    return spark.createDataFrame([x[:2] for x in _LABELS], "id string, text string").select("id", F.array_join(headers.labelled_numbers("text"), ",").alias("numbers"))
-
-
-_HEADED = {
-    "legacy": (LEGACY, "1990/1434", "case-legacy", None, None), "modern": (MODERN, "34181612", "case-modern", "المحكمة العامة بالرياض", "محكمة الاستئناف بمكة"),
-    "legacy reversed": ("\n".join(x[::-1] for x in LEGACY.split("\n")), "1990/1434", "case-legacy", None, None),
-    "securities": ("لجنة الفصل في منازعات الأوراق المالية\nرقم القضية لدى لجنة الفصل في منازعات الأوراق المالية: 45/10\nنوع الدعوى: مدنية\nالتصنيف", "45/10", "case-crsd", "لجنة الفصل في منازعات الأوراق المالية", None),
-    "insurance": ("لجان الفصل في المنازعات والمخالفات التأمينية\nرقم الدعوى: 370841\nنوع الوثيقة: تأمين\nالتصنيف الموضوعي", "370841", "case-idc", None, None),
-    "tax": ("اللجنة الجمركية للزكاة\nالدائرة الاستئنافية\nالاستئناف المقيد برقم (136308-2022Z)\nمنطوق القرار", "136308-2022Z", "case-gstc", None, None),
-    "reference": ("المحكمة العامة\nوقد أشار المدعي في القضية رقم 5555 إلى ذلك", None, None, None, None), "short court": ("محكمة الدرجة الأولى: بعد\nنص", None, None, None, None), "empty": ("", None, None, None, None),
-}
-
-
-@query(rows_sql("page:s number:s source:s court:s appeal_court:s", [(k, *v[1:]) for k, v in _HEADED.items()]))
-def header_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grammar that names a page's case, and the courts that its labels give."""
-    pages = spark.createDataFrame([(k, v[0]) for k, v in _HEADED.items()], "page string, text string")
-    read = pages.select("page", headers.primary_header("text").alias("h"), headers.judgment_metadata("text").alias("m"))
-    return read.select("page", F.col("h.case_number").alias("number"), F.col("h.source").alias("source"), F.col("m.court_name").alias("court"), F.col("m.appeal_court_name").alias("appeal_court"))
-
 
 _N2 = f"translate({_n3('text')}, '{text.ARABIC_DIGITS}', '{text.ASCII_DIGITS}')"
 _N5 = f"lower(regexp_replace(translate(text, '{text.ARABIC_DIGITS}', '{text.ASCII_DIGITS}'), '\\s+', '', 'g'))"
@@ -372,26 +149,6 @@ def other_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *(F.sha2(f(F.col("text")), 256).alias(n) for n, f in forms.items()))
 
 
-_TEXTS = [
-    (1, "x\nالمحكمة  العامة بالرياض.\nصدر عام ١٤٣٧", None, "المحكمة العامة بالرياض. صدر عام ١٤٣٧", "1437", "المحكمة العامة بالرياض"), (2, "رقم الصك 12 في المحكمة\nنزاع حول عقد توريد", "12", "", None, "نزاع حول عقد توريد"),
-    (3, "x", "12", "", None, "قضية رقم 12"), (4, "123 456 789 012", None, "", None, "حكم قضائي منشور"),
-]
-
-
-@query(rows_sql("id:i court:s year:s title:s", [(i, c or None, y, t) for i, _, _, c, y, t in _TEXTS]))
-def texts_told(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Court, year and title of texts without a known header."""
-    rows = spark.createDataFrame([x[:3] for x in _TEXTS], "id int, text string, number string")
-    return rows.select("id", text.detect_court(F.col("text")).alias("court"), text.detect_year(F.col("text")).alias("year"), text.make_title(F.col("text"), F.col("number")).alias("title"))
-
-
-@query(rows_sql("slug:s pos:i term:s", [("commerce", i, t) for i, t in enumerate(("thion ing", "eraner", "the and", "ndred", "thion"))] + [("procedure", i, t) for i, t in enumerate(("nicht", "enver schung", "und der", "enver", "schung"))]))
-def course_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrases, then their telling words, each once."""
-    rows = [(c.slug, i, t) for c in COURSES[:2] for i, t in enumerate(retrieve.subject_terms(c))]
-    return spark.createDataFrame(rows, "slug string, pos int, term string")
-
-
 @query("SELECT page_id, substr(trim(regexp_replace(url, '[^0-9A-Za-z_-]+', '-', 'g'), '-_'), 1, 80) AS name, CASE WHEN page_id * 37 < 1024 THEN (page_id * 37) || ' B' WHEN page_id * 37 < 1048576 THEN printf('%.1f KB', page_id * 37 / 1024.0) ELSE printf('%.1f MB', page_id * 37 / 1048576.0) END AS size FROM pages")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.safe_filename(F.col("url")).alias("name"), text.human_size(F.col("page_id") * 37).alias("size"))
@@ -548,34 +305,8 @@ def search_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.rounds(lambda excluded, i: nation.join(excluded, "key", "left_anti").orderBy("key").limit(4), nation.where("key = 1").select("key"), 3, 5)
 
 
-_REQUEST = ("trade", "تجارة", ["عقد", "بيع"], ["تاجر"], [], [("12", "محكمة", ""), (None, "", "https://x.example/1")])
-_PROMPT = "\n\n".join((
-    "HEAD", "المادة:\nتجارة", "الموضوعات:\n- عقد\n- بيع", "كلمات البحث:\n- تاجر", "ما يُتجنب:\n- لا يوجد",
-    "قضايا مستبعدة:\n- رقم القضية: 12 | المحكمة: محكمة | الرابط: غير متوفر\n- رقم القضية: غير متوفر | المحكمة: غير متوفرة | الرابط: https://x.example/1",
-))
-
-
-@query(rows_sql("slug:s prompt:s", [("trade", _PROMPT)]))
-def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = spark.createDataFrame([_REQUEST], "slug string, name string, topics array<string>, keywords array<string>, avoid array<string>, excluded array<struct<case_number:string,court_name:string,source_url:string>>")
-    return workflow.research_prompt(requests, "HEAD").select("slug", "prompt")
-
-
 # checks and answers
 
-_DRAFT = dict.fromkeys(validate.SECTIONS, "نص سليم") | {"judgment_text": "المادة 87", "expected_case_number": "12"}
-_DRAFTS = [
-    ({}, ""), ({"title": " "}, "empty section"), ({"legal_issue": "**x** AI"}, "forbidden: ** | markdown | ai reference"), ({"legal_issue": "*بند"}, "markdown"), ({"legal_issue": "a * b"}, ""), ({"court_reasoning": "المادة 78"}, "unsupported articles: 78"),
-    ({"court_reasoning": "القضية رقم 99"}, "foreign case: 99"), ({"court_reasoning": "القضية رقم 99", "expected_case_number": None}, ""), ({"title": "ChatGPT", "legal_issue": None}, "empty section | forbidden: ChatGPT"), ({"title": "paid"}, ""),
-]
-
-
-@query(rows_sql("id:i violations:s", [(i, v) for i, (_, v) in enumerate(_DRAFTS)]))
-def draft_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, *(x[c] for c in validate.SECTIONS), ["r"], x["judgment_text"], x["expected_case_number"]) for i, x in enumerate(_DRAFT | d for d, _ in _DRAFTS)]
-    drafts = spark.createDataFrame(rows, "id int, " + ", ".join(f"{c} string" for c in validate.SECTIONS) + ", references array<string>, judgment_text string, expected_case_number string")
-    return validate.violations(drafts).select("id", F.array_join("violations", " | ").alias("violations"))
-
 
 @query(f"SELECT doc_id, concat_ws(',', CASE WHEN NOT contains({_N6}, 'src' || (doc_id % 3)) THEN 'source' END, CASE WHEN doc_id % 2 = 1 THEN 'year' END) AS missing FROM documents")
 def missing_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -604,20 +335,6 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.parse_sse(lines)
 
 
-_EVENTS = [
-    ("done", 1, None, {"type": "response.output_text.delta", "delta": "He"}), ("done", 2, None, {"type": "response.output_text.delta", "delta": "y"}), ("done", 3, None, {"type": "response.output_text.done", "text": "ignored"}), ("done", 4, None, {"type": "response.completed", "response": {"status": "completed", "output_text": "Hey"}}),
-    ("open", 1, "response.output_text.done", {"text": "only"}), ("open", 2, None, {"type": "response.output_item.done", "item": {"id": "a"}}), ("open", 3, None, {"type": "response.output_item.done", "item": {"id": "a"}}), ("open", 4, None, {"type": "response.output_item.done", "item": {}}), ("open", 5, None, {"type": "response.output_item.done", "item": {}}),
-    ("bad", 1, None, "{no"), ("none", 1, None, {"type": "ping"}), ("cut", 1, None, {"type": "response.output_text.delta", "delta": "part"}), ("cut", 2, None, {"type": "response.incomplete", "response": {"status": "incomplete"}}),
-]
-
-
-@query(rows_sql("stream_id:s status:s text:s n_items:i error:s", [("done", "completed", "Hey", 0, None), ("open", "completed", "only", 3, None), ("bad", "error", None, 0, "invalid json"), ("none", "error", None, 0, "no final response"), ("cut", "incomplete", "part", 0, None)]))
-def sse_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items count once by id, those without one each; a done text counts only without pieces; the last terminal event wins."""
-    rows = [(s, n, e, d if isinstance(d, str) else json.dumps(d)) for s, n, e, d in _EVENTS]
-    return stream.fold_batch(spark.createDataFrame(rows, "stream_id string, seq int, event string, data string"))
-
-
 # candidates of all courses
 
 

@@ -4,10 +4,10 @@ from pathlib import Path
 
 import pytest
 
-from mizan.plans import catalog, live, steps
+from mizan.plans import catalog, derived, live, steps
 
 TABLES = Path("/root/testdata/sf0.001")
-NAMES = [n for n, f in catalog.queries().items() if f.__module__ in (steps.__name__, live.__name__)]
+NAMES = [n for n, f in catalog.queries().items() if f.__module__ in (steps.__name__, live.__name__, derived.__name__)]
 
 
 @pytest.fixture(scope="module")
