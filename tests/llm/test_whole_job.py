@@ -124,3 +124,39 @@ def test_account_numbers_before_capital_words(spark):
     texts = ["iban DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89 3704 0044 0532 0130 00 2024", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 01 BIC"]
     got = {r["doc_id"]: [(x["s"], x["e"]) for x in r["iban"]] for r in pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0: [(5, 32)], 1: [(0, 27)], 2: [(0, 27)], 3: []}
+
+
+def test_an_article_stays_whole(spark):
+    """A paragraph that all stories share, one that is mostly a link, and the answers of an interview belong to the article."""
+    lead = "<p>This is the lead that the editors put before each of the stories of this series.</p>"
+    link = lambda i: f"<p>See <a href='/r{i}'>the whole report number {i} of the commission on its own page</a></p>"
+    answers = lambda i: "".join(f"<div class='qa'><p>Anna</p><p>Answer {k} of {i}, which is long enough to be read as a paragraph.</p></div>" for k in range(3 + i % 3))
+    said = lambda i: "\n".join(f"Anna\nAnswer {k} of {i}, which is long enough to be read as a paragraph." for k in range(3 + i % 3))
+    menu = "<nav><a href='/'>Home</a></nav><div><a href='/a'>News of the day</a> <a href='/b'>Sport</a></div>"
+    foot = "<div><p>All that is on this site may be read by all.</p></div>"
+    head, linked = "This is the lead that the editors put before each of the stories of this series.", lambda i: f"See the whole report number {i} of the commission on its own page"
+    bodies = {
+        "lead.example": (lambda i: f"<body>{menu}<div>{lead}{story(i)}</div>{foot}</body>", lambda i: f"{head}\n{story_text(i)}"),
+        "link.example": (lambda i: f"<body>{menu}<div>{story(i, 2)}{link(i)}{story(i + 50, 2)}</div>{foot}</body>", lambda i: f"{story_text(i, 2)}\n{linked(i)}\n{story_text(i + 50, 2)}"),
+        "talk.example": (lambda i: f"<body>{menu}<article>{story(i, 1)}{answers(i)}</article>{foot}</body>", lambda i: f"{story_text(i, 1)}\n{said(i)}"),
+        "alone.example": (lambda i: f"<body>{menu}<article><h1>Title {i}</h1>{answers(i)}</article>{foot}</body>", lambda i: f"Title {i}\n{said(i)}"),
+    }
+    rows = [(100 * h + i, f"http://{host}/{i}", body(i)) for h, (host, (body, _)) in enumerate(bodies.items()) for i in range(6)]
+    got = extracted(spark, rows)
+    want = [text for _, text in bodies.values()]
+    wrong = {k: (got[k], want[k // 100](k % 100)) for k in got if got[k] != want[k // 100](k % 100)}
+    assert not wrong, list(wrong.items())[:2]
+
+
+def test_menus_and_notices_beside_an_article_stay_out(spark):
+    """What repeats beside the region, links beside links, and headings without text after them are no part of it."""
+    links = "".join(f"<p><a href='/{k}'>More of this kind, part {k}</a></p>" for k in range(4))
+    bodies = {
+        "more.example": lambda i: f"<body><div>{story(i)}<div>{links}</div></div><div><p>Terms and conditions of this site.</p></div></body>",
+        "head.example": lambda i: f"<body><div><h3>Our stories</h3>{story(i)}<h3>Read on</h3></div></body>",
+        "side.example": lambda i: f"<body><div class='notice'><p>We use cookies on this site.</p></div><div>{story(i)}</div></body>",
+    }
+    rows = [(100 * h + i, f"http://{host}/{i}", body(i)) for h, (host, body) in enumerate(bodies.items()) for i in range(6)]
+    got = extracted(spark, rows)
+    wrong = {k: got[k] for k in got if got[k] != story_text(k % 100)}
+    assert not wrong, list(wrong.items())[:2]
