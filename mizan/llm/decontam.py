@@ -37,6 +37,8 @@ CHUNK = 1 << 18
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 32 for b in range(256))
 _NO_TERM, _DOC_END, _ITEM_END = -3, -1, -2
+#: More than any term's frequency in a shard.
+_NONE = 1 << 40
 
 
 def words(text: str | None) -> list[bytes]:
@@ -144,29 +146,52 @@ def search(shard: dict[str, np.ndarray], q: Queries) -> np.ndarray:
     for i in range(0, len(open_), CHUNK):
         w = open_[i : i + CHUNK]
         cells = q.start[w][:, None] + np.arange(window)
-        f = np.where((np.arange(window) < q.width[w][:, None]) & (frequency[np.minimum(cells, q.length - 1)] > 0), frequency[np.minimum(cells, q.length - 1)], np.iinfo(np.int64).max)
-        rarest = np.argsort(f, axis=1, kind="stable")[:, :3]
-        chosen = np.take_along_axis(f, rarest, 1) < np.iinfo(np.int64).max
+        f = frequency[np.minimum(cells, q.length - 1)]
+        valid = (np.arange(window) < q.width[w][:, None]) & (f > 0)
+        # frequency and offset in one number, so that the three least need no whole sort
+        least = np.partition(np.where(valid, f, _NONE) << 16 | np.arange(window), range(min(3, window)), axis=1)[:, :3]
+        rarest, chosen = least & 0xFFFF, least >> 16 < _NONE
         chosen[:, 1:] &= near[w][:, None]
         anchors.append((q.start[w][:, None] + rarest)[chosen])
     anchors = np.unique(np.concatenate(anchors)) if anchors else np.zeros(0, np.int64)
     item_of = np.searchsorted(q.first, anchors, "right") - 1
-    cuts = np.cumsum(frequency[anchors])
-    out, begin = [], 0
-    while begin < len(anchors):
-        end = max(begin + 1, int(np.searchsorted(cuts, (cuts[begin - 1] if begin else 0) + CHUNK, "right")))
-        own, n = anchors[begin:end], frequency[anchors[begin:end]]
-        ends = np.cumsum(n)
-        at = positions[np.arange(ends[-1]) + np.repeat(heads[wanted[own]] - (ends - n), n)]
-        place, item = np.repeat(own, n), np.repeat(item_of[begin:end], n)
+    # each place of an anchor's list is an alignment; so many at a time, also within one list
+    cuts, out = np.cumsum(frequency[anchors]), []
+    for lo in range(0, int(cuts[-1]) if len(cuts) else 0, CHUNK):
+        flat = np.arange(lo, min(lo + CHUNK, int(cuts[-1])))
+        k = np.searchsorted(cuts, flat, "right")
+        place, item = anchors[k], item_of[k]
+        at = positions[heads[wanted[place]] + flat - (cuts[k] - frequency[place])]
         alive = (stream[at + 1] == wanted[place + 1]) | (stream[at - 1] == wanted[place - 1]) | (q.sizes[item] == 1)
-        out.append(_grown(stream, wanted, at[alive], place[alive], item[alive], np.minimum(q.sizes[item[alive]], window), window))
-        begin = end
-    rows = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64)
+        grown = _grown(stream, wanted, at[alive], place[alive], item[alive], np.minimum(q.sizes[item[alive]], window), window)
+        out.append(_joined(grown, q.sizes, window))
+    rows = _joined(np.concatenate(out), q.sizes, window) if out else np.zeros((0, 4), np.int64)
     doc = np.searchsorted(starts, rows[:, 2], "right") - 1
     return np.column_stack((doc, rows[:, 0], rows[:, 1], rows[:, 2] - starts[doc], rows[:, 3] - starts[doc]))
 
 
+def _joined(rows: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
+    """Distinct matches; phrases of one item that share all but one word of a window are one, as every window of both is within
+    it. So a document of one word over and over gives a few rows, not one for each of its words."""
+    rows = np.unique(rows, axis=0)  # by item, then proximity before phrases, then place
+    if not len(rows):
+        return rows
+    fresh = np.ones(len(rows), bool)
+    # the furthest end so far of the same item's phrases: ends made to grow from group to group
+    group = np.cumsum(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
+    span = int(rows[:, 3].max()) + 2
+    end = np.maximum.accumulate(rows[:, 3] + group * span) - group * span
+    width = np.minimum(sizes[rows[:, 0]], window)
+    same = (group[1:] == group[:-1]) & (rows[1:, 1] == 1)
+    fresh[1:] = ~(same & (rows[1:, 2] <= end[:-1] - width[1:] + 2))
+    heads = np.flatnonzero(fresh)
+    out = rows[heads]
+    out[:, 3] = end[np.append(heads[1:], len(rows)) - 1]
+    near = out[:, 1] == 0
+    out[near, 3] = rows[heads[near], 3]
+    return out
+
+
 def _grown(stream: np.ndarray, wanted: np.ndarray, at: np.ndarray, place: np.ndarray, item: np.ndarray, width: np.ndarray, window: int) -> np.ndarray:
     """Rows (item, 1 if a phrase, first, last) of the alignments of a place of an item with a place of the shard that grow to
     a match."""

@@ -95,5 +95,5 @@ def test_run_leaves_nothing_but_its_result(spark, tmp_path):
 
 def test_registered():
     names = list(queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(oracle_sql()) <= set(names)

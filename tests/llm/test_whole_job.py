@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from mizan.llm import langid, packing, pii, secrets, wrappers
+from mizan.llm import decontam, langid, packing, pii, secrets, wrappers
 from mizan.llm.queries import tokenizer_path
 
 
@@ -160,3 +160,28 @@ def test_menus_and_notices_beside_an_article_stay_out(spark):
     got = extracted(spark, rows)
     wrong = {k: got[k] for k in got if got[k] != story_text(k % 100)}
     assert not wrong, list(wrong.items())[:2]
+
+
+def test_a_document_of_one_word_over_and_over(spark, monkeypatch):
+    """Alignments are worked on in parts of one list, and phrases that lie over each other are one."""
+    monkeypatch.setattr(decontam, "CHUNK", 1000)
+    docs = spark.createDataFrame([(1, "word " * 30_000), (2, "word " * 12), (3, "other " + "word " * 20 + "end"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "word " * 13), ("b", "word word"), ("c", "end")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontam.contamination(docs, items).collect()}
+    assert got == {1: (30_000, 30_000, ["a", "b"]), 2: (12, 12, ["b"]), 3: (22, 21, ["a", "b", "c"]), 4: (0, 0, [])}
+    _, found = decontam.find(docs, items)
+    assert found.where("doc_id = 1 and kind = 'phrase'").count() == 2
+
+
+def test_joined_phrases():
+    """Joined where every window of both lies in one of them, and nowhere else."""
+    rnd = random.Random(6)
+    for _ in range(60):
+        sizes, window = np.array([20, 4]), 5
+        rows = [(item, rnd.randint(0, 1), a, a + min(sizes[item], window) - 1 + rnd.randint(0, 4)) for item in (0, 1) for a in rnd.sample(range(60), 12)]
+        got = decontam._joined(np.array(rows), sizes, window)
+        for item in (0, 1):
+            w = min(sizes[item], window)
+            windows = lambda rs: {k for i, kind, a, b in rs if (i, kind) == (item, 1) for k in range(a, b - w + 2)}  # noqa: E731, B023
+            assert windows(rows) == windows(got.tolist())
+        assert {tuple(r) for r in got.tolist() if r[1] == 0} == {r for r in rows if r[1] == 0}
