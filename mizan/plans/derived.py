@@ -17,7 +17,7 @@ from ..functions.text import ARABIC_DIGITS
 from ..operators import reports, retrieve, segment, validate, workflow
 from ..operators.retrieve import Course
 from ..shared import own_folder
-from ..sources import files, profiles
+from ..sources import files, pages, profiles
 from ..sources.store import CatalogStore
 from ..streaming import events as stream
 from .catalog import _quote, query, table
@@ -484,3 +484,14 @@ def empty_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = keys(spark, sf_dir).select("key", _filled(F.col("key"), [e[0] for e in _EMPTY]).alias("said"))
     calls = F.array_join(F.transform(validate.web_calls(F.col("said")), lambda x: F.try_variant_get(x, "$.id", "string")), ",")
     return said.select("key", validate.empty_response(F.col("said")).alias("why"), calls.alias("calls"))
+
+
+@query("""SELECT role, CAST((rn - 1) % 200 + 1 AS INTEGER) AS page_no, sha256(text) AS text_sha256 FROM (SELECT role, replace(coalesce(text, ''), chr(12), ' ') AS text, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS rn FROM conversations)""")
+def pages_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as pages of documents, two hundred in a file, and read back by shares of each file."""
+    path = own_folder(spark, "pages")
+    said = table(spark, sf_dir, "conversations").select("role", "conv_id", "turn", F.replace(F.coalesce("text", F.lit("")), F.lit("\f"), F.lit(" ")).alias("text"))
+    rows = said.repartition("role").sortWithinPartitions("role", "conv_id", "turn").select("role", "text")
+    rows.write.partitionBy("role").option("lineSep", "\f").option("maxRecordsPerFile", 200).text(path)
+    read = pages.read_pages(spark, path, suffix=".txt", bytesPerTask=10_000)
+    return read.select(F.regexp_extract("path", "role=([^/]*)/", 1).alias("role"), "page_no", F.sha2("text", 256).alias("text_sha256"))
