@@ -65,6 +65,17 @@ def _build(spark: SparkSession, store: CatalogStore, g: Generation, pages: DataF
     return True, ""
 
 
+def coverage_code(spark: SparkSession, store: CatalogStore, courses: list[retrieve.Course], settings: Settings) -> int:
+    """Say how many candidates each course has in what is read; 1 if a course has none, 2 if nothing is read."""
+    if (active := store.active(settings.parser_version)) is None:
+        return 2
+    accepted = accepted_by_course(store.cases(active.generation_id), courses, max(5, settings.min_candidates_per_subject))
+    rows = quality.coverage(accepted, spark.createDataFrame([(c.slug,) for c in courses], "slug string"), settings.min_candidates_per_subject).orderBy("slug").collect()
+    for r in rows:
+        print(r["status"], r["n"], r["slug"], sep="\t")
+    return int(any(r["status"] == "missing" for r in rows))
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="mizan", description=__doc__)
     p.add_argument("command", choices=("stats", "coverage", "refresh"))
@@ -88,10 +99,7 @@ def main(argv: list[str] | None = None) -> int:
         for r in quality.catalog_stats(cases).collect():
             print(*(f"{k}={v}" for k, v in r.asDict().items()))
         return 0
-    rows = quality.coverage(accepted_by_course(cases, courses, max(5, settings.min_candidates_per_subject)), spark.createDataFrame([(c.slug,) for c in courses], "slug string"), settings.min_candidates_per_subject).orderBy("slug").collect()
-    for r in rows:
-        print(r["status"], r["n"], r["slug"], sep="\t")
-    return int(any(r["status"] == "missing" for r in rows))
+    return coverage_code(spark, store, courses, settings)
 
 
 if __name__ == "__main__":

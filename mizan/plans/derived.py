@@ -7,14 +7,16 @@ digits, {a} the same in Arabic digits, {o} a byte); SQL says from the same key w
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import __main__ as command
 from ..config import load
 from ..functions import headers, text, urls
 from ..functions.text import ARABIC_DIGITS
-from ..operators import reports, retrieve, segment, validate, workflow
+from ..operators import quality, reports, retrieve, segment, validate, workflow
 from ..operators.retrieve import Course
 from ..shared import own_folder
 from ..sources import files, pages, profiles
@@ -310,7 +312,8 @@ def report_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the owner is told of the catalog: the generation that is read, and the build after it that failed."""
     store, ids = _builds(spark, sf_dir)
     states = spark.createDataFrame([(g.generation_id, g.parser_version, g.status, g.started_at, g.covered_subjects, g.last_error) for g in store.states()], "generation_id string, parser_version int, status string, started_at string, covered_subjects long, last_error string")
-    cases = spark.read.parquet(f"{store.base}/cases").select("generation_id", "collection_id", "source_id")
+    built = [own.select("generation_id", "collection_id", "source_id") for g in store.states() if (own := store.cases(g.generation_id)) is not None]
+    cases = reduce(DataFrame.union, built)
     own = F.create_map(*(F.lit(x) for i, r in ids.items() for x in (i, r)))[F.col("generation_id")]
     out = reports.catalog_report(states, cases, store.active(6).generation_id, 6)
     return out.select("readable", own.alias("own"), "cases", "collections", "sources", "covered", "newer_status", "newer_cases", "newer_error")
@@ -495,3 +498,21 @@ def pages_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.write.partitionBy("role").option("lineSep", "\f").option("maxRecordsPerFile", 200).text(path)
     read = pages.read_pages(spark, path, suffix=".txt", bytesPerTask=10_000)
     return read.select(F.regexp_extract("path", "role=([^/]*)/", 1).alias("role"), "page_no", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("""SELECT true AS promoted, count(*) FILTER (c_custkey % 5 > 0) AS cases, count(*) FILTER (c_custkey % 5 > 0) AS collections, count(DISTINCT c_mktsegment) FILTER (c_custkey % 5 > 0) AS sources,
+count(*) AS seen, count(*) FILTER (c_custkey % 5 = 0) AS failed, CAST(1 AS BIGINT) AS covered, CAST(0 AS INTEGER) AS stats_code, CAST(1 AS INTEGER) AS coverage_code FROM customer""")
+def catalog_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line over a store: a generation of the pages of all customers, every fifth without a header, behind the gate;
+    then its stats, and its coverage, of which one of two courses is missing."""
+    k, path = F.col("c_custkey"), own_folder(spark, "command")
+    head = F.when(k % 5 == 0, F.lit("صفحة")).otherwise(_filled(k, [f"{LEGACY}\n{BODY}"]))
+    own = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page_no"), head.alias("head"), F.concat(F.lit("https://x.example/"), k).alias("url"), F.col("c_mktsegment").alias("source_id"))
+    pages_ = own.select("doc_id", "page_no", F.when(F.col("page_no") == 1, F.col("head")).otherwise(F.lit(BODY)).alias("text"), "url", "source_id", F.sha2("url", 256).alias("pdf_sha256"))
+    store, course = CatalogStore(spark, f"{path}/store"), Course("trade", keywords=("عقد توريد",), priority=("تاجر",))
+    promoted, _ = command.build(spark, store, pages_, [course], load({}))
+    g = store.active()
+    codes = command.main(["stats", store.base]), command.coverage_code(spark, store, [course, Course("none", keywords=("qqqq zzzz",))], load({}))
+    stats = quality.catalog_stats(store.cases(g.generation_id))
+    told = (F.lit(promoted).alias("promoted"), "cases", "collections", "sources", F.lit(g.documents_seen).cast("long").alias("seen"), F.lit(g.documents_failed).cast("long").alias("failed"), F.lit(g.covered_subjects).cast("long").alias("covered"))
+    return stats.select(*told, F.lit(codes[0]).alias("stats_code"), F.lit(codes[1]).alias("coverage_code"))

@@ -1,9 +1,9 @@
 """Versioned catalog store: each build is a generation of its own, and one pointer says which is read.
 
-Layout under the base folder: cases/generation_id=…/collection_id=…, documents/<generation>/<version>/bucket=…,
-staged/<generation>/batch_id=…, index/<generation>/… (see term_index), states/<generation>.json, ACTIVE, BUILDING. Cases are Parquet partitions, so a collection is
-replaced by overwriting its partition. Document records lie in hash buckets; a small file says which version of each bucket
-counts, so a change rewrites the buckets that it touches and shows when they are whole. States and the
+Layout under the base folder: cases/<generation>/<version>/bucket=…, documents/<generation>/<version>/bucket=…,
+staged/<generation>/batch_id=…, index/<generation>/… (see term_index), states/<generation>.json, ACTIVE, BUILDING. Cases lie in hash buckets
+of their collections, document records in those of their ids; a small file says which version of each bucket counts, so a
+change rewrites the buckets that it touches and shows when they are whole. States and the
 pointer are small files, written aside and renamed, so a reader sees the old or the new one. BUILDING names the one build
 there may be; it is made by a call that fails where it exists, so of two builders that begin at once one does not.
 """
@@ -184,43 +184,51 @@ class CatalogStore:
             done.set()
             thread.join()
 
-    def _buckets(self, generation_id: str) -> dict | None:
-        """{buckets: their number, versions: {bucket: its version}} of a generation's records; null if it has none."""
-        found = self._read(f"documents/{generation_id}/BUCKETS.json")
+    def _buckets(self, name: str) -> dict | None:
+        """{buckets: their number, versions: {bucket: its version}} of a generation's table; null if it has none."""
+        found = self._read(f"{name}/BUCKETS.json")
         return json.loads(found) if found else None
 
-    def _versions(self, generation_id: str, versions: dict[str, str]) -> DataFrame:
-        base = f"{self.base}/documents/{generation_id}"
-        paths = [f"{base}/{v}/bucket={b}" for b, v in versions.items()]
-        return self.spark.read.option("mergeSchema", True).parquet(*paths)
+    def _rows(self, name: str, versions: dict[str, str] | None) -> DataFrame | None:
+        if not versions:
+            return None
+        paths = [f"{self.base}/{name}/{v}/bucket={b}" for b, v in versions.items()]
+        return self.spark.read.option("mergeSchema", len(set(versions.values())) > 1).parquet(*paths)
+
+    def _replace(self, name: str, rows: DataFrame, key: str, gone: DataFrame | None = None) -> int:
+        """Rows of a table in hash buckets of a key; what the keys of ``gone`` (else of the rows) had before is replaced, the rest
+        stays. Returns the number of buckets rewritten.
+
+        Until the new buckets are whole, readers see the old ones; a write that fails leaves them as they were. A generation
+        has one builder, so one call at a time."""
+        known = self._buckets(name) or {"buckets": self.BUCKETS, "versions": {}}
+        bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(known["buckets"])).cast("string")
+        old: dict[str, str] = {}
+        if known["versions"]:
+            keys = (rows if gone is None else gone).select(key).distinct()
+            touched = {r[0] for r in keys.select(bucket).distinct().collect()}  # at most the number of buckets
+            old = {b: v for b, v in known["versions"].items() if b in touched}
+            if old:
+                rows = self._rows(name, old).join(keys, key, "left_anti").unionByName(rows, allowMissingColumns=True)
+        version = uuid.uuid4().hex
+        rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.base}/{name}/{version}")
+        written = [s.getPath().getName().partition("=")[2] for s in self._fs().listStatus(self._path(f"{name}/{version}")) if s.getPath().getName().startswith("bucket=")]
+        left = {b: v for b, v in known["versions"].items() if b not in old}
+        self._write(f"{name}/BUCKETS.json", json.dumps(known | {"versions": left | dict.fromkeys(written, version)}))
+        for b, v in old.items():
+            self._remove(f"{name}/{v}/bucket={b}")
+        return len(written)
 
     def write_documents(self, g: Generation, documents: DataFrame) -> int:
         """Records (document_id, …, case_count) of a generation's documents: new ones replace those of their id, others stay; a
-        count is not below zero, and of an id that is given twice one record counts. Returns the number of buckets rewritten.
-
-        Until the new buckets are whole, readers see the old ones; a write that fails leaves them as they were."""
-        known = self._buckets(g.generation_id) or {"buckets": self.BUCKETS, "versions": {}}
-        bucket = F.pmod(F.xxhash64(F.col("document_id").cast("string")), F.lit(known["buckets"])).cast("string")
-        new = documents.withColumn("case_count", F.greatest(F.lit(0), F.coalesce("case_count", F.lit(0)))).dropDuplicates(["document_id"]).withColumn("bucket", bucket)
-        touched = {r[0] for r in new.select("bucket").distinct().collect()}  # at most the number of buckets
-        if not touched:
-            return 0
-        old = {b: v for b, v in known["versions"].items() if b in touched}
-        rows = new
-        if old:
-            left = self._versions(g.generation_id, old).join(documents.select("document_id"), "document_id", "left_anti").withColumn("bucket", bucket)
-            rows = left.unionByName(new, allowMissingColumns=True)
-        version, base = uuid.uuid4().hex, f"documents/{g.generation_id}"
-        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.base}/{base}/{version}")
-        self._write(f"{base}/BUCKETS.json", json.dumps(known | {"versions": known["versions"] | dict.fromkeys(touched, version)}))
-        for b, v in old.items():
-            self._remove(f"{base}/{v}/bucket={b}")
-        return len(touched)
+        count is not below zero, and of an id that is given twice one record counts. Returns the number of buckets rewritten."""
+        new = documents.withColumn("case_count", F.greatest(F.lit(0), F.coalesce("case_count", F.lit(0)))).dropDuplicates(["document_id"])
+        return self._replace(f"documents/{g.generation_id}", new, "document_id")
 
     def documents(self, generation_id: str) -> DataFrame | None:
         """Records of a generation's documents; null if it has none."""
-        known = self._buckets(generation_id)
-        return self._versions(generation_id, known["versions"]) if known else None
+        known = self._buckets(f"documents/{generation_id}")
+        return self._rows(f"documents/{generation_id}", known and known["versions"])
 
     def indexed(self, g: Generation, wanted: DataFrame) -> DataFrame:
         """Those of the documents (document_id) that the generation has a record of."""
@@ -236,18 +244,15 @@ class CatalogStore:
         """All cases of a collection at once, also none; rows of another collection: ValueError."""
         if not cases.where(F.col("collection_id") != collection_id).isEmpty():
             raise ValueError(f"cases of another collection than {collection_id}")
-        path = f"cases/generation_id={g.generation_id}/collection_id={collection_id}"
-        rows = cases.drop("generation_id", "collection_id")
-        rows.write.mode("overwrite").parquet(f"{self.base}/{path}")
-        n = self.spark.read.parquet(f"{self.base}/{path}").count()
-        if not n:
-            self._remove(path)
-        return n
+        name = f"cases/{g.generation_id}"
+        gone = self.spark.createDataFrame([(collection_id,)], "collection_id string")
+        self._replace(name, cases.drop("generation_id"), "collection_id", gone)
+        own = self.cases(g.generation_id)
+        return 0 if own is None else own.where(F.col("collection_id") == collection_id).count()
 
     def write_cases(self, g: Generation, cases: DataFrame) -> None:
         """Cases of many collections in one job; collections that have rows are replaced, others stay."""
-        rows = cases.withColumn("generation_id", F.lit(g.generation_id))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("generation_id", "collection_id").parquet(f"{self.base}/cases")
+        self._replace(f"cases/{g.generation_id}", cases.drop("generation_id"), "collection_id")
 
     def stage(self, g: Generation, cases: DataFrame, batch_id: int) -> bool:
         """Cases (collection_id, catalog_key, …) of one batch of an incremental build, for seal(). A batch that is recorded is not
@@ -296,10 +301,9 @@ class CatalogStore:
 
     def cases(self, generation_id: str) -> DataFrame | None:
         """A generation's cases; null if it has none."""
-        path = f"cases/generation_id={generation_id}"
-        if not self._fs().exists(self._path(path)) or not len(self._fs().listStatus(self._path(path))):
-            return None
-        return self.spark.read.option("basePath", f"{self.base}/cases").parquet(f"{self.base}/{path}")
+        known = self._buckets(f"cases/{generation_id}")
+        own = self._rows(f"cases/{generation_id}", known and known["versions"])
+        return None if own is None else own.withColumn("generation_id", F.lit(generation_id))
 
     def index_terms(self, g: Generation) -> None:
         """Write the posting table of a generation's cases (with normalized_text), for search()."""
@@ -375,7 +379,7 @@ class CatalogStore:
                 continue
             kept[g.status] = kept.get(g.status, 0) + 1
             if kept[g.status] > keep:
-                for name in (f"cases/generation_id={g.generation_id}", f"documents/{g.generation_id}", f"staged/{g.generation_id}", f"index/{g.generation_id}", f"states/{g.generation_id}.json"):
+                for name in (f"cases/{g.generation_id}", f"documents/{g.generation_id}", f"staged/{g.generation_id}", f"index/{g.generation_id}", f"states/{g.generation_id}.json"):
                     self._remove(name)
                 gone.append(g.generation_id)
         return gone
