@@ -1,7 +1,8 @@
 """Near-duplicate lines by a deletion-neighbourhood join.
 
 A line is its words (cut at ASCII white space). Two lines match if their words are equal, or if one word was put in, taken
-out or changed and the longer of them has WORDS_PER_EDIT words for that edit: the edit bound follows the length. A line goes
+out or changed and the longer of them has WORDS_PER_EDIT words at least: the edit bound is none below that length and one
+from it on, however long a line is. A line goes
 if an earlier line, by document id and place, matches it, whether or not that earlier line goes itself; the first of
 each group so stays. Lines without words always stay.
 
