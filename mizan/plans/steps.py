@@ -14,7 +14,7 @@ from ..shared import allow_checkpoints, own_folder
 from ..sources import crawl, files, profiles
 from ..sources.store import CatalogStore
 from ..streaming import events as stream
-from .catalog import _CASES, _DIRECT_SQL, _HOST, _PAGES, _SERIES, COURSES, REGISTRY, _event_pages, _n3, _quote, _score_sql, cases, query, table
+from .catalog import _CASES, _COURSE_TERMS, _DIRECT_SQL, _HOST, _PAGES, _SERIES, COURSES, REGISTRY, _event_pages, _n3, _quote, _score_sql, cases, query, table
 
 # documents and files
 
@@ -339,12 +339,11 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _course_sql(c: Course, limit: int) -> str:
-    terms = retrieve.retrieval_terms(retrieve.subject_terms(c))
-    wanted = max(limit * 8, retrieve.RECALL_LEAST)
+    terms, wanted, scored = _COURSE_TERMS[c.slug], 40, 600  # of five candidates
     found = " OR ".join(f"contains(normalized_text, {_quote(t)})" for t in terms)
     return f"""SELECT {_quote(c.slug)} AS slug, catalog_key, match_score, subject_relevance FROM (
   SELECT x.catalog_key, x.match_score, x.indexed_at, r.score AS subject_relevance FROM (
-    SELECT *, {_score_sql(terms, c.preferred)} AS match_score FROM (SELECT * FROM cases WHERE {found} ORDER BY indexed_at DESC, catalog_key LIMIT {retrieve.recall(wanted)}) ORDER BY match_score DESC, indexed_at DESC, catalog_key LIMIT {wanted}) x
+    SELECT *, {_score_sql(terms, c.preferred)} AS match_score FROM (SELECT * FROM cases WHERE {found} ORDER BY indexed_at DESC, catalog_key LIMIT {scored}) ORDER BY match_score DESC, indexed_at DESC, catalog_key LIMIT {wanted}) x
   JOIN (SELECT * FROM judged WHERE slug = {_quote(c.slug)} AND accepted) r ON r.doc_id = x.doc_id WHERE x.doc_id % 6 <> 1 ORDER BY x.match_score DESC, x.indexed_at DESC, x.catalog_key LIMIT {limit})"""
 
 
