@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import arrow_limits, whole_row
 
-#: Bounds of the labelled sample: documents of a language, characters of a document, and characters of a language in all.
-SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 180, 4000, 60_000
+#: Bounds of the labelled sample: documents of a language, and characters of them in all.
+SAMPLE_DOCS, SAMPLE_CHARS = 180, 60_000
 #: Characters of a chunk, and characters that are parsed together.
 CHUNK, TOGETHER = 1024, 1 << 22
 #: Cells of a transition table; larger automata, of scripts with thousands of letters, are searched instead.
@@ -179,8 +179,9 @@ def held_out(id_col: str) -> Column:
 
 
 def samples(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[int]]:
-    """Code points of the sample of each label: of at most SAMPLE_DOCS distinct documents of the language, spread over all rows
-    by a hash of id and text; null ids and repeated rows make it no larger."""
+    """Code points of the sample of each label: whole texts of at most SAMPLE_DOCS distinct documents of the language, drawn over
+    all rows by a hash of id and text, until the next would pass SAMPLE_CHARS in all; longer documents are not drawn. Null
+    ids and repeated rows make it no larger."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
     counts = {r[0]: max(1, r[1]) for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.approx_count_distinct(key)).collect()}  # a row for each language
@@ -189,13 +190,16 @@ def samples(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[
     # above the limit by more than the estimate's error, so that the limit below decides
     share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * SAMPLE_DOCS / n)))), F.col(lang_col))
     draw = (key.bitwiseAND((1 << 53) - 1) / float(1 << 53)).alias("draw")
-    drawn = rows.select(F.col(lang_col).alias("lang"), draw, F.substring(text_col, 1, SAMPLE_DOC_CHARS).alias("text")).where(F.col("draw") < share)
+    text, n = F.col(text_col).cast("string"), F.length(text_col)
+    drawn = rows.where(n <= SAMPLE_CHARS).select(F.col(lang_col).alias("lang"), draw, text.alias("text")).where(F.col("draw") < share)
     once = drawn.groupBy("lang", "draw").agg(F.min("text").alias("text"))  # repeated rows meet in their own task
-    least = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    order = Window.partitionBy("lang").orderBy("draw")
+    first = once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS)
+    whole = first.withColumn("sum", F.sum(F.length("text")).over(order)).where((F.col("sum") <= SAMPLE_CHARS) | (F.col("n") == 1))
     texts: dict[str, list[tuple[float, str]]] = {}
-    for r in once.withColumn("n", least).where(F.col("n") <= SAMPLE_DOCS).collect():
+    for r in whole.collect():
         texts.setdefault(r["lang"], []).append((r["draw"], r["text"]))
-    return {lang: normalized([" ".join(t for _, t in sorted(own))], _folded())[0][:SAMPLE_CHARS].tolist() for lang, own in sorted(texts.items())}
+    return {lang: normalized([" ".join(t for _, t in sorted(own))], _folded())[0].tolist() for lang, own in sorted(texts.items())}
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, tuple[int, np.ndarray]]:
