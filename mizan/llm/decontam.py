@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow_limits, saved
+from .common import LARGE_ROWS, arrow_limits, saved
 
 WINDOW = 13
 #: Windows of fewer words have no proximity matches: one word of four is no small edit.
@@ -221,7 +221,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     within first..last stands in the item; ``proximity``: a window of the item stands there but for one word.
     """
     src = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    shards = saved(index(src), "postings")
+    shards = saved(index(src), "postings", LARGE_ROWS)
     every = shards.select(F.explode(F.arrays_zip("doc_ids", "text_keys", "n_words")).alias("d")).select(F.col("d.doc_ids").alias("doc_id"), F.col("d.text_keys").alias("text_key"), F.col("d.n_words").alias("n_words"))
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     n_blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
