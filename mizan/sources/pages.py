@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of a file for each task, if not set otherwise.
 BYTES_PER_TASK = 8 << 20
+#: More shares than these are dealt to so many tasks.
+MOST_TASKS = 4096
 SCHEMA = "path string, page_no int, text string"
 
 
@@ -77,6 +79,13 @@ class Share(InputPartition):
     n: int
 
 
+@dataclass
+class Shares(InputPartition):
+    """What one task reads, one share after another."""
+
+    own: list[Share]
+
+
 class _Files:
     """Listing and reading, common to batches and streams."""
 
@@ -96,6 +105,12 @@ class _Files:
         size = int(self.options.get("bytespertask", BYTES_PER_TASK))
         return [Share(f.path, k, n) for f in files for n in [max(1, -(-f.size // size))] for k in range(n)]
 
+    def dealt(self, files: list[fs.FileInfo]) -> list[Shares]:
+        """Shares for tasks: many small ones to a task, neighbours together."""
+        every = self.shares(files)
+        n = min(len(every), MOST_TASKS)
+        return [Shares(every[len(every) * k // n : len(every) * (k + 1) // n]) for k in range(n)]
+
     def pages(self, share: Share) -> Iterator[tuple[str, int, str]]:
         module, _, name = self.options.get("engine", f"{__name__}:PagedText").partition(":")
         engine: Engine = getattr(importlib.import_module(module), name)()
@@ -112,10 +127,10 @@ class _Files:
 
 class _Reader(_Files, DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
-        return self.shares(self.found())
+        return self.dealt(self.found())
 
-    def read(self, partition: Share) -> Iterator[tuple]:
-        return self.pages(partition)
+    def read(self, partition: Shares) -> Iterator[tuple]:
+        return (page for share in partition.own for page in self.pages(share))
 
 
 class _StreamReader(_Files, DataSourceStreamReader):
@@ -130,10 +145,10 @@ class _StreamReader(_Files, DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         after, until = ((int(x["at"]), x["path"]) for x in (start, end))
-        return self.shares([f for f in self.found() if after < (f.mtime_ns, f.path) <= until])
+        return self.dealt([f for f in self.found() if after < (f.mtime_ns, f.path) <= until])
 
-    def read(self, partition: Share) -> Iterator[tuple]:
-        return self.pages(partition)
+    def read(self, partition: Shares) -> Iterator[tuple]:
+        return (page for share in partition.own for page in self.pages(share))
 
 
 class PageSource(DataSource):
