@@ -149,7 +149,8 @@ def address_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.when(i % 4 == 0, 3221225472 + i % 16).when(i % 4 == 1, 167772160 + i).otherwise((i * 2654435761) % 4294967296)
     quad: Column = F.array_join(F.array(*(F.shiftright(F.col("x"), k) % 256 for k in (24, 16, 8, 0))).cast("array<string>"), ".")
     own = F.concat(F.element_at(F.array(F.lit("[2a00:"), F.lit("[FD00:"), F.lit("[fe80:0:")), (i % 3 + 1).cast("int")), F.lower(F.hex(i % 65536)), F.lit("::1]"))
-    hosts = table(spark, sf_dir, "events").select("event_id", x.alias("x")).select("event_id", quad.alias("quad"), own.alias("own"))
+    ids = table(spark, sf_dir, "events").select("event_id").repartition(4 * spark.sparkContext.defaultParallelism)  # few bytes in few tasks' files
+    hosts = ids.select("event_id", x.alias("x")).select("event_id", quad.alias("quad"), own.alias("own"))
     mapped = urls.unsafe_literal_ip(F.concat(F.lit("::ffff:"), "quad"))
     return hosts.select("event_id", urls.unsafe_literal_ip(F.col("quad")).alias("v4"), mapped.alias("mapped"), urls.unsafe_literal_ip(F.col("own")).alias("v6"))
 
