@@ -7,7 +7,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from mizan.functions import headers, text
-from mizan.operators import segment
+from mizan.operators import retrieve, segment, validate
 from mizan.sources import pages as source
 
 
@@ -47,3 +47,16 @@ def test_small_shares_are_dealt_to_few_tasks(monkeypatch):
     reader = source._Files({"bytesPerTask": "10"})
     dealt = reader.dealt(files)
     assert len(dealt) == 7 and [x for d in dealt for x in d.own] == reader.shares(files) and max(len(d.own) for d in dealt) == 5
+
+
+def test_relevance_bounds_what_python_gets_at_once(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    retrieve.assess(spark.createDataFrame([("x",)], "text string"), [retrieve.Course("c", keywords=("عقد توريد",))])
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+
+
+def test_draft_checks_tell_what_they_told(spark):
+    said = ["AI", "ai.", "x Ai y", "aı", "Aİ!", "again AI-made", "_AI", "1ai", "éAI", "AIé", "aid", "(ai)", "", "ب AI ت", "AI\u0301", "* x", "a *b", "*b", "a*b", "\u00a0*b", "المادة ٠٧ والمواد 8", "الماد 7"]
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", validate.mentions_ai(F.col("t")), F.regexp_like("t", F.lit(r"(?iU)\bAI\b")), validate.has_markdown(F.col("t")), F.regexp_like("t", F.lit(r"(?U)(^|\s)\*(?=\S)")), text.article_numbers(F.col("t"))).collect()
+    assert [r[0] for r in rows if r[1] != r[2] or r[3] != r[4]] == []
+    assert [r[5] for r in rows if r[5]] == [["7", "8"]]
