@@ -1,11 +1,14 @@
 """Searches through the posting table against searches of all cases, and what they read."""
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from mizan.operators import retrieve
+from mizan.sources import term_index
 from mizan.sources.store import CatalogStore
 from mizan.sources.term_index import TermIndex, grams
 
@@ -65,3 +68,31 @@ def test_store_search(spark, tmp_path):
     before = [r["catalog_key"] for r in store.search(terms).collect()]
     store.index_terms(g)
     assert [r["catalog_key"] for r in store.search(terms).collect()] == before and before
+
+
+def test_a_run_has_one_row_for_each_gram(spark, index):
+    """Rows that are shuffled are those of runs of cases; each case is in the list of each of its grams, once."""
+    df, _, own = index
+    cases, postings = spark.read.parquet(f"{own.base}/cases"), spark.read.parquet(f"{own.base}/postings")
+    place = F.shiftleft("block", term_index.BLOCK) + F.col("offset")
+    told = postings.select("gram", "bucket", "block", F.explode("offsets").alias("offset")).select("gram", "bucket", place.alias("place"))
+    got = told.join(cases, ["bucket", "place"]).select("gram", "catalog_key").collect()
+    want = {(g, r["catalog_key"]) for r in df.collect() for g in grams(r["normalized_text"] or "")}
+    assert len(got) == told.count() == len(want) and {tuple(r) for r in got} == want
+    assert cases.select("place").distinct().count() == 600
+    assert postings.count() == postings.select("gram", "bucket", "block").distinct().count() < len(want)
+    assert {r["gram"]: r["n"] for r in spark.read.parquet(f"{own.base}/grams").collect()} == Counter(g for g, _ in want)
+
+
+def test_runs_end_with_their_block_and_size(monkeypatch):
+    """Blocks, buckets and a full run each begin new rows; characters beyond 16 bits and empty texts."""
+    texts = [(0, 32766, "abcd"), (0, 32767, "abc"), (0, 32768, "abc"), (1, 1 << 33, "😀bc😀"), (1, (1 << 33) + 5, None), (1, (1 << 33) + 6, "xx"), (1, (1 << 33) + 7, "abcabc"), (1, (1 << 33) + 8, "bca")]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["bucket", "place", "text"])
+    want = sorted((g, b, p) for b, p, t in texts for g in grams(t or ""))
+    for most in (1, 4, 1 << 20):
+        monkeypatch.setattr(term_index, "RUN", most)
+        got = [r for x in term_index.postings_of(iter([batch(texts[:2]), batch(texts[2:4]), batch(texts[4:])])) for r in x.to_pylist()]
+        assert sorted((r["gram"], r["bucket"], (r["block"] << 15) + o) for r in got for o in r["offsets"]) == want
+        assert all(r["n"] == len(r["offsets"]) for r in got)
+    assert [r["offsets"] for r in got if r["gram"] == "abc"] == [[32766, 32767], [0], [7]]
+    assert list(term_index.postings_of(iter([batch([(0, 0, "ab")])]))) == []
