@@ -100,3 +100,19 @@ def test_urls(spark):
 def test_nfkc_null(spark):
     assert one(spark, None, text.nfkc(F.col("t"))) is None
     assert one(spark, "ﬁ", text.nfkc(F.col("t"))) == unicodedata.normalize("NFKC", "ﬁ")
+
+
+def test_compact_and_metadata_forms_of_every_character(spark):
+    """As by the patterns that say what goes, for every character alone and among others; white space and ASCII take no pattern."""
+    chars = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    rows = [("x" + "".join(f"A{c}" for c in chars[i : i + 64]) + " Ω7", ) for i in range(0, len(chars), 64)] + [("".join(chars[i : i + 64]),) for i in range(0, 0x3100, 64)] + [("",), (None,), (" \t١٢ 3ـ",)]
+    t = F.col("t")
+    n5 = F.lower(F.regexp_replace(text.ascii_digits(t), text.SPACE + "+", ""))
+    n6 = F.regexp_replace(text.plain_letters(F.translate(F.lower(text.ascii_digits(t)), text.TATWEEL, "")), r"[^0-9a-z؀-ۿ]+", "")
+    df = spark.createDataFrame(rows, "t string")
+    both = df.select("t", n5.alias("w5"), n6.alias("w6"), text.normalize_compact(t).alias("g5"), text.normalize_metadata(t).alias("g6"))
+    assert both.where(~(F.col("w5").eqNullSafe(F.col("g5")) & F.col("w6").eqNullSafe(F.col("g6")))).count() == 0
+    assert set(text.SPACES) == {c for c in chars if c.isspace()}
+    plan = lambda c: df.select(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan(text.normalize_compact(t))
+    assert "CASE WHEN (octet_length" in plan(text.normalize_metadata(t)) and "[^" not in plan(text.normalize_metadata(t))
