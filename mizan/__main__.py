@@ -35,7 +35,8 @@ def build(spark: SparkSession, store: CatalogStore, pages: DataFrame, courses: l
 def _build(spark: SparkSession, store: CatalogStore, g: Generation, pages: DataFrame, courses: list[retrieve.Course], settings: Settings) -> tuple[bool, str]:
     try:
         headed = segment.with_headers(pages).drop("header")
-        facts = pages.select("doc_id", "url", "source_id", "pdf_sha256").dropDuplicates(["doc_id"])
+        # sizes are guessed from the pages' files, which tell little of the texts' sizes: no side of these joins is a broadcast
+        facts = pages.select("doc_id", "url", "source_id", "pdf_sha256").dropDuplicates(["doc_id"]).hint("merge")
         cases = segment.admitted(segment.case_ranges(headed).join(facts, "doc_id"))
         cases = cases.select(F.col("doc_id").alias("collection_id"), "source_id", "url", "pdf_sha256", "page_start", "page_end", F.col("number").alias("case_number"), "catalog_key", "text", "normalized_text").withColumns(
             {"court_name": detect_court(F.col("text")), "indexed_at": F.current_timestamp()}
