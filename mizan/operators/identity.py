@@ -17,15 +17,16 @@ def folded(c: Column) -> Column:
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: str) -> DataFrame:
-    """The row of least ``order`` of each key; rows with a null or empty key part all stay.
+    """The row of least ``order`` of each key, one that has no order only where none has; a row that is repeated stays once.
+    Rows with a null or empty key part all stay.
 
-    Minima of the keys are joined back, so no task holds the rows of one key.
+    Tasks keep a row of each key before rows are shuffled, so none holds all rows of one key.
     """
-    keyed = df.select("*", F.struct(*keys).alias("__key"))
-    whole = F.forall(F.array(*(k.cast("string") for k in keys)), lambda k: F.coalesce(k, F.lit("")) != "")
-    first = keyed.where(whole).groupBy("__key").agg(F.min(order).alias("__first"))
-    kept = keyed.where(whole).join(first, "__key").where(F.col(order) == F.col("__first")).select(*df.columns)
-    return kept.unionByName(df.where(~F.coalesce(whole, F.lit(False))))
+    whole = F.coalesce(F.forall(F.array(*(k.cast("string") for k in keys)), lambda k: F.coalesce(k, F.lit("")) != ""), F.lit(False))
+    at = F.struct(F.col(order).isNull(), F.col(order))
+    keyed = df.where(whole).select(F.struct(*keys).alias("__key"), at.alias("__at"), F.struct("*").alias("__row"))
+    first = keyed.groupBy("__key").agg(F.min_by("__row", "__at").alias("__row"))
+    return first.select("__row.*").unionByName(df.where(~whole))
 
 
 def retain(df: DataFrame, group: str, recency: Column, tie: str, keep: int, active: Column, shares: int = 64) -> DataFrame:
