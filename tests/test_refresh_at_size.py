@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from mizan import __main__ as command
 from mizan.config import load
-from mizan.functions import text
-from mizan.plans.derived import BODY, LEGACY
+from mizan.functions import headers, text
+from mizan.plans.derived import BODY, LEGACY, MODERN
 from mizan.sources.store import CatalogStore
 
 
@@ -47,3 +47,10 @@ def test_courts_are_those_of_the_patterns(spark):
     got = spark.createDataFrame([(t,) for t in said], "t string").select("t", text.detect_court(F.col("t"))).collect()
     assert [r for r in got if r[1] != (None if r[0] is None else want(r[0]))] == []
     assert len({r[1] for r in got}) > 50
+
+
+def test_the_number_alone_is_that_of_the_metadata(spark):
+    forms = (LEGACY, MODERN, BODY, f"{BODY * 6}\n{LEGACY}", f"x\nرقم الدعوى: 12/1440 ه\n{BODY}", "رقم القضية: 77{n}\n" + MODERN, "\n".join(x[::-1] for x in LEGACY.splitlines()), "", "x", None)
+    said = [t and t.replace("{n}", "345").replace("{o}", "45").replace("{a}", "٣٤٥") for t in forms]
+    got = spark.createDataFrame([(t,) for t in said], "t string").select(headers.judgment_number("t"), headers.judgment_metadata("t")["case_number"]).collect()
+    assert [r for r in got if r[0] != r[1]] == [] and len({r[0] for r in got}) > 2
